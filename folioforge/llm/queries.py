@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_rules, quality_compression, sentencepiece_viterbi, toxicity
+from . import decontaminate, license_rules, quality_compression, secret_markov, sentencepiece_viterbi, toxicity, url_cascade
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_compression.compression_quality(read(spark, sf_dir, "documents"))
 
 
+def op2_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_cascade.cascade_filter(pages, url_cascade.tracked_keys(pages))
+
+
 def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.license_scan(read(spark, sf_dir, "documents"))
 
@@ -34,10 +39,14 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_markov.secret_scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_compression_bands, op3_license_rules, op5_counterfactual_toxicity, op6_sentencepiece_viterbi, op7_spaced_seeds)
+    own = (op1_compression_bands, op2_bloom_cascade, op3_license_rules, op5_counterfactual_toxicity, op6_sentencepiece_viterbi, op7_spaced_seeds, op8_markov_secrets)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_bloom_cascade": url_cascade.SQL}
