@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_rules, quality_compression, secret_markov, sentencepiece_viterbi, toxicity, url_cascade
+from . import decontaminate, license_rules, line_dedup, quality_compression, secret_markov, sentencepiece_viterbi, toxicity, url_cascade
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +43,14 @@ def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_markov.secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op9_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_compression_bands, op2_bloom_cascade, op3_license_rules, op5_counterfactual_toxicity, op6_sentencepiece_viterbi, op7_spaced_seeds, op8_markov_secrets)
+    own = (op1_compression_bands, op2_bloom_cascade, op3_license_rules, op5_counterfactual_toxicity, op6_sentencepiece_viterbi, op7_spaced_seeds, op8_markov_secrets, op9_deletion_neighbours)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bloom_cascade": url_cascade.SQL}
+    return {"op2_bloom_cascade": url_cascade.SQL, "op9_deletion_neighbours": line_dedup.SQL}
