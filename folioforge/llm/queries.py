@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_rules, line_dedup, quality_compression, secret_markov, sentencepiece_viterbi, toxicity, url_cascade
+from . import decontaminate, license_rules, line_dedup, quality_compression, secret_markov, sentencepiece_viterbi, suffix_tree_lm, toxicity, url_cascade
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +47,12 @@ def op9_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_compression_bands, op2_bloom_cascade, op3_license_rules, op5_counterfactual_toxicity, op6_sentencepiece_viterbi, op7_spaced_seeds, op8_markov_secrets, op9_deletion_neighbours)
+    own = (op1_compression_bands, op2_bloom_cascade, op3_license_rules, op5_counterfactual_toxicity, op6_sentencepiece_viterbi, op7_spaced_seeds, op8_markov_secrets, op9_deletion_neighbours, op10_suffix_tree_lm)
     return {f.__name__: f for f in own}
 
 
