@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_rules, line_dedup, quality_compression, secret_markov, sentencepiece_viterbi, suffix_tree_lm, toxicity, url_cascade
+from . import decontaminate, license_rules, line_dedup, minhash_forest, quality_compression, secret_markov, sentencepiece_viterbi, suffix_tree_lm, toxicity, url_cascade
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_compression_bands, op2_bloom_cascade, op3_license_rules, op5_counterfactual_toxicity, op6_sentencepiece_viterbi, op7_spaced_seeds, op8_markov_secrets, op9_deletion_neighbours, op10_suffix_tree_lm)
+    own = (op1_compression_bands, op2_bloom_cascade, op3_license_rules, op4_minhash_forest, op5_counterfactual_toxicity, op6_sentencepiece_viterbi, op7_spaced_seeds, op8_markov_secrets, op9_deletion_neighbours, op10_suffix_tree_lm)
     return {f.__name__: f for f in own}
 
 
