@@ -1 +1,263 @@
-"""Queries."""
+"""Catalogue queries: filters (2.2), aggregates (2.6), windows (2.7), sorts and sets (2.9), rewrites (2.10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioforge.functions import isbn
+from folioforge.operators import catalog as C
+from folioforge.sources import derived as D
+
+from .registry import query
+
+_W = D.over(D.BOOKS)
+_WF = D.over(D.FILES)
+_MISS = "({0} IS NULL OR trim({0}) = '' OR trim({0}) = 'Unknown')"
+_WIDE = "({0} IS NULL OR lower(trim({0})) IN ('', 'unknown', 'n/a', 'na'))"
+_INCOMPLETE = f"({_MISS.format('title')} OR len(authors) = 0 OR {_MISS.format('publisher')} OR {_MISS.format('published_date')})"
+_A = "array_to_string(authors, ', ')"
+
+
+@query(_W + f"SELECT id, title, publisher, ts FROM books WHERE title ILIKE '%ring%' AND {_A} ILIKE '%supplier%' AND publisher ILIKE '%brand%' ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 5")
+def f1_catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.catalog_filter(D.books(spark, sf_dir), "RING", "supplier", "brand", limit=50, offset=5).select("id", "title", "publisher", "ts")
+
+
+@query(_W + "SELECT id, CASE WHEN lower(publisher) = 'unknown' THEN '' ELSE publisher END AS publisher, CASE WHEN lower(published_date) = 'unknown' THEN '' ELSE published_date END AS published_date, coalesce(nullif(confidence, 0.5), 0.0) AS confidence FROM books")
+def f2_display_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda c: F.when(F.lower(c) == "unknown", "").otherwise(F.col(c)).alias(c)
+    return D.books(spark, sf_dir).select("id", shown("publisher"), shown("published_date"), F.coalesce(F.nullif("confidence", F.lit(0.5)), F.lit(0.0)).alias("confidence"))
+
+
+@query(_W + f"SELECT id, title, publisher, published_date FROM books WHERE {_INCOMPLETE}")
+def f3_incomplete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).filter(C.incomplete()).select("id", "title", "publisher", "published_date")
+
+
+@query(_W + "SELECT id, confidence FROM books WHERE confidence IS NULL OR confidence < 0.3 ORDER BY confidence, id LIMIT 40")
+def f4_low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).filter("confidence IS NULL OR confidence < 0.3").orderBy("confidence", "id").limit(40).select("id", "confidence")
+
+
+@query(_W + f"SELECT id, confidence FROM books WHERE coalesce(title ILIKE '%bolt%', false) OR {_A} ILIKE '%bolt%' OR isbn_13 ILIKE '%bolt%' OR isbn_10 ILIKE '%bolt%' ORDER BY confidence DESC, id LIMIT 100")
+def f5_omnibox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.omnibox(D.books(spark, sf_dir), "bolt").select("id", "confidence")
+
+
+@query(_WF + "SELECT id, path FROM files WHERE ext = 'pdf' AND lower(path) LIKE '%volume 1%' ORDER BY path, id LIMIT 20 OFFSET 3")
+def f6_list_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.files(spark, sf_dir).filter((F.col("ext") == "pdf") & F.lower("path").contains("volume 1")).orderBy("path", "id").offset(3).limit(20).select("id", "path")
+
+
+@query(_WF + "SELECT DISTINCT path, confidence >= 0.6 AS ready FROM files WHERE contains(path, 'ring') OR contains(path, 'bolt')")
+def f7_prediction_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.col("path").contains("ring") | F.col("path").contains("bolt")
+    return D.files(spark, sf_dir).filter(hit).select("path", (F.col("confidence") >= 0.6).alias("ready")).distinct()
+
+
+_COUNTS = {
+    "no_title": _MISS.format("title"), "no_authors": "len(authors) = 0", "no_publisher": _MISS.format("publisher"), "no_date": _MISS.format("published_date"), "low_confidence": "confidence < 0.5",
+}
+
+
+@query(_W + "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _COUNTS.items()) + " FROM books")
+def a1_catalog_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = {"no_title": C.is_missing(F.col("title")), "no_authors": C.no_authors(F.col("authors")), "no_publisher": C.is_missing(F.col("publisher")), "no_date": C.is_missing(F.col("published_date")), "low_confidence": F.col("confidence") < 0.5}
+    return D.books(spark, sf_dir).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in own.items()])
+
+
+@query(_W + "SELECT count(*) AS total, count(isbn_13) AS with_isbn, max(ts) AS newest FROM books")
+def a2_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).agg(F.count("*").alias("total"), F.count("isbn_13").alias("with_isbn"), F.max("ts").alias("newest"))
+
+
+@query(_W + "SELECT string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM books")
+def a3_distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
+@query(_W + "SELECT count(*) FILTER (confidence < 0.3) AS low, count(*) FILTER (confidence BETWEEN 0.3 AND 0.7) AS middle, count(*) FILTER (confidence > 0.7) AS high FROM books")
+def a4_confidence_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("confidence")
+    return D.books(spark, sf_dir).agg(F.count_if(c < 0.3).alias("low"), F.count_if(c.between(0.3, 0.7)).alias("middle"), F.count_if(c > 0.7).alias("high"))
+
+
+@query(_W + "SELECT round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (confidence >= 0.8) AS consolidated FROM books")
+def a5_mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).agg(F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count_if(F.col("confidence") >= 0.8).alias("consolidated"))
+
+
+@query(_W + "SELECT ext, count(*) AS total, count(*) FILTER (confidence >= 0.5) AS success, count(*) FILTER (confidence < 0.5) AS failed FROM books GROUP BY ext")
+def a6_format_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = F.col("confidence") >= 0.5
+    return D.books(spark, sf_dir).groupBy("ext").agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
+
+
+@query(_W + "SELECT publisher, count(*) AS total, " + ", ".join(f"count(*) FILTER (ext = '{e}' AND confidence >= 0.5) AS {e}_success" for e in ("pdf", "epub", "mobi")) + " FROM books GROUP BY publisher")
+def a7_publisher_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = D.books(spark, sf_dir).withColumn("ok", (F.col("confidence") >= 0.5).cast("long"))
+    wide = b.groupBy("publisher").pivot("ext", ["pdf", "epub", "mobi"]).agg(F.sum("ok"))
+    total = b.groupBy("publisher").agg(F.count("*").alias("total"))
+    return total.join(wide, "publisher").select("publisher", "total", *[F.coalesce(e, F.lit(0)).alias(f"{e}_success") for e in ("pdf", "epub", "mobi")])
+
+
+_BY = {"source": "source", "publisher": "publisher", "year": "year"}
+
+
+@query(_W + " UNION ALL ".join(f"SELECT '{k}' AS kind, {c} AS value, count(*) AS n FROM books GROUP BY {c}" for k, c in _BY.items()))
+def a11_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = D.books(spark, sf_dir)
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in _BY.items()])).alias("p")
+    return b.select(parts).groupBy("p.kind", "p.value").agg(F.count("*").alias("n"))
+
+
+@query(_W + "SELECT source FROM books GROUP BY source ORDER BY count(*) DESC, source LIMIT 1")
+def a12_most_used_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).groupBy("source").count().orderBy(F.desc("count"), "source").limit(1).select("source")
+
+
+@query(_W + "SELECT id, confidence FROM books ORDER BY confidence DESC, id LIMIT 50")
+def a23_top_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).orderBy(F.desc("confidence"), "id").limit(50).select("id", "confidence")
+
+
+_BASE = "regexp_replace(regexp_replace(path, '[.][a-z]+$', ''), ' [(][0-9]{4}[)]$', '')"
+
+
+@query(_WF + f"SELECT {_BASE} AS base, count(*) AS n, min(id) AS least, arg_min(path, (CASE ext WHEN 'pdf' THEN 0 WHEN 'epub' THEN 1 ELSE 2 END) * 10000000 + id) AS best FROM files GROUP BY 1")
+def a24_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by base name, with the best format of each."""
+    base = F.regexp_replace(F.regexp_replace("path", "[.][a-z]+$", ""), " [(][0-9]{4}[)]$", "")
+    rank = F.when(F.col("ext") == "pdf", 0).when(F.col("ext") == "epub", 1).otherwise(2)
+    return D.files(spark, sf_dir).groupBy(base.alias("base")).agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min_by("path", F.struct(rank, "id")).alias("best"))
+
+
+@query(_WF + "SELECT title, isbn_13, ts FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY ts DESC, id DESC) AS rn FROM files) WHERE rn = 1")
+def w1_latest_per_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.latest(D.files(spark, sf_dir), ["title"], [F.desc("ts"), F.desc("id")]).select("title", "isbn_13", "ts")
+
+
+@query(_W + "SELECT isbn_13, id FROM (SELECT *, row_number() OVER (PARTITION BY isbn_13 ORDER BY ts DESC, id DESC) AS rn FROM books) WHERE rn = 1")
+def w2_current_per_isbn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.latest(D.books(spark, sf_dir), ["isbn_13"], [F.desc("ts"), F.desc("id")]).select("isbn_13", "id")
+
+
+_TARGET = "coalesce(title, 'untitled')"
+
+
+@query(_W + f"SELECT id, CASE WHEN rn = 1 THEN t ELSE t || ' (' || CAST(rn AS VARCHAR) || ')' END AS target FROM (SELECT id, {_TARGET} AS t, row_number() OVER (PARTITION BY {_TARGET} ORDER BY id) AS rn FROM books)")
+def w8_unique_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("title", F.lit("untitled"))
+    b = D.books(spark, sf_dir).select("id", t.alias("t")).withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy("id")))
+    return b.select("id", F.when(F.col("rn") == 1, F.col("t")).otherwise(F.concat("t", F.lit(" ("), F.col("rn").cast("string"), F.lit(")"))).alias("target"))
+
+
+_NEW = "(SELECT id, title || ' rev' AS title, least(1.0, confidence + CASE WHEN id % 3 = 0 THEN 0.2 ELSE 0 END) AS confidence, ts + 5 AS ts FROM books WHERE id % 4 = 0)"
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old = D.books(spark, sf_dir).select("id", "title", "confidence", "ts")
+    new = old.filter("id % 4 = 0").select("id", F.concat("title", F.lit(" rev")).alias("title"), F.least(F.lit(1.0), F.col("confidence") + F.when(F.col("id") % 3 == 0, 0.2).otherwise(0.0)).alias("confidence"), (F.col("ts") + 5).alias("ts"))
+    return old, new
+
+
+@query(_W + f"SELECT id, title, round(confidence, 6) AS confidence, ts FROM {_NEW} UNION ALL SELECT id, title, round(confidence, 6), ts FROM books WHERE id % 4 <> 0")
+def m1_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.upsert(*_changes(spark, sf_dir), ["id"]).select("id", "title", F.round("confidence", 6).alias("confidence"), "ts")
+
+
+@query(_W + f"SELECT b.id, CASE WHEN u THEN n.title ELSE b.title END AS title, round(CASE WHEN u THEN n.confidence ELSE b.confidence END, 6) AS confidence, u AS updated FROM (SELECT b.*, n.title AS nt, n.confidence AS nc, coalesce(n.confidence > b.confidence + 1e-6, false) AS u FROM books b LEFT JOIN {_NEW} n ON b.id = n.id) b LEFT JOIN {_NEW} n ON b.id = n.id")
+def m2_improve_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.improve_only(*_changes(spark, sf_dir), "id", "confidence").select("id", "title", F.round("confidence", 6).alias("confidence"), F.coalesce("updated", F.lit(False)).alias("updated"))
+
+
+@query(_W + f"SELECT n.id, (n.confidence > b.confidence + 1e-6) OR (b.title IS NULL AND n.title IS NOT NULL) OR coalesce(b.title <> n.title, false) AS rewrite FROM {_NEW} n JOIN books b ON n.id = b.id")
+def m3_rescan_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _changes(spark, sf_dir)
+    o = old.select("id", F.col("title").alias("t"), F.col("confidence").alias("c"))
+    rewrite = (F.col("confidence") > F.col("c") + 1e-6) | (F.col("t").isNull() & F.col("title").isNotNull()) | F.coalesce(F.col("t") != F.col("title"), F.lit(False))
+    return new.join(o, "id").select("id", rewrite.alias("rewrite"))
+
+
+@query(_W + "SELECT id, CASE WHEN id % 2 = 0 THEN title ELSE title END AS title, confidence FROM books WHERE id % 3 = 0")
+def m4_keep_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = D.books(spark, sf_dir).select("id", "title", "confidence")
+    new = old.filter("id % 3 = 0").withColumn("title", F.when(F.col("id") % 2 == 0, F.col("title")))
+    return C.keep_existing(old, new, "id", ["title"])
+
+
+@query(_W + "SELECT isbn_13, count(*) AS error_count, 'timeout' AS last_error FROM books JOIN lineitem ON l_partkey = id WHERE l_returnflag = 'R' GROUP BY isbn_13")
+def m5_error_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = D.read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("error_count"))
+    return D.books(spark, sf_dir).join(errors, F.col("id") == F.col("l_partkey")).select("isbn_13", "error_count", F.lit("timeout").alias("last_error"))
+
+
+@query(_W + "SELECT id, ts FROM books WHERE ts >= 1702000000 - 10 * 86400")
+def m6_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.ttl(D.books(spark, sf_dir), "ts", as_of=1702000000, days=10).select("id", "ts")
+
+
+@query(_WF + "SELECT path, confidence FROM files WHERE confidence >= 0.8")
+def m8_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consolidated rows replace those of the same path."""
+    f = D.files(spark, sf_dir).select("path", "confidence")
+    good = f.filter("confidence >= 0.8")
+    return C.upsert(good.filter("false"), good, ["path"])
+
+
+@query(_W + "SELECT id, running, running <= 40000 AS kept FROM (SELECT id, CAST(sum(100 + id % 17) OVER (ORDER BY ts DESC, id) AS BIGINT) AS running FROM books)")
+def m9_lru_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = D.books(spark, sf_dir).select("id", "ts", (100 + F.col("id") % 17).alias("bytes"))
+    return C.evict(entries, "bytes", "ts", "id", 40000).select("id", "running", "kept")
+
+
+@query(_W + "SELECT id, confidence, ts FROM books ORDER BY confidence, ts LIMIT 30")
+def l3_two_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).orderBy("confidence", "ts").limit(30).select("id", "confidence", "ts")
+
+
+@query(_WF + f"SELECT base, n FROM (SELECT {_BASE} AS base, count(*) AS n FROM files GROUP BY 1) ORDER BY base LIMIT 25")
+def l4_first_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a24_file_groups(spark, sf_dir).select("base", "n").orderBy("base").limit(25)
+
+
+@query(_W + "SELECT id, title FROM books WHERE id % 2 = 0 UNION ALL SELECT id, title || ' new' FROM books WHERE id % 2 = 1")
+def l7_insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = D.books(spark, sf_dir).select("id", "title")
+    return C.insert_or_ignore(b.filter("id % 2 = 0"), b.withColumn("title", F.concat("title", F.lit(" new"))), ["id"])
+
+
+@query(_W + "SELECT id AS file_id, 'remote-' || CAST(id AS VARCHAR) AS remote_id FROM books")
+def z27_remote_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = D.books(spark, sf_dir).select(F.col("id").alias("file_id"), F.concat(F.lit("remote-"), F.col("id").cast("string")).alias("remote_id"))
+    return C.insert_or_ignore(b.filter("file_id % 5 = 0"), b, ["file_id"])
+
+
+@query(_W + "SELECT a.id, b.id AS found FROM books a JOIN books b ON (CASE WHEN a.id % 7 <> 0 THEN a.isbn_13 END) = b.isbn_13")
+def j1_isbn_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISBN-10 and ISBN-13 meet on one normalized key, so the join is a hash join, not an OR."""
+    b = D.books(spark, sf_dir)
+    asked = b.select("id", isbn.normal13(F.when(F.col("id") % 7 != 0, F.col("isbn_10"))).alias("key"))
+    return asked.join(b.select(F.col("id").alias("found"), F.col("isbn_13").alias("key")), "key").select("id", "found")
+
+
+@query(_W + "SELECT id, isbn_13, title FROM books WHERE isbn_13 = '9780000000170' OR isbn_10 = '0000000019' ORDER BY id LIMIT 1")
+def s8_find_by_isbn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).filter((F.col("isbn_13") == "9780000000170") | (F.col("isbn_10") == "0000000019")).orderBy("id").limit(1).select("id", "isbn_13", "title")
+
+
+@query(_W + f"SELECT title AS \"Title\", {_A} AS \"Authors\", publisher AS \"Publisher\", published_date AS \"Date\", isbn_13 AS \"ISBN13\", confidence AS \"Confidence\" FROM books WHERE confidence >= 0.5")
+def k3_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).filter("confidence >= 0.5").select(F.col("title").alias("Title"), F.array_join("authors", ", ").alias("Authors"), F.col("publisher").alias("Publisher"), F.col("published_date").alias("Date"), F.col("isbn_13").alias("ISBN13"), F.col("confidence").alias("Confidence"))
+
+
+@query(_W + "SELECT count(*) AS n, max(ts) AS newest FROM books")
+def k7_db_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
+
+
+@query(_W + f"SELECT count(*) FILTER ({_WIDE.format('title')}) AS title, count(*) FILTER ({_WIDE.format('publisher')}) AS publisher, count(*) FILTER ({_WIDE.format('published_date')}) AS published_date, count(*) FILTER (len(authors) = 0) AS authors, count(*) FILTER ({_WIDE.format('isbn_13')}) AS isbn FROM books")
+def a9_hint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = lambda c: F.count_if(C.is_missing(F.col(c), wide=True))
+    return D.books(spark, sf_dir).agg(wide("title").alias("title"), wide("publisher").alias("publisher"), wide("published_date").alias("published_date"), F.count_if(C.no_authors(F.col("authors"))).alias("authors"), wide("isbn_13").alias("isbn"))
