@@ -5,11 +5,12 @@ equals it or, if both have NEAR_CHARS characters, is within an edit distance of
 substituted); order is (id, text hash, line number). That the earlier line may go as well makes no difference.
 
 1. Every line is known by a 128-bit hash; equal lines meet in an aggregate of hashes, not of texts.
-2. A gate drops distinct lines that can have no neighbour: of two lines at distance 1, either the first or the last `half`
-   characters are equal, where `half` is half of the least length of their length class (powers of two).
-3. The others give their deletion neighbourhood as hashed keys. Two lines of one length that differ in one place are equal
-   without that place; a line equals a longer one without one place. Keys hold what was deleted by place, so that equal keys
-   mean distance 1, and each key needs only its earliest line, never its pairs. Windows keep the keys of long lines cheap.
+2. Gates drop distinct lines that can have no neighbour. Of two lines at distance 1, either the first or the last `half`
+   characters are equal, where `half` is half of the least length of their length class (powers of two); all but one of
+   PARTS parts are equal; and within that part all but one of its small parts. Each gate hashes what must be equal.
+3. Where the last gate leaves two lines, each gives its deletion neighbourhood in the small part as hashed keys. Two lines of
+   one length that differ in one place are equal without that place; a line equals a longer one without one place. Keys hold
+   the place and all around it, so that equal keys mean distance 1, and each key needs only its earliest line, not its pairs.
 4. The earliest line found for each is verified by its edit distance, and the lines that go are cut out of the texts.
 
 Null and empty texts have no lines and stay as they are. Repeated rows (equal id and text) are treated alike: their lines do
@@ -26,6 +27,8 @@ from .common import written
 #: Characters that make no word.
 BLANK = " \\t\\n\\x0B\\f\\r"
 EDITS = 1
+#: Parts of a line outside one of which two lines must be equal; and of such a part in turn, at most so many of so many characters.
+PARTS, FINE_PARTS, FINE_CHARS = 8, 64, 4
 #: Lines shorter than this are dropped only where an earlier line equals them: one edit would change too much of them.
 NEAR_CHARS = 12
 
@@ -54,34 +57,37 @@ def gate_keys(line: Column) -> Column:
     return F.when(own == below, F.array(*ends(own))).otherwise(F.array(*ends(own), *ends(below)))
 
 
-def neighbourhood(line: Column) -> Column:
-    """array<struct<key, role>>: the hashed variants. role 0: one of a length, without a place; 1: whole; 2: the longer without a place."""
-    n = F.length(line)
+def windows(line: Column, short: Column, low: Column, high: Column, parts: Column) -> Column:
+    """The line as one of a pair whose shorter line has `short` characters: array<struct<a, b, key>>, where [a, b) are parts of
+    [low, high) in the shorter line and key hashes all before and after the part. The longer line has one more character there."""
 
-    def variants(short: Column, role: int) -> Column:
-        """The line as one of a pair whose shorter line has `short` characters."""
-        c = length_class(short)
-        width = F.call_function("shiftleft", F.lit(1), ((F.length(F.bin(c)) + 1) / 2).cast("int"))
+    def part(i: Column) -> Column:
+        a = low + F.floor(i * (high - low) / parts).cast("int")
+        b = low + F.floor((i + 1) * (high - low) / parts).cast("int")
+        key = F.xxhash64(short, a, b, F.xxhash64(F.left(line, a)), F.xxhash64(F.right(line, short - b)))
+        return F.struct(a.alias("a"), b.alias("b"), key.alias("key"))
 
-        def window(s: Column) -> Column:
-            start, rest = s * width, F.greatest(short - (s + 1) * width, F.lit(0))
-            before, after = F.xxhash64(F.left(line, start)), F.xxhash64(F.right(line, rest))
-            middle = F.substring(line, start + 1, n - start - rest)
-            whole = F.array(F.struct(F.xxhash64(F.lit(1), short, s, before, after, middle).alias("key"), F.lit(1).alias("role")))
+    return F.filter(F.transform(F.sequence(F.lit(0), parts - 1), part), lambda p: p["a"] < p["b"])
 
-            def without(i: Column) -> Column:
-                left = F.concat(F.left(middle, i), F.substring(middle, i + 2, n))
-                if role == 0:
-                    return F.struct(F.xxhash64(F.lit(0), short, s, i, before, after, left).alias("key"), F.lit(0).alias("role"))
-                return F.struct(F.xxhash64(F.lit(1), short, s, before, after, left).alias("key"), F.lit(2).alias("role"))
 
-            each = F.transform(F.sequence(F.lit(0), F.greatest(F.length(middle), F.lit(1)) - 1), without)
-            return F.concat(whole, each) if role == 0 else each
+def variants(line: Column, short: Column, a: Column, b: Column) -> Column:
+    """The deletion neighbourhood within a part, as array<struct<key, role>>: role 0: one of two equally long lines, without a
+    place; 1: the shorter line, whole; 2: the longer one without a place."""
+    longer = F.length(line) > short
+    around = F.xxhash64(short, a, b, F.xxhash64(F.left(line, a)), F.xxhash64(F.right(line, short - b)))
+    middle = F.substring(line, a + 1, F.length(line) - short + b - a)
+    without = lambda i: F.concat(F.left(middle, i), F.substring(middle, i + 2, b - a + 1))
+    places = F.sequence(F.lit(0), F.length(middle) - 1)
+    same = F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(0), around, i, without(i)).alias("key"), F.lit(0).alias("role")))
+    whole = F.array(F.struct(F.xxhash64(F.lit(1), around, middle).alias("key"), F.lit(1).alias("role")))
+    less = F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(1), around, without(i)).alias("key"), F.lit(2).alias("role")))
+    return F.array_distinct(F.when(longer, less).otherwise(F.concat(same, whole)))
 
-        windows = F.sequence(F.lit(0), F.greatest(F.ceil(short / width).cast("int"), F.lit(1)) - 1)
-        return F.flatten(F.transform(windows, window))
 
-    return F.array_distinct(F.concat(variants(n, 0), F.when(n > 1, variants(n - 1, 2)).otherwise(F.array().cast("array<struct<key:bigint,role:int>>"))))
+def alike(parts: DataFrame) -> DataFrame:
+    """h1, h2, short, a, b of the parts (and key) that two different lines share."""
+    shared = parts.groupBy("key").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).filter("low < high").select("key")
+    return written(parts.join(shared, "key").select("h1", "h2", "short", "a", "b").distinct())
 
 
 def near_lines(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,15 +99,22 @@ def near_lines(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     found = lines_of(docs, id_col, text_col).withColumns(dict(zip(("l1", "l2"), line_hash(F.col("line")), strict=True)))
     on = found["d"].eqNullSafe(places["d"]) & (found["k"] == places["k"]) & (found["n"] == places["n"]) & (found["l1"] == places["h1"]) & (found["l2"] == places["h2"])
     lines = written(found.join(places, on).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min("at").alias("at")))
-    variants = lines.select("h1", "h2", "at", F.explode(neighbourhood(F.col("line"))).alias("v")).select("h1", "h2", "at", "v.key", "v.role")
-    of = lambda *roles: F.min(F.when(F.col("role").isin(*roles), F.struct("at", "h1", "h2")))
-    earliest = variants.groupBy("key").agg(F.count("*").alias("c"), of(0).alias("e0"), of(1).alias("e1"), of(2).alias("e2")).filter("c > 1").drop("c")
+    size = F.length("line")
+    roles = lines.select("h1", "h2", "line", F.explode(F.array(size, size - 1)).alias("short")).filter("short > 0")
+    coarse = roles.select("h1", "h2", "short", F.explode(windows(F.col("line"), F.col("short"), F.lit(0), F.col("short"), F.lit(PARTS))).alias("p")).select("h1", "h2", "short", "p.*")
+    texts = lines.select("h1", "h2", "line")
+    narrow = alike(coarse).join(texts, ["h1", "h2"])
+    parts = F.least(F.lit(FINE_PARTS), F.ceil((F.col("b") - F.col("a")) / FINE_CHARS)).cast("int")
+    fine = narrow.select("h1", "h2", "short", F.explode(windows(F.col("line"), F.col("short"), F.col("a"), F.col("b"), parts)).alias("p")).select("h1", "h2", "short", "p.*")
+    last = alike(fine).join(lines, ["h1", "h2"])
+    each = written(last.select("h1", "h2", "at", F.explode(variants(F.col("line"), F.col("short"), F.col("a"), F.col("b"))).alias("v")).select("h1", "h2", "at", "v.key", "v.role"))
+    of = lambda role: F.min(F.when(F.col("role") == role, F.struct("at", "h1", "h2")))
+    earliest = each.groupBy("key").agg(F.count("*").alias("c"), of(0).alias("e0"), of(1).alias("e1"), of(2).alias("e2")).filter("c > 1").drop("c")
     other = F.when(F.col("role") == 0, F.col("e0")).when(F.col("role") == 1, F.col("e2")).otherwise(F.col("e1"))
-    links = variants.join(earliest, "key").withColumn("e", other).filter(F.col("e.at") < F.col("at"))
+    links = each.join(earliest, "key").withColumn("e", other).filter(F.col("e.at") < F.col("at"))
     pairs = links.groupBy("h1", "h2").agg(F.min("e").alias("e")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
-    texts = lines.select("h1", "h2", "line")
     checked = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other")), ["e1", "e2"])
-    return checked.filter(F.levenshtein("line", "other", EDITS).between(0, EDITS)).select("h1", "h2")
+    return written(checked.filter(F.levenshtein("line", "other", EDITS).between(0, EDITS)).select("h1", "h2"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
