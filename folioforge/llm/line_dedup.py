@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .url_cascade import BITS_PER_KEY, MAX_BITS, build_level, hit
 
 #: Characters that make no word.
 BLANK = " \\t\\n\\x0B\\f\\r"
@@ -86,17 +87,21 @@ def variants(line: Column, short: Column, a: Column, b: Column) -> Column:
 
 def alike(parts: DataFrame) -> DataFrame:
     """h1, h2, short, a, b of the parts (and key) that two different lines share."""
-    shared = parts.groupBy("key").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).filter("low < high").select("key")
+    shared = parts.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key")
     return written(parts.join(shared, "key").select("h1", "h2", "short", "a", "b").distinct())
 
 
-def near_lines(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h1, h2 of the distinct lines that an earlier distinct line is near. first: h1, h2, at (d, k, n of the earliest), gate."""
-    keys = first.select("h1", "h2", "at", F.explode("gate").alias("g"))
-    shared = keys.groupBy("g").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).filter("low < high").select("g")
-    gated = written(keys.join(shared, "g").groupBy("h1", "h2").agg(F.min("at").alias("at")))
-    places = gated.select(F.col("at.d").alias("d"), F.col("at.k").alias("k"), F.col("at.n").alias("n"), "h1", "h2", "at")
-    found = lines_of(docs, id_col, text_col).withColumns(dict(zip(("l1", "l2"), line_hash(F.col("line")), strict=True)))
+def near_lines(known: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h1, h2 of the distinct lines that an earlier distinct line is near. known: h1, h2, gate of all lines; first: h1, h2, at (d, k, n of the earliest)."""
+    keys = known.select(F.explode("gate").alias("g"), "h1")
+    shared = keys.groupBy("g").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("g")
+    gated = written(keys.join(shared, "g").select("h1").distinct())
+    places = written(first.join(gated, "h1", "left_semi").select(F.col("at.d").alias("d"), F.col("at.k").alias("k"), F.col("at.n").alias("n"), "h1", "h2", "at"))
+    # their texts: a Bloom filter of bounded size holds back most other lines before the join
+    words, bits = build_level(places.select(F.col("h1").alias("key")), 0, min(places.count(), MAX_BITS // BITS_PER_KEY))
+    words = written(words)
+    l1, l2 = line_hash(F.col("line"))
+    found = lines_of(docs, id_col, text_col).withColumn("l1", l1).filter(hit(words.scalar(), F.col("l1"), 0, bits)).withColumn("l2", l2)
     on = found["d"].eqNullSafe(places["d"]) & (found["k"] == places["k"]) & (found["n"] == places["n"]) & (found["l1"] == places["h1"]) & (found["l2"] == places["h2"])
     lines = written(found.join(places, on).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min("at").alias("at")))
     size = F.length("line")
@@ -122,8 +127,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = lines_of(docs, id_col, text_col)
     h1, h2 = line_hash(F.col("line"))
     known = written(found.select("d", "k", "n", h1.alias("h1"), h2.alias("h2"), F.when(F.length("line") >= near_chars, gate_keys(F.col("line"))).alias("gate")))
-    first = written(known.groupBy("h1", "h2").agg(F.min(F.struct("d", "k", "n")).alias("at"), F.count("*").alias("c"), F.min("gate").alias("gate")))
-    near = near_lines(first, docs, id_col, text_col)
+    first = written(known.groupBy("h1", "h2").agg(F.min(F.struct("d", "k", "n")).alias("at"), F.count("*").alias("c")))
+    near = near_lines(known, first, docs, id_col, text_col)
     repeated = first.filter("c > 1").select("h1", "h2", "at", F.lit(False).alias("near"))
     doomed = repeated.unionByName(near.select("h1", "h2", F.lit(None).cast(first.schema["at"].dataType).alias("at"), F.lit(True).alias("near")))
     doomed = doomed.groupBy("h1", "h2").agg(F.max("at").alias("at"), F.max("near").alias("near"))
