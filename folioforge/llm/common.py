@@ -62,10 +62,10 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(_WORDS_ONLY).split()
 
 
-def slices(frames: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.DataFrame]:
-    """The frames, cut where their texts add up to more than SLICE_CHARS."""
+def slices(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
+    """The frames, cut where their texts add up to more than `chars`."""
     for frame in frames:
         sizes = frame[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
-        groups = np.cumsum(sizes) // SLICE_CHARS
+        groups = np.cumsum(sizes) // chars
         for g in np.unique(groups):
             yield frame[groups == g]
