@@ -1 +1,275 @@
-"""Queries."""
+"""Similarity, retrieval, ranking and fusion queries (inventory 2.5), and aggregates over scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioforge.functions import similarity as S
+from folioforge.functions import text as T
+from folioforge.operators import ranking as R
+from folioforge.sources import derived as D
+
+from .registry import query
+from .text_queries import _TOK
+
+_W = D.over(D.BOOKS)
+_WS = D.over(D.SOURCE_RECORDS)
+
+
+@query(_W + "SELECT id, CAST(levenshtein(coalesce(title, ''), 'small ring economy volume 7') AS INTEGER) AS distance FROM books")
+def q1_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).select("id", F.levenshtein(F.coalesce("title", F.lit("")), F.lit("small ring economy volume 7")).alias("distance"))
+
+
+_PAIRS = (("martha", "marhta"), ("dixon", "dicksonx"), ("abcd", "bcda"), ("python programming", "pythno programing"), ("same", "same"), ("", "x"))
+_PAIR_SQL = "SELECT id, ['martha','dixon','abcd','python programming','same',''][id % 6 + 1] AS a, ['marhta','dicksonx','bcda','pythno programing','same','x'][id % 6 + 1] AS b FROM books"
+
+
+def _pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda k: F.get(F.array(*[F.lit(p[k]) for p in _PAIRS]), (F.col("id") % 6).cast("int"))
+    return D.books(spark, sf_dir).select("id", pick(0).alias("a"), pick(1).alias("b"))
+
+
+@query(_W + f"SELECT id, round(jaro_similarity(a, b), 6) AS score FROM ({_PAIR_SQL})")
+def q2_jaro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pair_rows(spark, sf_dir).select("id", F.round(S.jaro_col(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query(_W + f"SELECT id, round(CASE WHEN jaro_similarity(a, b) < 0.7 THEN jaro_similarity(a, b) ELSE jaro_winkler_similarity(a, b) END, 6) AS score FROM ({_PAIR_SQL})")
+def q3_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pair_rows(spark, sf_dir).select("id", F.round(S.jaro_winkler_col(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query()
+def q4_weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0.4 title, 0.3 author, 0.2 publisher, 0.1 year; a missing field adds nothing."""
+    b = D.books(spark, sf_dir)
+    part = lambda c, wanted, w: F.when(c.isNotNull(), w * S.jaro_winkler_col(F.lower(c), F.lit(wanted))).otherwise(0.0)
+    score = part(F.col("title"), "small ring economy volume 7", 0.4) + part(F.get("authors", F.lit(0)), "supplier#000000001", 0.3) + part(F.col("publisher"), "manning", 0.2) + F.when(F.col("year") == "1990", 0.1).otherwise(0.0)
+    return b.select("id", F.round(F.least(F.lit(1.0), score), 6).alias("score"))
+
+
+@query()
+def q5_author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean, over the asked authors, of the best candidate's similarity."""
+    asked = F.explode(F.array(F.lit("supplier#000000001"), F.lit("supplier#000000042"))).alias("asked")
+    pairs = D.books(spark, sf_dir).select("id", F.explode("authors").alias("author")).select("id", "author", asked)
+    best = pairs.groupBy("id", "asked").agg(F.max(S.jaro_winkler_col(F.lower("author"), F.col("asked"))).alias("best"))
+    return best.groupBy("id").agg(F.round(F.avg("best"), 6).alias("score"))
+
+
+@query()
+def q6_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles near each query: blocked by a shared word, so that no cross join is made, then scored and cut at 0.8."""
+    b = D.books(spark, sf_dir).filter("title is not null").select("id", F.lower("title").alias("title"))
+    q = b.filter("id % 50 = 0").select(F.col("id").alias("query"), F.concat("title", F.lit("x")).alias("asked"))
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: w.rlike("^[0-9]+x?$")))).alias("w")
+    pairs = q.select("query", "asked", words("asked")).withColumn("w", F.rtrim("w", F.lit("x"))).join(b.select("id", "title", words("title")), "w").drop("w").distinct()
+    return R.top_k(pairs.select("query", "id", F.round(S.jaro_winkler_col(F.col("asked"), F.col("title")), 6).alias("score")).filter("score >= 0.8"), 10)
+
+
+_SCORES = """WITH toks AS (SELECT doc_id AS id, unnest({tok}) AS term FROM documents), c AS (SELECT id, term, count(*) AS n FROM toks GROUP BY ALL),
+tf AS (SELECT id, term, n / sum(n) OVER (PARTITION BY id) AS tf FROM c), idf AS (SELECT term, count(*) AS df, CASE WHEN ln((SELECT count(*) FROM documents) / count(*)) > 0 THEN ln((SELECT count(*) FROM documents) / count(*)) ELSE 0.1 END AS idf FROM c GROUP BY term),
+w AS (SELECT id, term, tf * idf AS w FROM tf JOIN idf USING (term)), nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id), {views},
+qt AS (SELECT item_id AS query, unnest({qtok}) AS term FROM search_queries), qc AS (SELECT query, term, count(*) AS n FROM qt GROUP BY ALL), qf AS (SELECT query, term, n / sum(n) OVER (PARTITION BY query) AS f FROM qc),
+qw AS (SELECT query, term, f * idf AS qw FROM qf JOIN idf USING (term)), qn AS (SELECT query, sqrt(sum(qw * qw)) AS q_norm FROM qw GROUP BY query),
+scored AS (SELECT qw.query, w.id, sum(qw * w) / (any_value(norm) * any_value(q_norm)) AS score FROM qw JOIN w USING (term) JOIN nrm ON nrm.id = w.id JOIN qn ON qn.query = qw.query GROUP BY qw.query, w.id HAVING sum(qw * w) / (any_value(norm) * any_value(q_norm)) >= 0.1)
+""".format(tok=_TOK.format("text"), qtok=_TOK.format("q"), views=D.SEARCH_QUERIES)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = D.read(spark, sf_dir, "documents")
+    return R.tfidf_search(D.search_queries(spark, sf_dir), docs, T.tokens(F.col("q")), T.tokens(F.col("text")), "item_id", "doc_id")
+
+
+@query(_SCORES + "SELECT id, term, round(tf, 9) AS tf FROM tf")
+def q8_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf, _ = R.term_weights(D.read(spark, sf_dir, "documents"), "doc_id", T.tokens(F.col("text")))
+    return tf.select("id", "term", F.round("tf", 9).alias("tf"))
+
+
+@query(_SCORES + "SELECT term, df, round(idf, 9) AS idf FROM idf")
+def q9_inverse_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, idf = R.term_weights(D.read(spark, sf_dir, "documents"), "doc_id", T.tokens(F.col("text")))
+    return idf.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(_SCORES + "SELECT query, id, round(score, 6) AS score FROM scored")
+def q10_tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("query", "id", F.round("score", 6).alias("score"))
+
+
+@query(_SCORES + "SELECT query, id, rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM scored) WHERE rank <= 10")
+def q29_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_k(_scored(spark, sf_dir).withColumn("score", F.round("score", 9)), 10).select("query", "id", F.col("rank").cast("long").alias("rank"))
+
+
+_WORDS = "string_split(coalesce(lower(title), ''), ' ')"
+
+
+@query(_W + f"SELECT id, round(len(list_intersect(list_distinct({_WORDS}), ['red', 'ring', 'volume'])) * 1.0 / len(list_distinct(list_concat({_WORDS}, ['red', 'ring', 'volume']))), 6)::DOUBLE AS score FROM books")
+def q13_word_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    want = F.array(F.lit("red"), F.lit("ring"), F.lit("volume"))
+    return D.books(spark, sf_dir).select("id", F.round(S.jaccard(F.split(F.coalesce(F.lower("title"), F.lit("")), " "), want), 6).alias("score"))
+
+
+@query(_W + f"SELECT id, CASE WHEN title IS NULL THEN 0.0 WHEN lower(title) = 'red ring' THEN 1.0 WHEN contains(lower(title), 'red ring') OR contains('red ring', lower(title)) THEN 0.8 ELSE round(len(list_intersect(list_distinct({_WORDS}), ['red', 'ring'])) * 1.0 / len(list_distinct(list_concat({_WORDS}, ['red', 'ring']))), 6) END::DOUBLE AS score FROM books")
+def q14_text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).select("id", F.round(S.text_similarity(F.col("title"), F.lit("red ring")), 6).alias("score"))
+
+
+@query()
+def q16_sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.books(spark, sf_dir).select("id", F.round(S.ratio_col(F.col("title"), F.lit("red ring")), 6).alias("score"))
+
+
+_RANKED = """ranked AS (SELECT id % 40 AS query, id, 'fuzzy' AS algorithm, (id * 7 % 100) / 100.0 AS score FROM books UNION ALL SELECT id % 40, id, 'isbn', (id * 13 % 100) / 100.0 FROM books WHERE id % 3 = 0 UNION ALL SELECT id % 40, id, 'semantic', (id * 29 % 100) / 100.0 FROM books WHERE id % 2 = 0)"""
+_WR = D.over(D.BOOKS, "\n" + _RANKED)
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three rankers said: scores that both engines derive alike."""
+    b = D.books(spark, sf_dir)
+    one = lambda name, k, rows: rows.select((F.col("id") % 40).alias("query"), "id", F.lit(name).alias("algorithm"), ((F.col("id") * k % 100) / 100.0).alias("score"))
+    return one("fuzzy", 7, b).unionByName(one("isbn", 13, b.filter("id % 3 = 0"))).unionByName(one("semantic", 29, b.filter("id % 2 = 0")))
+
+
+@query(_WR + "SELECT query, id, round(least(1.0, max(score * CASE algorithm WHEN 'fuzzy' THEN 0.9 WHEN 'isbn' THEN 1.0 ELSE 0.8 END) + 0.1 * (count(DISTINCT algorithm) - 1) + CASE WHEN count(DISTINCT algorithm) > 1 THEN 0.05 ELSE 0 END), 6)::DOUBLE AS score FROM ranked GROUP BY query, id")
+def q20_weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fuse_weighted(_ranked(spark, sf_dir), {"fuzzy": 0.9, "isbn": 1.0, "semantic": 0.8}).select("query", "id", F.round("score", 6).alias("score"))
+
+
+@query(_W + "SELECT id, title IS NOT NULL OR len(authors) > 0 AS fuzzy, isbn_13 IS NOT NULL AS isbn, coalesce(length(title), 0) > 10 AS semantic, CASE WHEN CAST(title IS NOT NULL OR len(authors) > 0 AS INTEGER) + 1 + CAST(coalesce(length(title), 0) > 10 AS INTEGER) <= 1 THEN 'best_match' ELSE 'parallel' END AS strategy FROM books")
+def q24_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rankers suit a query (Q23), and the strategy that their number asks for."""
+    fuzzy, isbn, semantic = F.col("title").isNotNull() | (F.size("authors") > 0), F.col("isbn_13").isNotNull(), F.coalesce(F.length("title"), F.lit(0)) > 10
+    n = fuzzy.cast("int") + isbn.cast("int") + semantic.cast("int")
+    return D.books(spark, sf_dir).select("id", fuzzy.alias("fuzzy"), isbn.alias("isbn"), semantic.alias("semantic"), F.when(n <= 1, "best_match").when(n <= 3, "parallel").otherwise("adaptive").alias("strategy"))
+
+
+@query(_WR + "SELECT query, algorithm, id, score FROM (SELECT *, max(CASE WHEN score >= 0.9 THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY CASE algorithm WHEN 'isbn' THEN 0 WHEN 'fuzzy' THEN 1 ELSE 2 END RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranked) WHERE coalesce(before, 0) = 0")
+def q25_early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankers run in order; none runs for a query after one has reached 0.9. By an aggregate per query and rank, not a window over all results."""
+    order = F.when(F.col("algorithm") == "isbn", 0).when(F.col("algorithm") == "fuzzy", 1).otherwise(2)
+    r = _ranked(spark, sf_dir).withColumn("o", order)
+    stop = r.groupBy("query").agg(F.min(F.when(F.col("score") >= 0.9, F.col("o"))).alias("stop"))
+    return r.join(stop, "query").filter("stop is null or o <= stop").select("query", "algorithm", "id", "score")
+
+
+@query(_WR + "SELECT query, id % 7 AS grp, arg_max(id, score * 1000000 - id) AS id, round(avg(score), 6)::DOUBLE AS score, array_to_string(list_sort(list_distinct(list(algorithm))), ',') AS algorithms FROM ranked GROUP BY query, id % 7")
+def q28_group_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = R.fuse_groups(_ranked(spark, sf_dir).withColumn("grp", F.col("id") % 7), "grp")
+    return fused.select("query", "grp", "id", F.round("score", 6).alias("score"), F.array_join("algorithms", ",").alias("algorithms"))
+
+
+@query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) SELECT term, count(*) AS postings, min(doc_id) AS first_doc FROM t GROUP BY term")
+def q30_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("postings"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents), s AS (SELECT DISTINCT unnest({_TOK.format('text')}) AS term FROM benchmark WHERE item_id = 0) SELECT DISTINCT doc_id FROM t WHERE term IN (SELECT term FROM s) ORDER BY doc_id LIMIT 100")
+def q31_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    s = D.read(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.explode(T.tokens(F.col("text"))).alias("term"))
+    return t.join(s, "term", "left_semi").select("doc_id").distinct().orderBy("doc_id").limit(100)
+
+
+@query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 10")
+def q32_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q30_inverted_index(spark, sf_dir).select("term", F.col("postings").alias("n")).orderBy(F.desc("n"), "term").limit(10)
+
+
+@query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) SELECT (SELECT count(*) FROM documents) AS docs, count(DISTINCT term) AS vocabulary FROM t")
+def z32_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = D.read(spark, sf_dir, "documents")
+    terms = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).agg(F.count_distinct("term").alias("vocabulary"))
+    return docs.agg(F.count("*").alias("docs")).crossJoin(terms)  # one row each
+
+
+@query(_W + "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY lower(coalesce(title, '')) || ':' || lower(publisher) ORDER BY id) AS rn FROM books) WHERE rn = 1")
+def q33_external_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit(":"), F.lower("publisher"))
+    return D.books(spark, sf_dir).groupBy(key.alias("k")).agg(F.min("id").alias("id")).select("id")
+
+
+_GROUP = "CASE WHEN source_no < 3 THEN 1 WHEN source_no < 6 THEN 2 ELSE 3 END"
+_LEAST = "CASE WHEN source_no < 3 THEN 0.75 WHEN source_no < 6 THEN 0.8 ELSE 0.9 END"
+
+
+@query(_WS + f"SELECT book, source, confidence, accepted FROM (SELECT *, confidence >= {_LEAST} AS good, max(confidence >= {_LEAST}) OVER (PARTITION BY book) AS accepted, row_number() OVER (PARTITION BY book ORDER BY CASE WHEN confidence >= {_LEAST} THEN -({_GROUP}) ELSE -1000 END DESC, confidence DESC, source_no) AS rn FROM source_records) WHERE rn = 1")
+def q36_source_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("source_no")
+    group, least = F.when(n < 3, 1).when(n < 6, 2).otherwise(3), F.when(n < 3, 0.75).when(n < 6, 0.8).otherwise(0.9)
+    return R.cascade(D.source_records(spark, sf_dir), "book", group, least).select("book", "source", "confidence", "accepted")
+
+
+@query(_WS + "SELECT book, source, round(confidence + CASE WHEN elapsed < 1 THEN 0.05 ELSE 0 END, 6)::DOUBLE AS raised FROM source_records")
+def q37_latency_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.source_records(spark, sf_dir).select("book", "source", F.round(F.col("confidence") + F.when(F.col("elapsed") < 1, 0.05).otherwise(0.0), 6).alias("raised"))
+
+
+@query(_WS + "SELECT source, round(avg(confidence) * avg(CASE WHEN elapsed < 1.5 THEN 1.0 ELSE 0.0 END) / avg(elapsed) * CASE WHEN source = 'mercado_editorial' THEN 2 ELSE 1 END, 6)::DOUBLE AS health FROM source_records GROUP BY source")
+def q39_source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = F.avg(F.when(F.col("elapsed") < 1.5, 1.0).otherwise(0.0))
+    h = D.source_records(spark, sf_dir).groupBy("source").agg((F.avg("confidence") * ok / F.avg("elapsed")).alias("h"))
+    return h.select("source", F.round(F.col("h") * F.when(F.col("source") == "mercado_editorial", 2).otherwise(1), 6).alias("health"))
+
+
+@query(_W + "SELECT id, round((CASE WHEN title IS NOT NULL THEN 0.4 * CAST(id % 2 = 0 AS INTEGER) ELSE 0 END + CASE WHEN len(authors) > 0 THEN 0.3 * CAST(id % 3 = 0 AS INTEGER) ELSE 0 END + 0.2 * CAST(id % 5 = 0 AS INTEGER) + 0.1) / (CASE WHEN title IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN len(authors) > 0 THEN 0.3 ELSE 0 END + 0.3), 6)::DOUBLE AS accuracy FROM books")
+def q40_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted share of expected fields that are right; expected fields only count."""
+    k = F.col("id")
+    fields = ((0.4, F.col("title").isNotNull(), k % 2 == 0), (0.3, F.size("authors") > 0, k % 3 == 0), (0.2, F.lit(True), k % 5 == 0), (0.1, F.lit(True), F.lit(True)))
+    got = sum((F.when(there & right, w).otherwise(0.0) for w, there, right in fields), F.lit(0.0))
+    return D.books(spark, sf_dir).select("id", F.round(got / sum((F.when(there, w).otherwise(0.0) for w, there, _ in fields), F.lit(0.0)), 6).alias("accuracy"))
+
+
+@query(_W + "SELECT id, arg_max(v, length(v) * 10 - o) AS chosen FROM (SELECT id, unnest([coalesce(title, ''), publisher, source]) AS v, unnest([0, 1, 2]) AS o FROM books) WHERE v <> '' GROUP BY id")
+def q41_field_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest non-empty value; the first of equally long ones."""
+    values = F.filter(F.array(F.coalesce("title", F.lit("")), "publisher", "source"), lambda v: v != "")
+    best = F.array_max(F.transform(values, lambda v, i: F.struct(F.length(v).alias("n"), (-i).alias("o"), v.alias("v"))))
+    return D.books(spark, sf_dir).select("id", best["v"].alias("chosen"))
+
+
+@query(_WR + "SELECT id, round(sum(score * w) / sum(w), 6)::DOUBLE AS confidence FROM (SELECT *, CASE algorithm WHEN 'fuzzy' THEN 2.0 WHEN 'isbn' THEN 1.5 ELSE 0.8 END AS w FROM ranked) GROUP BY id")
+def q44_weighted_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.when(F.col("algorithm") == "fuzzy", 2.0).when(F.col("algorithm") == "isbn", 1.5).otherwise(0.8)
+    return _ranked(spark, sf_dir).groupBy("id").agg(F.round(F.sum(F.col("score") * w) / F.sum(w), 6).alias("confidence"))
+
+
+@query(_W + "SELECT publisher, round(max(n) * 1.0 / sum(n), 6)::DOUBLE AS agreement FROM (SELECT publisher, source, count(*) AS n FROM books GROUP BY ALL) GROUP BY publisher")
+def q45_field_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = D.books(spark, sf_dir).groupBy("publisher", "source").agg(F.count("*").alias("n"))
+    return n.groupBy("publisher").agg(F.round(F.max("n") / F.sum("n"), 6).alias("agreement"))
+
+
+@query(_WR + "SELECT algorithm, round(avg(score), 6)::DOUBLE AS mean_score, round(avg(CASE WHEN score > 0.6 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS success FROM ranked GROUP BY algorithm")
+def a20_algorithm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir).groupBy("algorithm").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(F.when(F.col("score") > 0.6, 1.0).otherwise(0.0)), 6).alias("success"))
+
+
+@query(_WR + "SELECT id, algorithm FROM (SELECT id, algorithm, row_number() OVER (PARTITION BY id ORDER BY score DESC, algorithm) AS rn FROM ranked) WHERE rn = 1")
+def a21_best_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "algorithm")
+    return _ranked(spark, sf_dir).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("id", "algorithm")
+
+
+@query(_WR + "SELECT wf, wi, round(avg(least(1.0, s)), 4)::DOUBLE AS accuracy FROM (SELECT query, id, wf, wi, max(score * CASE algorithm WHEN 'fuzzy' THEN wf WHEN 'isbn' THEN wi ELSE 0.8 END) AS s FROM ranked CROSS JOIN (SELECT unnest([0.8, 0.9, 1.0]) AS wf) CROSS JOIN (SELECT unnest([0.9, 1.0]) AS wi) GROUP BY ALL) GROUP BY wf, wi")
+def a27_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean fused score at each point of a small grid of weights, exploded beside each row."""
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("wf"), F.lit(b).alias("wi")) for a in (0.8, 0.9, 1.0) for b in (0.9, 1.0)])).alias("g")
+    r = _ranked(spark, sf_dir).select("query", "id", "algorithm", "score", grid).select("*", "g.wf", "g.wi")
+    w = F.when(F.col("algorithm") == "fuzzy", F.col("wf")).when(F.col("algorithm") == "isbn", F.col("wi")).otherwise(0.8)
+    best = r.groupBy("query", "id", "wf", "wi").agg(F.max(F.col("score") * w).alias("s"))
+    return best.groupBy("wf", "wi").agg(F.round(F.avg(F.least(F.lit(1.0), F.col("s"))), 4).alias("accuracy"))
+
+
+@query(_WR + "SELECT algorithm, round(0.3 * greatest(0, 1 - 120 / 1000.0) + 0.4 * avg(score) + 0.3 * avg(CASE WHEN score > 0.6 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS performance, (SELECT max(t) FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS t) WHERE t <= avg(score))::DOUBLE AS target FROM ranked GROUP BY algorithm")
+def z20_performance_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The performance score (Z19), and the highest target that the mean score meets."""
+    targets = F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7, 0.9)))
+    s = _ranked(spark, sf_dir).groupBy("algorithm").agg(F.avg("score").alias("acc"), F.avg(F.when(F.col("score") > 0.6, 1.0).otherwise(0.0)).alias("ok"))
+    return s.select("algorithm", F.round(0.3 * (1 - 120 / 1000.0) + 0.4 * F.col("acc") + 0.3 * F.col("ok"), 6).alias("performance"), F.array_max(F.filter(targets, lambda t: t <= F.col("acc"))).alias("target"))
