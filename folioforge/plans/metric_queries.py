@@ -1 +1,156 @@
-"""Queries."""
+"""Metric queries: API statistics (2.6), windows (2.7), time-based summaries (2.11) and health (2.14)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioforge.operators import metrics as M
+from folioforge.sources import derived as D
+
+from .registry import query
+
+_E = D.over(D.API_EVENTS)
+_STATS = "count(*) AS calls, count(*) FILTER (success) AS successes, round(100.0 * count(*) FILTER (success) / count(*), 6)::DOUBLE AS success_rate, round(avg(response_time), 6) AS mean_latency"
+
+
+@query(_E + f"SELECT api, {_STATS} FROM api_events GROUP BY api")
+def a15_api_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.api_stats(D.api_events(spark, sf_dir))
+
+
+@query(_E + f"SELECT api, {_STATS} FROM api_events GROUP BY ROLLUP (api)")
+def a16_overall_and_per_api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.api_stats(D.api_events(spark, sf_dir), per_api=False)
+
+
+_SLOW = "avg(response_time) OVER (PARTITION BY api ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
+
+
+@query(_E + f"SELECT event_id FROM (SELECT event_id, response_time, {_SLOW} AS m FROM api_events) WHERE response_time > 2 * m")
+def a26_slow_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.api_events(spark, sf_dir)
+    return e.withColumn("m", M.recent_mean(e, 100)).filter("response_time > 2 * m").select("event_id")
+
+
+@query(_E + "SELECT event_id, round(avg(response_time) OVER (PARTITION BY api ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS last10, round(" + _SLOW + ", 9) AS last100 FROM api_events")
+def w3_recent_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.api_events(spark, sf_dir)
+    return e.select("event_id", F.round(M.recent_mean(e, 10), 9).alias("last10"), F.round(M.recent_mean(e, 100), 9).alias("last100"))
+
+
+@query(
+    "WITH RECURSIVE " + D.API_EVENTS.strip() + """, o AS (SELECT user_id, response_time AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM api_events),
+f AS (SELECT user_id, n, v AS m FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, 0.9::DOUBLE * f.m + 0.1::DOUBLE * o.v FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1) SELECT user_id, round(arg_max(m, n), 6) AS ema FROM f GROUP BY user_id"""
+)
+def w4_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.ema(D.api_events(spark, sf_dir)).select("user_id", F.round("ema", 6).alias("ema"))
+
+
+@query(_E + "SELECT event_id, api FROM (SELECT event_id, api, row_number() OVER (PARTITION BY api ORDER BY ts DESC, event_id DESC) AS rn FROM api_events) WHERE rn <= 10")
+def w5_last_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("api").orderBy(F.desc("ts"), F.desc("event_id"))
+    return D.api_events(spark, sf_dir).withColumn("rn", F.row_number().over(w)).filter("rn <= 10").select("event_id", "api")
+
+
+@query(_E + "SELECT api, arg_min(response_time, rn) AS newest, arg_max(response_time, rn) AS oldest, max(response_time) AS most, min(response_time) AS least FROM (SELECT *, row_number() OVER (PARTITION BY api ORDER BY ts DESC, event_id DESC) AS rn FROM api_events) WHERE rn <= 10 GROUP BY api")
+def w6_trend_of_last_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("api").orderBy(F.desc("ts"), F.desc("event_id"))
+    last = D.api_events(spark, sf_dir).withColumn("rn", F.row_number().over(w)).filter("rn <= 10")
+    return last.groupBy("api").agg(F.min_by("response_time", "rn").alias("newest"), F.max_by("response_time", "rn").alias("oldest"), F.max("response_time").alias("most"), F.min("response_time").alias("least"))
+
+
+@query(_E + "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM api_events WHERE NOT success) WHERE rn <= 20")
+def w7_last_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return D.api_events(spark, sf_dir).filter("not success").withColumn("rn", F.row_number().over(w)).filter("rn <= 20").select("user_id", "event_id")
+
+
+_FAILS = "CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT)"
+
+
+@query(_E + f"SELECT event_id, failures, CASE WHEN success THEN 0.0 ELSE least(600.0, 30.0 * 2 ** (least(6, failures) - 1)) END::DOUBLE AS cooldown FROM (SELECT *, {_FAILS} AS failures FROM api_events)")
+def w9_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.breaker(D.api_events(spark, sf_dir)).select("event_id", "failures", "cooldown")
+
+
+@query(_E + f"SELECT event_id, round(greatest(0.0, 100 * (1 + 0.5 * failures) - (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000.0), 3)::DOUBLE AS wait FROM (SELECT *, {_FAILS} AS failures FROM api_events)")
+def w10_rate_limit_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = M.breaker(D.api_events(spark, sf_dir))
+    since = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1000000.0
+    wait = F.when(since.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 100 * (1 + 0.5 * F.col("failures")) - since))
+    return e.select("event_id", F.round(wait, 3).alias("wait"))
+
+
+@query(_E + f"SELECT event_id, round(least(greatest(2 * {_SLOW} / 100, 5.0), 30.0), 6)::DOUBLE AS timeout FROM api_events")
+def w11_dynamic_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.api_events(spark, sf_dir)
+    return e.select("event_id", F.round(F.least(F.greatest(2 * M.recent_mean(e, 100) / 100, F.lit(5.0)), F.lit(30.0)), 6).alias("timeout"))
+
+
+@query(_E + "SELECT date_trunc('hour', ts) AS hour, api, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(response_time), 6) AS mean_latency FROM api_events GROUP BY ALL")
+def x3_hourly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.hourly(D.api_events(spark, sf_dir))
+
+
+@query(_E + "SELECT api, count(*) AS calls, round(100.0 * count(*) FILTER (success) / count(*), 6)::DOUBLE AS availability FROM api_events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' GROUP BY api")
+def x4_seven_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.api_events(spark, sf_dir).filter("ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-15'")
+    return M.api_stats(e).select("api", "calls", F.col("success_rate").alias("availability"))
+
+
+@query(_E + "SELECT hour, api, CASE WHEN errors >= 3 THEN 'critical' WHEN errors > 0 THEN 'error' ELSE 'slow' END AS alert FROM (SELECT date_trunc('hour', ts) AS hour, api, count(*) FILTER (NOT success) AS errors, round(avg(response_time), 6) AS m FROM api_events GROUP BY ALL) WHERE errors > 0 OR m > 90")
+def x5_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = M.hourly(D.api_events(spark, sf_dir)).filter("errors > 0 or mean_latency > 90")
+    return h.select("hour", "api", F.when(F.col("errors") >= 3, "critical").when(F.col("errors") > 0, "error").otherwise("slow").alias("alert"))
+
+
+_HEALTH = "CASE WHEN calls < 10 THEN 'healthy' WHEN success_rate < 50 THEN 'unhealthy' WHEN success_rate < 80 THEN 'degraded' ELSE 'healthy' END"
+
+
+@query(_E + f"SELECT CASE max(CASE {_HEALTH} WHEN 'healthy' THEN 0 WHEN 'degraded' THEN 1 ELSE 2 END) WHEN 0 THEN 'healthy' WHEN 1 THEN 'degraded' ELSE 'unhealthy' END AS overall FROM (SELECT api, {_STATS} FROM api_events GROUP BY api)")
+def x6_overall_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = M.api_stats(D.api_events(spark, sf_dir)).withColumn("h", M.health(F.col("success_rate"), F.col("calls")))
+    worst = F.max(F.when(F.col("h") == "healthy", 0).when(F.col("h") == "degraded", 1).otherwise(2))
+    return s.agg(worst.alias("w")).select(F.get(F.array(F.lit("healthy"), F.lit("degraded"), F.lit("unhealthy")), F.col("w")).alias("overall"))
+
+
+@query(_E + f"SELECT user_id, {_HEALTH} AS health, CASE {_HEALTH} WHEN 'unhealthy' THEN least(30.0, 10.0 * 1.5) ELSE greatest(3.0, 10.0 * 0.8) END::DOUBLE AS timeout FROM (SELECT user_id, {_STATS} FROM api_events GROUP BY user_id)")
+def z5_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = M.api_stats(D.api_events(spark, sf_dir).withColumn("api", F.col("user_id")))
+    h = M.health(F.col("success_rate"), F.col("calls"))
+    return s.select(F.col("api").alias("user_id"), h.alias("health"), F.when(h == "unhealthy", F.least(F.lit(30.0), F.lit(15.0))).otherwise(F.greatest(F.lit(3.0), F.lit(8.0))).alias("timeout"))
+
+
+@query(_E + "SELECT event_id, CASE WHEN count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) > 5 THEN 'unhealthy' ELSE 'healthy' END AS health FROM api_events WHERE NOT success")
+def z6_error_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy(F.unix_seconds("ts")).rangeBetween(-300, 0)
+    return D.api_events(spark, sf_dir).filter("not success").select("event_id", F.when(F.count("*").over(w) > 5, "unhealthy").otherwise("healthy").alias("health"))
+
+
+@query(_E + f"SELECT api, round(1 - success_rate / 100, 6)::DOUBLE AS error_rate, success_rate, mean_latency FROM (SELECT api, {_STATS} FROM api_events GROUP BY api)")
+def z7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.api_stats(D.api_events(spark, sf_dir)).select("api", F.round(1 - F.col("success_rate") / 100, 6).alias("error_rate"), "success_rate", "mean_latency")
+
+
+@query(_E + "SELECT api, min(response_time) AS least, max(response_time) AS most, round(avg(response_time), 6) AS mean FROM api_events GROUP BY api")
+def z29_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.api_events(spark, sf_dir).groupBy("api").agg(F.min("response_time").alias("least"), F.max("response_time").alias("most"), F.round(F.avg("response_time"), 6).alias("mean"))
+
+
+@query(_E + "SELECT user_id, n, n >= 10 AND m > 1.5 * avg(m) OVER () AS tune FROM (SELECT user_id, count(*) AS n, avg(response_time) AS m FROM api_events GROUP BY user_id)")
+def z30_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Often used and slow against the mean of means, which is one row and joined as such."""
+    s = D.api_events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("response_time").alias("m"))
+    return s.crossJoin(F.broadcast(s.agg(F.avg("m").alias("all")))).select("user_id", "n", ((F.col("n") >= 10) & (F.col("m") > 1.5 * F.col("all"))).alias("tune"))
+
+
+@query(_E + "SELECT round(count(*) FILTER (api = 'click') * 1.0 / count(*) FILTER (api IN ('click', 'view')), 6)::DOUBLE AS rate FROM api_events")
+def z31_promotion_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.api_events(spark, sf_dir).agg(F.round(F.count_if(F.col("api") == "click") / F.count_if(F.col("api").isin("click", "view")), 6).alias("rate"))
+
+
+@query(_E + "SELECT round(100.0 * count(*) FILTER (success) / count(*), 6)::DOUBLE AS success_rate, round(avg(response_time) FILTER (success), 6) AS accuracy, round(avg(response_time), 6) AS mean FROM api_events")
+def z21_result_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.api_events(spark, sf_dir).agg(F.round(100.0 * F.count_if("success") / F.count("*"), 6).alias("success_rate"), F.round(F.avg(F.when(F.col("success"), F.col("response_time"))), 6).alias("accuracy"), F.round(F.avg("response_time"), 6).alias("mean"))

@@ -1 +1,37 @@
-"""Queries."""
+"""Streaming queries (inventory 2.11): each runs over all files at hand and returns what the stream put out."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from folioforge.sources import derived as D
+from folioforge.streaming import jobs
+
+from .registry import query
+
+
+def _folder(spark: SparkSession) -> str:
+    """A checkpoint folder that the cluster shares."""
+    import tempfile
+
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return f"{tempfile.mkdtemp() if found.isEmpty() else found.get()}/{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    return jobs.events_stream(spark, f"{path}*", spark.read.parquet(path).schema)
+
+
+@query(D.over(D.API_EVENTS) + "SELECT date_trunc('hour', ts) AS hour, api, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(response_time), 6) AS mean_latency FROM api_events GROUP BY ALL")
+def x1_stream_hourly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly metrics as a stream: the same rows as the batch form."""
+    return jobs.run_now(jobs.hourly_metrics(_events(spark, sf_dir)), "complete", _folder(spark))
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def x8_stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys seen for the first time, kept once across micro-batches."""
+    return jobs.run_now(jobs.first_seen(_events(spark, sf_dir), ["user_id"], "3650 days").select("user_id"), "append", _folder(spark))
