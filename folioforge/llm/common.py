@@ -45,6 +45,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: within a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; null gives an empty one, lone surrogates become '?'."""
     if not isinstance(text, str):

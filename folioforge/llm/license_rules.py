@@ -183,7 +183,7 @@ class Scanner:
 
     def detections(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, rule) of the kept detections in a lower-cased text, in order of start."""
-        due = {i for _, ids in self.automaton.iter(text) for i in ids}
+        due = {i for _, ids in self.automaton.iter(" ".join(text.split())) for i in ids}  # keywords hold single blanks
         hits = [(m.start(), m.end(), i) for i in sorted(due) for m in self.rules[i].pattern.finditer(text) if m.end() > m.start()]
         hits.sort(key=lambda h: (-self.rules[h[2]].priority, h[0] - h[1], h[0], h[2]))
         kept: list[tuple[int, int, int]] = []

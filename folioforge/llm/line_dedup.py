@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 from .url_cascade import BITS_PER_KEY, MAX_BITS, build_level, hit
 
 #: Characters that make no word.
@@ -75,9 +75,13 @@ def variants(line: Column, short: Column, a: Column, b: Column) -> Column:
     """The deletion neighbourhood within a part, as array<struct<key, role>>: role 0: one of two equally long lines, without a
     place; 1: the shorter line, whole; 2: the longer one without a place."""
     longer = F.length(line) > short
-    around = F.xxhash64(short, a, b, F.xxhash64(F.left(line, a)), F.xxhash64(F.right(line, short - b)))
-    middle = F.substring(line, a + 1, F.length(line) - short + b - a)
-    without = lambda i: F.concat(F.left(middle, i), F.substring(middle, i + 2, b - a + 1))
+    ends = F.xxhash64(short, a, b, F.xxhash64(F.left(line, a)), F.xxhash64(F.right(line, short - b)))
+    part = F.substring(line, a + 1, F.length(line) - short + b - a)
+    return let(F.struct(ends.alias("around"), part.alias("middle")), lambda x: _deleted(x["around"], x["middle"], longer, b - a))
+
+
+def _deleted(around: Column, middle: Column, longer: Column, width: Column) -> Column:
+    without = lambda i: F.concat(F.left(middle, i), F.substring(middle, i + 2, width + 1))
     places = F.sequence(F.lit(0), F.length(middle) - 1)
     same = F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(0), around, i, without(i)).alias("key"), F.lit(0).alias("role")))
     whole = F.array(F.struct(F.xxhash64(F.lit(1), around, middle).alias("key"), F.lit(1).alias("role")))
@@ -146,8 +150,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.withColumn("__ff_t", F.xxhash64(text))
     both = marked.join(gone.hint("shuffle_hash"), marked[f"`{id_col}`"].eqNullSafe(gone["__ff_d"]) & (marked["__ff_t"] == gone["__ff_k"]), "left")
     lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.concat("__ff_exact", "__ff_near"))
-    cut = F.when(F.col("__ff_d").isNull() & F.col("__ff_k").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.concat("__ff_exact", "__ff_near"))
+    rest = let(lines, lambda own: F.array_join(F.transform(kept(own), lambda i: F.get(own, i)), "\n"))
+    cut = F.when(F.col("__ff_d").isNull() & F.col("__ff_k").isNull(), text).otherwise(rest)
     columns = [cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if report:
         size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")

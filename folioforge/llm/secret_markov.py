@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: The patterns of the base kinds, each as (what precedes, what counts), with the least length of the latter.
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 12)
 ACCESS = (r"()(AKIA[A-Z0-9]+)", 18)
@@ -38,14 +40,17 @@ _BLOCK = 64
 
 def prefix_sums(lens: Column) -> Column:
     """The sum of all entries before each: blocks keep the work near n * _BLOCK."""
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / _BLOCK).cast("int"))
     add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    sums = F.transform(blocks, lambda b: add(F.slice(lens, b * _BLOCK + 1, F.lit(_BLOCK))))
-    inner = lambda b: F.transform(
-        F.sequence(F.lit(0), F.least(F.lit(_BLOCK), F.size(lens) - b * _BLOCK) - 1),
-        lambda i: add(F.slice(sums, F.lit(1), b)) + add(F.slice(lens, b * _BLOCK + 1, i)),
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / _BLOCK).cast("int"))
+
+    def inside(b: Column, base: Column) -> Column:
+        own = F.sequence(F.lit(0), F.least(F.lit(_BLOCK), F.size(lens) - b * _BLOCK) - 1)
+        return F.transform(own, lambda i: base + add(F.slice(lens, b * _BLOCK + 1, i)))
+
+    return let(
+        F.transform(blocks, lambda b: add(F.slice(lens, b * _BLOCK + 1, F.lit(_BLOCK)))),
+        lambda sums: F.flatten(F.transform(blocks, lambda b: let(add(F.slice(sums, F.lit(1), b)), lambda base: inside(b, base)))),
     )
-    return F.flatten(F.transform(blocks, inner))
 
 
 def marked(text: Column, pattern: str) -> Column:
@@ -55,19 +60,16 @@ def marked(text: Column, pattern: str) -> Column:
 
 def spans(pieces: Column, kind: int, least: int) -> Column:
     """array<struct<start, kind, end, token>> of the matches whose counted part is long enough."""
-    lens = F.transform(pieces, lambda p, i: F.length(p) - F.pmod(i, F.lit(2)))
-    starts = prefix_sums(lens)
-    found = F.transform(
-        F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2)),
-        lambda i: F.struct(
-            F.get(starts, i).alias("start"),
-            F.lit(kind).alias("kind"),
-            (F.get(starts, i) + F.get(lens, i)).alias("end"),
-            F.substring_index(F.get(pieces, i), "\x03", -1).alias("token"),
-        ),
-    )
     none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>")
-    return F.when(F.size(pieces) > 1, F.filter(found, lambda s: F.length(s["token"]) >= least)).otherwise(none)
+
+    def found(pieces: Column, lens: Column, starts: Column) -> Column:
+        match = lambda i: F.struct(
+            F.get(starts, i).alias("start"), F.lit(kind).alias("kind"), (F.get(starts, i) + F.get(lens, i)).alias("end"), F.substring_index(F.get(pieces, i), "\x03", -1).alias("token")
+        )
+        return F.filter(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2)), match), lambda s: F.length(s["token"]) >= least)
+
+    of = lambda own: let(F.transform(own, lambda p, i: F.length(p) - F.pmod(i, F.lit(2))), lambda lens: let(prefix_sums(lens), lambda starts: found(own, lens, starts)))
+    return F.when(F.size(pieces) > 1, let(pieces, of)).otherwise(none)
 
 
 def random_strings(spark: SparkSession) -> DataFrame:
