@@ -109,11 +109,11 @@ def fit(rows: list[Row], toxic: np.ndarray) -> Model:
     weights = np.zeros(BUCKETS)
     if not n or not pos or pos == n:
         return Model(weights.astype(np.float32), 0.0 if not n else -30.0 if not pos else 30.0)
-    flat = np.concatenate([b for b, _ in rows])
-    count = np.concatenate([c for _, c in rows]).astype(float)
-    row = np.repeat(np.arange(n), [len(b) for b, _ in rows])
-    seen = np.bincount(flat, minlength=BUCKETS)
-    bad = np.bincount(flat, weights=toxic[row], minlength=BUCKETS)
+    seen, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for (buckets, _), y in zip(rows, toxic, strict=True):  # a text's buckets are distinct
+        seen[buckets] += 1
+        if y:
+            bad[buckets] += 1
     share = (seen + 1) / (n + 2)
     z = (bad / pos - (seen - bad) / (n - pos)) / np.sqrt(share * (1 - share) * (1 / pos + 1 / (n - pos)))
     z[seen < LEAST_TEXTS] = 0
@@ -124,8 +124,9 @@ def fit(rows: list[Row], toxic: np.ndarray) -> Model:
         chosen = np.union1d(chosen, np.concatenate([b for _, b, _ in swapped]))
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
-    kept = column[flat] >= 0
-    row, col, count = row[kept], column[flat[kept]], count[kept]
+    few = [(column[b][column[b] >= 0], c[column[b] >= 0]) for b, c in rows]
+    row = np.repeat(np.arange(n), [len(b) for b, _ in few])
+    col, count = np.concatenate([b for b, _ in few]), np.concatenate([c for _, c in few]).astype(float)
     source = np.repeat(np.arange(len(swapped)), [len(b) for _, b, _ in swapped])
     s_col = column[np.concatenate([b for _, b, _ in swapped])] if swapped else np.zeros(0, np.int64)
     s_by = np.concatenate([c for _, _, c in swapped]) if swapped else np.zeros(0)
@@ -165,10 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"buckets": [b.tobytes() for b, _ in found], "counts": [c.tobytes() for _, c in found]})
 
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i")
-    found = texts.select("i", "y", pack("t").alias("f")).collect()
-    found.sort(key=lambda r: (r.i, r.f))
-    rows = [(np.frombuffer(r.f.buckets, np.int32), np.frombuffer(r.f.counts, np.uint8)) for r in found]
-    return fit(rows, np.array([float(r.y) for r in found]))
+    packed = sorted((r.i, bytes(r.f.buckets), bytes(r.f.counts), float(r.y)) for r in texts.select("i", "y", pack("t").alias("f")).collect())
+    rows = [(np.frombuffer(b, np.int32), np.frombuffer(c, np.uint8)) for _, b, c, _ in packed]
+    return fit(rows, np.array([y for *_, y in packed]))
 
 
 def scores(text: Column, model: Model, session) -> Column:
