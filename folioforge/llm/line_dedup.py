@@ -91,14 +91,15 @@ def _deleted(around: Column, middle: Column, longer: Column, width: Column) -> C
 
 def alike(parts: DataFrame) -> DataFrame:
     """h1, h2, short, a, b of the parts (and key) that two different lines share."""
-    shared = parts.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key")
+    shared = written(parts.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"))
     return written(parts.join(shared, "key").select("h1", "h2", "short", "a", "b").distinct())
 
 
 def near_lines(known: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """h1, h2 of the distinct lines that an earlier distinct line is near. known: h1, h2, gate of all lines; first: h1, h2, at (d, k, n of the earliest)."""
     keys = known.select(F.explode("gate").alias("g"), "h1")
-    shared = keys.groupBy("g").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("g")
+    # written, so that the join below has a shuffle of its own, whose hot keys Spark splits
+    shared = written(keys.groupBy("g").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("g"))
     gated = written(keys.join(shared, "g").select("h1").distinct())
     places = written(first.join(gated, "h1", "left_semi").select(F.col("at.d").alias("d"), F.col("at.k").alias("k"), F.col("at.n").alias("n"), "h1", "h2", "at"))
     # their texts: a Bloom filter of bounded size holds back most other lines before the join
