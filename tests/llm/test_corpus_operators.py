@@ -191,6 +191,15 @@ def test_tree_is_a_distribution(spark):
     assert log(b"abab") > log(b"cccc")
 
 
+def test_contexts_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    want = sorted((r.doc_id, round(r.score, 5), round(r.base_score, 5)) for r in suffix_tree_lm.lm_scores(docs).collect())
+    for hot in (1 << 18, 40):
+        monkeypatch.setattr(suffix_tree_lm, "MAX_CONTEXTS", 20)
+        monkeypatch.setattr(suffix_tree_lm, "HOT", hot)
+        assert sorted((r.doc_id, round(r.score, 5), round(r.base_score, 5)) for r in suffix_tree_lm.lm_scores(docs).collect()) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
