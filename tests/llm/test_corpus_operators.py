@@ -200,6 +200,80 @@ def test_contexts_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
         assert sorted((r.doc_id, round(r.score, 5), round(r.base_score, 5)) for r in suffix_tree_lm.lm_scores(docs).collect()) == want
 
 
+def chains(n, length, seed=1):
+    """Texts of which each word depends on the two before it: the same words follow after 'a b', others after 'b b'."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = [rng.randrange(12), rng.randrange(12)]
+        while len(words) < length:
+            words.append((3 * words[-1] + 5 * words[-2] + rng.randrange(2)) % 12)
+        out.append((i, " ".join(f"w{'abcdefghijkl'[w]}" for w in words)))
+    return out
+
+
+def test_language_model_knows_sequences(spark, monkeypatch):
+    rows = chains(400, 40)
+    rng = random.Random(2)
+    shuffled = []
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 == 2:
+            words = t.split()
+            rng.shuffle(words)
+            shuffled.append((i, " ".join(words)))
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    own = {r.doc_id: r for r in suffix_tree_lm.lm_scores(docs_of(spark, rows)).collect() if r.held_out}
+    other = {r.doc_id: r for r in suffix_tree_lm.lm_scores(docs_of(spark, train + shuffled)).collect() if r.held_out}
+    assert len(own) > 30 and own.keys() == other.keys()
+    for i, r in own.items():
+        assert r.base_score == pytest.approx(other[i].base_score)
+        assert r.score > other[i].score + 5 and r.score > r.base_score + 5
+    monkeypatch.setattr(suffix_tree_lm, "HOT", 40)  # most terms joined
+    cold = {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(docs_of(spark, rows)).collect() if r.held_out}
+    assert cold == pytest.approx({i: r.score for i, r in own.items()})
+
+
+def test_contexts_of_words_equal_brute_force(spark):
+    rows = chains(150, 30, seed=3)
+    train = [["", *t.split(), ""] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = collections.defaultdict(collections.Counter)
+    for words in train:
+        for i in range(1, len(words)):
+            for d in range(0, i + 1):
+                counts[tuple(words[i - d : i])][words[i]] += 1
+    total = {c: sum(x.values()) for c, x in counts.items()}
+    kept = {()}
+    for c in sorted(counts, key=len):
+        if c and c[1:] in kept and total[c] >= suffix_tree_lm.LEAST_COUNT:
+            gain = sum(n * math.log((n / total[c]) / (counts[c[1:]][w] / total[c[1:]])) for w, n in counts[c].items())
+            if len(c) == 1 or gain >= suffix_tree_lm.LEAST_GAIN:
+                kept.add(c)
+    assert max(map(len, kept)) >= 2
+    docs = docs_of(spark, rows)
+    tokens, ends = total[()], len(train)
+    vocabulary = suffix_tree_lm.word_counts(docs.filter(docs.doc_id.isin([i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2])))
+    nodes = [(r.code, r.t, [(x.sym, x.n) for x in r.dist]) for r in suffix_tree_lm.retained(suffix_tree_lm.context_counts(vocabulary)).collect()]
+    tree = suffix_tree_lm.Tree(nodes, ends, tokens)
+    kinds = len(counts[()])
+
+    def p(word, context):
+        spelt = 10 ** (tree.end if not word else tree.go_on + tree.words([word.encode()])[0])
+        out = (counts[()][word] + kinds * spelt) / (tokens + kinds)
+        for d in range(1, len(context) + 1):
+            c = tuple(context[-d:])
+            if c not in kept:
+                break
+            out = (counts[c][word] + len(counts[c]) * out) / (total[c] + len(counts[c]))
+        return out
+
+    got = {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(docs).collect()}
+    want = {}
+    for i, t in rows:
+        words = ["", *t.split(), ""]
+        want[i] = sum(math.log10(p(words[j], words[:j])) for j in range(1, len(words)))
+    assert got == pytest.approx(want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
