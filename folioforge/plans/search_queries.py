@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ from folioforge.sources import derived as D
 from .registry import query
 from .text_queries import _TOK
 
+#: Titles that a block of the fuzzy search holds on average.
+BLOCK = 1000
+
 _W = D.over(D.BOOKS)
 _WS = D.over(D.SOURCE_RECORDS)
 
@@ -61,12 +68,23 @@ def q5_author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q6_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles near each query: blocked by a shared word, so that no cross join is made, then scored and cut at 0.8."""
+    """Titles near each query: every query with every title, a block of queries with a block of titles at a time, cut at 0.8."""
     b = D.books(spark, sf_dir).filter("title is not null").select("id", F.lower("title").alias("title"))
     q = b.filter("id % 50 = 0").select(F.col("id").alias("query"), F.concat("title", F.lit("x")).alias("asked"))
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: w.rlike("^[0-9]+x?$")))).alias("w")
-    pairs = q.select("query", "asked", words("asked")).withColumn("w", F.rtrim("w", F.lit("x"))).join(b.select("id", "title", words("title")), "w").drop("w").distinct()
-    return R.top_k(pairs.select("query", "id", F.round(S.jaro_winkler_col(F.col("asked"), F.col("title")), 6).alias("score")).filter("score >= 0.8"), 10)
+    blocks = b.count() // BLOCK + 1
+    block = lambda df, key, n: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(*[F.collect_list(F.struct(*df.columns)).alias(key)]).drop("block")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for asked, titles in zip(frame["query"], frame["id"], strict=True):
+                ids, texts = np.array([t["id"] for t in titles], np.int64), [t["title"] for t in titles]
+                for a in asked:
+                    score = S.jaro_winkler_block(a["asked"], texts)
+                    near = score >= 0.7999  # rounded, and cut, below
+                    yield pd.DataFrame({"query": a["query"], "id": ids[near], "score": score[near]})
+
+    scored = block(b, "id", blocks).crossJoin(block(q, "query", blocks // 50 + 1)).repartition(blocks).mapInPandas(run, "query bigint, id bigint, score double")
+    return R.top_k(scored.withColumn("score", F.round("score", 6)).filter("score >= 0.8"), 10)
 
 
 _SCORES = """WITH toks AS (SELECT doc_id AS id, unnest({tok}) AS term FROM documents), c AS (SELECT id, term, count(*) AS n FROM toks GROUP BY ALL),
