@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of a pandas frame are handed on in slices of about this many characters, so that long texts do not add up.
 SLICE_CHARS = 8_000_000
 
+#: The attribute of a frame that holds its folder.
+_WRITTEN = "__ff_written"
+
 _ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORDS_ONLY = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -28,21 +31,32 @@ def doc_hash(doc_id: Column | str, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is set."""
+    """The shared checkpoint folder of the session; where none is set, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder: cuts the lineage, and survives the loss of executors."""
+def written(df: DataFrame, drop: Iterable[DataFrame] = ()) -> DataFrame:
+    """df, written once as Parquet in the shared folder: cuts the lineage, and survives the loss of executors.
+
+    drop: earlier results of written() that nothing reads from now on; their folders go once df is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in drop:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old.__dict__[_WRITTEN])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__[_WRITTEN] = path
+    return out
 
 
 def let(value: Column, body) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, written
-from .url_cascade import BITS_PER_KEY, MAX_BITS, build_level, hit
+from .url_cascade import perhaps
 
 #: Characters that make no word.
 BLANK = " \\t\\n\\x0B\\f\\r"
@@ -90,58 +90,58 @@ def _deleted(around: Column, middle: Column, longer: Column, width: Column) -> C
 
 
 def alike(parts: DataFrame) -> DataFrame:
-    """h1, h2, short, a, b of the parts (and key) that two different lines share."""
+    """The parts whose key two different lines (h1) have."""
     shared = written(parts.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"))
-    return written(parts.join(shared, "key").select("h1", "h2", "short", "a", "b").distinct())
-
-
-def near_lines(known: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h1, h2 of the distinct lines that an earlier distinct line is near. known: h1, h2, gate of all lines; first: h1, h2, at (d, k, n of the earliest)."""
-    keys = known.select(F.explode("gate").alias("g"), "h1")
-    # written, so that the join below has a shuffle of its own, whose hot keys Spark splits
-    shared = written(keys.groupBy("g").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("g"))
-    gated = written(keys.join(shared, "g").select("h1").distinct())
-    places = written(first.join(gated, "h1", "left_semi").select(F.col("at.d").alias("d"), F.col("at.k").alias("k"), F.col("at.n").alias("n"), "h1", "h2", "at"))
-    # their texts: a Bloom filter of bounded size holds back most other lines before the join
-    words, bits = build_level(places.select(F.col("h1").alias("key")), 0, min(places.count(), MAX_BITS // BITS_PER_KEY))
-    words = written(words)
+    return parts.filter(perhaps(F.col("key"), shared)).join(shared, "key")
+
+
+def near_lines(first: DataFrame, docs: DataFrame, id_col: str, text_col: str, near_chars: int) -> DataFrame:
+    """h1, h2 of the distinct lines that an earlier distinct line is near. first: h1, h2, at (d, k, n of the earliest)."""
     l1, l2 = line_hash(F.col("line"))
-    found = lines_of(docs, id_col, text_col).withColumn("l1", l1).filter(hit(words.scalar(), F.col("l1"), 0, bits)).withColumn("l2", l2)
+    found = lines_of(docs, id_col, text_col).filter(F.length("line") >= near_chars)
+    gated = written(alike(found.select(l1.alias("h1"), F.explode(gate_keys(F.col("line"))).alias("key"))).select(F.col("h1").alias("key")).distinct())
+    places = first.filter(perhaps(F.col("h1"), gated)).join(gated, F.col("h1") == F.col("key"), "left_semi")
+    places = written(places.select(F.col("at.d").alias("d"), F.col("at.k").alias("k"), F.col("at.n").alias("n"), "h1", "h2", "at"))
+    # their texts, each from the earliest place
+    there = perhaps(F.xxhash64("d", "k", "n", "l1"), places.select(F.xxhash64("d", "k", "n", "h1").alias("key")))
+    found = found.withColumn("l1", l1).filter(there).withColumn("l2", l2)
     on = found["d"].eqNullSafe(places["d"]) & (found["k"] == places["k"]) & (found["n"] == places["n"]) & (found["l1"] == places["h1"]) & (found["l2"] == places["h2"])
-    lines = written(found.join(places, on).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min("at").alias("at")))
+    lines = written(found.join(places, on).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min("at").alias("at")), drop=[gated, places])
     size = F.length("line")
     roles = lines.select("h1", "h2", "line", F.explode(F.array(size, size - 1)).alias("short")).filter("short > 0")
     coarse = roles.select("h1", "h2", "short", F.explode(windows(F.col("line"), F.col("short"), F.lit(0), F.col("short"), F.lit(PARTS))).alias("p")).select("h1", "h2", "short", "p.*")
     texts = lines.select("h1", "h2", "line")
-    narrow = alike(coarse).join(texts, ["h1", "h2"])
+    narrow = written(alike(coarse).select("h1", "h2", "short", "a", "b").distinct()).join(texts, ["h1", "h2"])
     parts = F.least(F.lit(FINE_PARTS), F.ceil((F.col("b") - F.col("a")) / FINE_CHARS)).cast("int")
     fine = narrow.select("h1", "h2", "short", F.explode(windows(F.col("line"), F.col("short"), F.col("a"), F.col("b"), parts)).alias("p")).select("h1", "h2", "short", "p.*")
-    last = alike(fine).join(lines, ["h1", "h2"])
+    last = written(alike(fine).select("h1", "h2", "short", "a", "b").distinct()).join(lines, ["h1", "h2"])
     each = written(last.select("h1", "h2", "at", F.explode(variants(F.col("line"), F.col("short"), F.col("a"), F.col("b"))).alias("v")).select("h1", "h2", "at", "v.key", "v.role"))
     of = lambda role: F.min(F.when(F.col("role") == role, F.struct("at", "h1", "h2")))
     earliest = each.groupBy("key").agg(F.count("*").alias("c"), of(0).alias("e0"), of(1).alias("e1"), of(2).alias("e2")).filter("c > 1").drop("c")
+    # written, so that the join with it has a shuffle of its own, whose hot keys Spark splits
+    earliest = written(earliest)
     other = F.when(F.col("role") == 0, F.col("e0")).when(F.col("role") == 1, F.col("e2")).otherwise(F.col("e1"))
-    links = each.join(earliest, "key").withColumn("e", other).filter(F.col("e.at") < F.col("at"))
+    links = each.filter(perhaps(F.col("key"), earliest)).join(earliest, "key").withColumn("e", other).filter(F.col("e.at") < F.col("at"))
     pairs = links.groupBy("h1", "h2").agg(F.min("e").alias("e")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
     checked = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other")), ["e1", "e2"])
-    return written(checked.filter(F.levenshtein("line", "other", EDITS).between(0, EDITS)).select("h1", "h2"))
+    return written(checked.filter(F.levenshtein("line", "other", EDITS).between(0, EDITS)).select("h1", "h2"), drop=[lines, each, earliest])
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """d, k, exact, near: for each text that loses lines, their sorted numbers by reason."""
-    found = lines_of(docs, id_col, text_col)
     h1, h2 = line_hash(F.col("line"))
-    known = written(found.select("d", "k", "n", h1.alias("h1"), h2.alias("h2"), F.when(F.length("line") >= near_chars, gate_keys(F.col("line"))).alias("gate")))
+    known = written(lines_of(docs, id_col, text_col).select("d", "k", "n", h1.alias("h1"), h2.alias("h2")))
     first = written(known.groupBy("h1", "h2").agg(F.min(F.struct("d", "k", "n")).alias("at"), F.count("*").alias("c")))
-    near = near_lines(known, first, docs, id_col, text_col)
+    near = near_lines(first, docs, id_col, text_col, near_chars)
     repeated = first.filter("c > 1").select("h1", "h2", "at", F.lit(False).alias("near"))
     doomed = repeated.unionByName(near.select("h1", "h2", F.lit(None).cast(first.schema["at"].dataType).alias("at"), F.lit(True).alias("near")))
-    doomed = doomed.groupBy("h1", "h2").agg(F.max("at").alias("at"), F.max("near").alias("near"))
+    # written, so that the join with it has a shuffle of its own, whose hot keys (a line that stands everywhere) Spark splits
+    doomed = written(doomed.groupBy("h1", "h2").agg(F.max("at").alias("at"), F.max("near").alias("near")), drop=[first])
     here = F.struct("d", "k", "n")
-    gone = known.select("d", "k", "n", "h1", "h2").join(doomed, ["h1", "h2"])
+    gone = known.filter(perhaps(F.col("h1"), doomed.select(F.col("h1").alias("key")))).join(doomed, ["h1", "h2"])
     gone = gone.select("d", "k", "n", (F.col("at").isNotNull() & (F.col("at") < here)).alias("exact"), "near").filter("exact or near")
     lists = gone.groupBy("d", "k").agg(F.collect_set(F.when(F.col("exact"), F.col("n"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("n"))).alias("near"))
-    return lists
+    return written(lists, drop=[known, doomed])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, near_chars: int = NEAR_CHARS) -> DataFrame:
@@ -149,7 +149,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = dropped_lines(docs, id_col, text_col, near_chars).withColumnsRenamed({"d": "__ff_d", "k": "__ff_k", "exact": "__ff_exact", "near": "__ff_near"})
     text = F.col(f"`{text_col}`")
     marked = docs.withColumn("__ff_t", F.xxhash64(text))
-    both = marked.join(gone.hint("shuffle_hash"), marked[f"`{id_col}`"].eqNullSafe(gone["__ff_d"]) & (marked["__ff_t"] == gone["__ff_k"]), "left")
+    # texts that surely lose nothing are not shuffled
+    loses = perhaps(F.xxhash64(f"`{id_col}`", "__ff_t"), gone.select(F.xxhash64("__ff_d", "__ff_k").alias("key")))
+    some = marked.filter(loses)
+    both = some.join(gone.hint("shuffle_hash"), some[f"`{id_col}`"].eqNullSafe(gone["__ff_d"]) & (some["__ff_t"] == gone["__ff_k"]), "left")
+    both = both.unionByName(marked.filter(~loses), allowMissingColumns=True)
     lines = F.split(text, "\n")
     kept = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.concat("__ff_exact", "__ff_near"))
     rest = let(lines, lambda own: F.array_join(F.transform(kept(own), lambda i: F.get(own, i)), "\n"))
@@ -178,14 +182,12 @@ def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return done.filter(~F.coalesce(empty & lost, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-#: One row per document, by plain SQL: all pairs of distinct lines of near lengths (for small tables).
+#: One row per document, by plain SQL: all pairs of distinct lines whose lengths differ by 1 at most.
 SQL = r"""
 WITH t AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
 w AS (SELECT * FROM t WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
 f AS (SELECT line, min({'d': doc_id, 'n': n}) AS pos, length(line) AS len FROM w GROUP BY line),
-k AS (SELECT line, pos, len, g FROM (SELECT line, pos, len, unnest([concat('p', c, left(line, c // 2)), concat('s', c, right(line, c // 2)), concat('p', b, left(line, b // 2)), concat('s', b, right(line, b // 2))]) AS g
-  FROM (SELECT *, CAST(2 ** floor(log2(greatest(len, 1))) AS BIGINT) AS c, CAST(2 ** floor(log2(greatest(len - 1, 1))) AS BIGINT) AS b FROM f WHERE len >= 12)) GROUP BY ALL),
-near AS (SELECT DISTINCT x.line FROM k x JOIN k y ON x.g = y.g AND x.line <> y.line AND y.pos < x.pos AND abs(x.len - y.len) <= 1 WHERE levenshtein(x.line, y.line) <= 1),
+near AS (SELECT DISTINCT x.line FROM (SELECT *, unnest([len - 1, len, len + 1]) AS other FROM f WHERE len >= 12) x JOIN f y ON y.len = x.other AND y.len >= 12 AND y.pos < x.pos WHERE levenshtein(x.line, y.line) <= 1),
 m AS (SELECT w.doc_id, count(*) FILTER (f.pos < {'d': w.doc_id, 'n': w.n}) AS n_exact, count(*) FILTER (NOT f.pos < {'d': w.doc_id, 'n': w.n} AND near.line IS NOT NULL) AS n_near
   FROM w JOIN f ON w.line = f.line LEFT JOIN near ON w.line = near.line GROUP BY w.doc_id),
 r AS (SELECT t.doc_id, string_agg(t.line, chr(10) ORDER BY t.n) AS text FROM t LEFT JOIN f ON t.line = f.line LEFT JOIN near ON t.line = near.line

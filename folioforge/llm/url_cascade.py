@@ -73,6 +73,12 @@ def hit(words: Column, key: Column, level: int, bits: int) -> Column:
     return out
 
 
+def perhaps(key: Column, keys: DataFrame) -> Column:
+    """Whether a key may be among keys.key, told by a filter of bounded size: it spares shuffles, the join after it decides."""
+    words, bits = build_level(keys, 0, min(keys.count(), MAX_BITS // BITS_PER_KEY))
+    return hit(written(words).scalar(), key, 0, bits)
+
+
 Level = tuple[DataFrame, int]
 
 
