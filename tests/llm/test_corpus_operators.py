@@ -80,8 +80,9 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
     want = sorted((i, least[i], degree[i]) for i in sets)
     docs = docs_of(spark, rows)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in minhash_forest.jaccard_join(docs).collect()) == want
-    monkeypatch.setattr(minhash_forest, "SMALL", 8)  # groups in blocks
+    monkeypatch.setattr(minhash_forest, "SMALL", 8)  # crowded groups: whole paths first, then shorter prefixes, in blocks
     monkeypatch.setattr(minhash_forest, "BLOCK", 4)
+    monkeypatch.setattr(minhash_forest, "LARGE_BLOCK", 6)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in minhash_forest.jaccard_join(docs).collect()) == want
     kept = minhash_forest.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({least[i] for i in sets})
@@ -92,7 +93,7 @@ def test_jaccard_join_odd_rows(spark):
     rows = [(1, text), (1, text), (None, text.upper()), (2, "one two"), (3, "One, two!"), (4, " ".join(f"w{i}" for i in range(30_000)))]
     got = sorted(((str(r.doc_id), str(r.class_id), r.n_links) for r in minhash_forest.jaccard_join(docs_of(spark, rows)).collect()))
     assert got == sorted([("1", "None", 2), ("1", "None", 2), ("None", "None", 2), ("2", "2", 1), ("3", "2", 1), ("4", "4", 0)])
-    assert minhash_forest.jaccard_join(docs_of(spark, [])).count() == 0 and minhash_forest.prefix_length() == 6
+    assert minhash_forest.jaccard_join(docs_of(spark, [])).count() == 0 and minhash_forest.levels() == [10, 9, 8, 7, 6]
 
 
 def test_components(spark):

@@ -1,6 +1,7 @@
 """Operators that map rows: compression bands, license rules, SentencePiece, spaced seeds, toxicity, secrets."""
 
 import base64
+import collections
 import hashlib
 import math
 import random
@@ -55,6 +56,24 @@ def test_compression_bands(spark):
     assert quality_compression.compression_quality(frame(spark, [])).count() == 0
 
 
+def test_compression_bands_reject_what_the_base_rule_keeps(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice(["the", "ing", "er", "on", "st", "re", "a", "ou", "nd"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    numbered = " ".join(f"entry-{i} entry+{i} entry.{i}" for i in range(300))
+    noise = lambda n: " ".join(base64.b64encode(rng.randbytes(9)).decode() for _ in range(n))
+    rows = [(i, prose(60 + 40 * i)) for i in range(20)]
+    rows += [(100, numbered), (101, noise(400)), (102, prose(300) + " " + noise(400)), (103, prose(400) + " " + numbered), (104, noise(60)), (105, prose(2000) + " " + noise(20))]
+    got = {r.doc_id: r for r in quality_compression.compression_quality(frame(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i, r in got.items() if not r.kept] == [100, 101, 102, 103, 104]
+    for i, t in rows:  # the verdict, worked out once more
+        raw, pack = t.encode(), zstandard.ZstdCompressor(level=3).compress
+        inside = lambda b: next(low <= len(pack(b)) / len(b) <= high for at, low, high in reversed(quality_compression.BANDS) if len(b) >= at)  # noqa: B023, E731
+        parts = [raw[j : j + 1024] for j in range(0, len(raw), 1024)]
+        odd = sum(len(x) for x in parts if not inside(x))
+        assert got[i].kept == (inside(raw) and odd <= 0.3 * len(raw)) and got[i].n_chunks == len(parts)
+
+
 def brute_licenses(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
@@ -72,9 +91,34 @@ def test_license_rules(spark):
     assert len(license_rules.rules()) > 200
 
 
+def test_the_prefilter_loses_no_detection():
+    scanner = license_rules.Scanner()
+    names = [
+        "mit", "mit no attribution", "apache license, version 2.0", "gnu general  public license, version 3", "gpl v2", "lgpl version 3", "lgpl-2.1", "agpl 3.0", "lgpl", "mozilla public license version 2.0", "bsd", "3-clause bsd", "freebsd",
+        "creative commons attribution 4.0", "creative commons attribution-sharealike 4.0", "creative commons attribution-share-alike 3.0", "creative commons attribution-non-commercial 4.0", "creative commons attribution-noncommercial-sharealike 4.0",
+        "creative commons attribution-no-derivatives 4.0", "creative commons attribution-noncommercial-noderivs 4.0", "cc by 4.0", "cc-by-sa-4.0", "creativeml open rail-m", "openrail++", "wtfpl", "do what the fuck you want to public license", "bzip2", "sleepycat", "zlib",
+        "open data commons open database license", "public domain dedication and license", "polyform noncommercial", "gemma terms of use", "x.net", "sun industry standards source license", "beer-ware", "datenlizenz deutschland", "mulan permissive software license",
+    ]
+    forms = ["licensed under the {}", "licenced under the terms of\nthe {} licence", "released  under {}", "available under\t{} license", "provided under {}", "subject to the terms of the {}", "in accordance with {}", "license: {}", "licence = '{}", "the {} license", "see {} public license"]
+    texts = [f.format(n) for n in names for f in forms]
+    texts += [f"spdx-license-identifier: {x}" for x in ("mit", "gpl-2.0-or-later", "cc-by-nc-nd-4.0", "rsalv2", "0bsd", "zpl-2.1")]
+    texts += [rx.replace("\\.", ".").replace("(?s:.{0,200}?)", " x ") for *_, rx in license_rules._table(license_rules.NOTICES, 5)] + [" ".join(texts[:150])]
+    found = set()
+    for t in texts:
+        open_hits = [(m.start(), m.end(), i) for i, r in enumerate(scanner.rules) for m in r.pattern.finditer(t) if m.end() > m.start()]
+        assert scanner.detections(t) == scanner.resolve(open_hits), t
+        found |= {i for *_, i in open_hits}
+    for n in names:
+        assert scanner.detections(f"licensed under the {n}"), n
+    assert len(found) > 200
+    assert len({r.pattern.pattern for r in scanner.rules}) == len(scanner.rules) > 1000
+    families = license_rules.FAMILIES.strip().splitlines()
+    assert len(families) + len(license_rules._table(license_rules.NOTICES, 5)) > 200
+
+
 def test_contained_detections_go():
     rng, Rule = random.Random(1), license_rules.Rule
-    scanner = license_rules.Scanner([Rule("long", 1, 1.0, "abc", re.compile("abcde")), Rule("short", 1, 1.0, "abc", re.compile("bcd")), Rule("first", 9, 1.0, "abc", re.compile("cd"))])
+    scanner = license_rules.Scanner([Rule("long", 1, 1.0, (frozenset(["abc"]),), re.compile("abcde")), Rule("short", 1, 1.0, (frozenset(["abc"]),), re.compile("bcd")), Rule("first", 9, 1.0, (frozenset(["abc"]),), re.compile("cd"))])
     assert [scanner.rules[i].label for _, _, i in scanner.detections("xxabcdexx")] == ["long", "first"]
     for _ in range(200):
         spans = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(30) for _ in range(12))]
@@ -214,7 +258,9 @@ def test_toxicity(spark):
     assert sum(r.predicted == of[r.doc_id] for r in held) >= 0.97 * len(held)
     kept = toxicity.keep_civil(*tables)
     assert kept.columns == SCHEMA_COLUMNS and 0 < kept.count() < len(got)
-    assert toxicity.toxicity(tables[0], tables[1].filter("false")).count() == len(got)
+    assert {r.score for r in toxicity.toxicity(tables[0], tables[1].filter("false")).collect()} == {0.5}
+    twice = tables[0].unionAll(tables[0].limit(50))  # repeated ids are one row of the sample each
+    assert toxicity.toxicity(twice, tables[1].unionAll(tables[1])).count() == len(got) + 50
 
 
 def test_counterfactuals_spare_neutral_mentions(monkeypatch):
@@ -223,9 +269,11 @@ def test_counterfactuals_spare_neutral_mentions(monkeypatch):
     rows, labels = toxic_world()
     sample, y = [toxicity.features(t) for _, t in rows], np.array([float(t) for _, _, t in labels])
     neutral = "muslims of the book and the text of the page view form"
-    with_penalty = toxicity.fit(sample, y).score(neutral)
+    chosen = np.unique(np.concatenate([b for b, _ in sample] + [np.array(toxicity.word_buckets(w.encode())) for w in toxicity.TERMS]))
+    swapped = collections.Counter(p for i, t in rows for p in toxicity.swaps(t, i))
+    with_penalty = toxicity.fit(sample, y, chosen, swapped).score(neutral)
     monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
-    without = toxicity.fit(sample, y).score(neutral)
+    without = toxicity.fit(sample, y, chosen, swapped).score(neutral)
     assert with_penalty < 0.5 and with_penalty < without
 
 
@@ -248,3 +296,38 @@ def test_secrets(spark):
     by = {r.doc_id: r for r in got}
     assert f"markov:4:{4 + len(key)}" in by[9].spans and by[10].spans == "" and by[11].n_hex == 3000 and by[4].spans == ""
     assert secret_markov.secret_scan(frame(spark, [])).count() == 0
+
+
+def test_markov_spans_are_new_and_equal_a_plain_reading(spark):
+    rng = random.Random(5)
+    letters = "the and ing ver con pro ment able stra tion der gen lich heit eau ción".split()
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    planted, rows = {}, []
+    for i in range(300):
+        words = [word() for _ in range(80)]
+        if i % 3 == 0:  # random base62 or base64 of 20 to 40 characters, without any keyword
+            token = base64.b64encode(rng.randbytes(40)).decode()[: rng.randint(20, 40)]
+            planted[i] = token if i % 2 else re.sub("[+/=]", "x", token)
+            words[rng.randrange(80)] = planted[i]
+        elif i % 3 == 1:
+            words[5] = f"password={hashlib.md5(str(i).encode()).hexdigest()}"
+            words[9] = rng.choice(["getUserNameFromRequestIndex", "MAX_CONNECTION_TIMEOUT_SECONDS", "org/example/service/handler/Client", "internationalization-of-configuration"])
+        rows.append((i, " ".join(words)))
+    docs = frame(spark, rows)
+    got = {r.doc_id: [tuple(x.split(":")) for x in r.spans.split(",") if x] for r in secret_markov.secret_scan(docs).collect()}
+    table = secret_markov.ratios(docs)
+    caught = 0
+    for i, t in rows:
+        base = [(m.start(), m.end()) for m in re.finditer(r"password=([0-9a-f]{32})|[0-9a-f]{16,}", t)]
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", "".join("\x02" if any(a <= k < b for a, b in base) else c for k, c in enumerate(t))):
+            llr = sum(table[(ord(a) - 43) * 80 + ord(b) - 43] for a, b in zip(m[0], m[0][1:], strict=False))
+            if llr >= 10 and llr >= 0.45 * (len(m[0]) - 1):
+                want.append(("markov", str(m.start()), str(m.end())))
+        assert [x for x in got[i] if x[0] == "markov"] == want
+        if i in planted:
+            at = t.index(planted[i])
+            caught += ("markov", str(at), str(at + len(planted[i]))) in want
+        else:
+            assert not want
+    assert caught >= 0.98 * len(planted)
