@@ -213,10 +213,55 @@ def test_decontamination_against_brute_force(spark):
     assert all(set(got[i]["items"]) <= set(want[i]) for i in want)  # nothing reported that brute force lacks
     planted = sum(map(len, want.values()))
     assert planted > 50 and len(missed) <= 0.03 * planted
+    assert not [k for _, k in missed if len(dict(items)[k]) <= decontaminate.SHORT]
     assert decontaminate.contamination(frame(spark, ODD), bench).filter("contaminated").count() == 0
     assert decontaminate.contamination(frame(spark, ODD), bench.filter("item_id > 900")).count() == len(ODD)
 
 
+def test_short_items_are_found_with_all_substitutions_that_the_rule_allows():
+    rng = random.Random(12)
+    for n in range(decontaminate.MIN_ITEM, decontaminate.SHORT + 2):
+        items = [(k, [f"i{k}"] + [rng.choice("abcdefg") for _ in range(n - 1)]) for k in range(4)]
+        seeds = decontaminate.Seeds([(k, " ".join(w)) for k, w in items])
+        docs = []
+        for _ in range(150):
+            piece = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(0, 5)):
+                piece[rng.randrange(n)] = rng.choice(["x", "a"])
+            docs.append([rng.choice("abcdefg") for _ in range(rng.randrange(3))] + piece[rng.choice((0, 0, 1)) :] + [rng.choice("ax") for _ in range(rng.randrange(3))])
+        _, held, _ = decontaminate.find([" ".join(d) for d in docs], seeds)
+        want = [[k for k, item in items if brute_overlap(d, item)] for d in docs]
+        missed = sum(h != w for h, w in zip(held, want, strict=True))
+        assert sum(map(len, want)) > 10 and missed <= (0 if n <= decontaminate.SHORT else 5)
+
+
+def test_long_items_recall_against_brute_force():
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(300)]
+    items = [(k, [rng.choice(words) for _ in range(rng.randrange(17, 60))]) for k in range(20)]
+    seeds = decontaminate.Seeds([(k, " ".join(w)) for k, w in items])
+    docs = []
+    for _ in range(400):
+        piece = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(0, 1 + len(piece) // 6)):
+            piece[rng.randrange(len(piece))] = "changed"
+        docs.append([rng.choice(words) for _ in range(10)] + piece + [rng.choice(words) for _ in range(10)])
+    _, held, _ = decontaminate.find([" ".join(d) for d in docs], seeds)
+    want = [[k for k, item in items if brute_overlap(d, item)] for d in docs]
+    pairs = sum(map(len, want))
+    found = sum(len(set(h) & set(w)) for h, w in zip(held, want, strict=True))
+    assert pairs > 300 and found >= 0.99 * pairs and all(set(h) <= set(w) for h, w in zip(held, want, strict=True))
+
+
+def test_repeated_words_give_few_hits():
+    import time
+
+    seeds = decontaminate.Seeds([(1, "same " * 2000), (2, "one two " * 700), (3, " ".join(f"u{i}" for i in range(30)))])
+    began = time.time()
+    _, held, most = decontaminate.find(["same " * 4000, "one two " * 1500 + " ".join(f"u{i}" for i in range(30)), "two one"], seeds)
+    assert held == [[1], [2, 3], []] and most[0] == 2000 and time.time() - began < 30
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(6)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
