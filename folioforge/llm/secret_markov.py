@@ -1,7 +1,9 @@
 """Secret scan: three fixed patterns, and character Markov models over all other long tokens; DataFrame functions only.
 
-Two first-order models of characters are trained, one on random strings and one on ordinary identifiers, both labelled
-samples of bounded size. A token of the text is a secret if its log-likelihood ratio, in all and by character, is high.
+Two first-order models of characters are trained on labelled samples of bounded size: secrets are what the fixed patterns find
+in the sampled documents, and random strings in the usual alphabets; ordinary are compound names, and the sampled documents'
+words without a digit. A token of the text outside those spans is a secret if its log-likelihood ratio, in all and by character,
+is high.
 
 Spans are (kind, start, end) in code points, end exclusive. Null and empty texts have none. Repeated rows are scanned alike.
 Characters U+0001 and U+0003 of a text are read as U+0002, which no pattern matches either.
@@ -14,17 +16,17 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, written
 
 #: The patterns of the base kinds, each as (what precedes, what counts), with the least length of the latter.
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 12)
 ACCESS = (r"()(AKIA[A-Z0-9]+)", 18)
 HEX = (r"()([0-9a-f]{16,})", 16)
-#: Tokens that the models judge: runs of these characters, from 20 on.
-TOKEN = (r"()([A-Za-z0-9+/_=-]{20,})", 20)
+#: Tokens that the models judge: runs of these characters, from 16 on; a shorter one says too little either way.
+TOKEN = (r"()([A-Za-z0-9+/_=-]{16,})", 16)
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Random strings of each family and documents whose words serve as identifiers, for training.
+#: Random strings of each family, and documents whose secrets and words serve for training.
 RANDOM, DOCUMENTS = 2000, 1000
 #: Of a secret: the least log-likelihood ratio in nats, in all and by character.
 LEAST_TOTAL, LEAST_MEAN = 10.0, 0.45
@@ -58,6 +60,17 @@ def marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, "\x01$1\x03$2\x01"), "\x01")
 
 
+def without(pieces: Column, text: Column, least: int) -> Column:
+    """The text of marked pieces with U+0002 for each character of the matches whose counted part is long enough."""
+    blank = lambda p, i: F.when((F.pmod(i, F.lit(2)) == 1) & (F.length(F.substring_index(p, "\x03", -1)) >= least), F.repeat(F.lit("\x02"), F.length(p) - 1)).otherwise(F.translate(p, "\x03", ""))
+    return F.when(F.size(pieces) > 1, F.array_join(F.transform(pieces, blank), "")).otherwise(text)
+
+
+def blanked(text: Column, pattern: str, least: int) -> Column:
+    """The text without the matches of a pattern."""
+    return let(text, lambda t: let(marked(t, pattern), lambda own: without(own, t, least)))
+
+
 def spans(pieces: Column, kind: int, least: int) -> Column:
     """array<struct<start, kind, end, token>> of the matches whose counted part is long enough."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>")
@@ -80,15 +93,29 @@ def random_strings(spark: SparkSession) -> DataFrame:
     return spark.range(RANDOM).select(F.explode(F.array(digest, base64, plain, F.upper(plain))).alias("token"))
 
 
-def ordinary_identifiers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Labelled sample: compound names, and the letter-only words of DOCUMENTS documents."""
-    spark = docs.sparkSession
+def compound_names(spark: SparkSession) -> DataFrame:
+    """Labelled sample: ordinary identifiers, put together from PARTS in the usual styles."""
     parts = spark.range(len(PARTS)).select(F.explode(F.array(*map(F.lit, PARTS))).alias("b"), F.get(F.array(*map(F.lit, PARTS)), F.col("id").cast("int")).alias("a"))
-    names = parts.select(F.explode(F.array(F.concat("a", F.initcap("b")), F.concat_ws("_", "a", "b"), F.concat_ws("-", "a", "b"), F.concat_ws("/", "a", "b"), F.upper(F.concat_ws("_", "a", "b")))).alias("token"))
+    return parts.select(F.explode(F.array(F.concat("a", F.initcap("b")), F.concat_ws("_", "a", "b"), F.concat_ws("-", "a", "b"), F.concat_ws("/", "a", "b"), F.upper(F.concat_ws("_", "a", "b")))).alias("token"))
+
+
+def sampled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """t: one text of each of DOCUMENTS documents."""
     chosen = docs.select(F.col(id_col).alias("i")).filter("i is not null").orderBy(F.xxhash64("i"), "i").limit(DOCUMENTS).distinct()
-    words = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i", "left_semi")
-    words = words.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,40}(?![A-Za-z0-9+/_=-])"), F.lit(0)))).alias("token"))
-    return names.unionAll(words)
+    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i", "left_semi")
+    return written(own.groupBy("i").agg(F.min("t").alias("t")).select("t"))
+
+
+def found_secrets(texts: DataFrame) -> DataFrame:
+    """Labelled sample: what the fixed patterns find in texts (t)."""
+    long = lambda p, least: F.filter(F.regexp_extract_all("t", F.lit(p), F.lit(2)), lambda x: F.length(x) >= least)
+    each = [long(*kind) for kind in (ASSIGN, ACCESS, HEX)]
+    return texts.select(F.explode(F.flatten(F.array(*each))).alias("token"))
+
+
+def ordinary_words(texts: DataFrame) -> DataFrame:
+    """Labelled sample: the letter-only words of texts (t)."""
+    return texts.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,40}(?![A-Za-z0-9+/_=-])"), F.lit(0)))).alias("token"))
 
 
 def transitions(tokens: DataFrame) -> DataFrame:
@@ -101,8 +128,8 @@ def transitions(tokens: DataFrame) -> DataFrame:
 
 def ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """ln P_random(b|a) / P_ordinary(b|a) by a * _SIDE + b; of fixed size."""
-    out = []
-    for tokens in (random_strings(docs.sparkSession), ordinary_identifiers(docs, id_col, text_col)):
+    spark, texts, out = docs.sparkSession, sampled(docs, id_col, text_col), []
+    for tokens in (random_strings(spark).unionAll(found_secrets(texts)), compound_names(spark).unionAll(ordinary_words(texts))):
         n = {(r.a, r.b): r.n for r in transitions(tokens).collect()}
         total = [SMOOTHING * _SIDE] * _SIDE
         for (a, _), c in n.items():
@@ -127,11 +154,15 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov: one row per document. No shuffle but for training."""
     table = F.split(F.lit(",".join(map(str, ratios(docs, id_col, text_col)))), ",").cast("array<double>")  # folded to a constant
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01\x03", "\x02\x02")
-    cut = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", *[marked(F.col("t"), p).alias(f"p{k}") for k, (p, _) in enumerate((ASSIGN, ACCESS, HEX, TOKEN))])
+    cut = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", "t", *[marked(F.col("t"), p).alias(f"p{k}") for k, (p, _) in enumerate((ASSIGN, ACCESS, HEX))])
+    rest = without(F.col("p0"), F.col("t"), ASSIGN[1])
+    for found in (ACCESS, HEX):
+        rest = blanked(rest, *found)
+    cut = cut.select("doc_id", "p0", "p1", "p2", marked(rest, TOKEN[0]).alias("p3"))
     found = cut.select("doc_id", *[spans(F.col(f"p{k}"), k, least).alias(f"s{k}") for k, (_, least) in enumerate((ASSIGN, ACCESS, HEX, TOKEN))])
     random = lambda s: (ratio_of(s["token"], table) >= LEAST_TOTAL) & (ratio_of(s["token"], table) >= LEAST_MEAN * (F.length(s["token"]) - 1))
-    found = found.withColumn("s3", F.filter("s3", random))
     base = F.array_sort(F.concat("s0", "s1", "s2"))
+    found = found.withColumn("s3", F.filter("s3", random))
     return found.select(
         "doc_id",
         *[F.size(f"s{k}").cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
