@@ -243,11 +243,16 @@ def test_contexts_of_words_equal_brute_force(spark):
             for d in range(0, i + 1):
                 counts[tuple(words[i - d : i])][words[i]] += 1
     total = {c: sum(x.values()) for c, x in counts.items()}
-    kept = {()}
+    told = {c: {w: n for w, n in x.items() if n >= suffix_tree_lm.CUT and counts[()][w] >= suffix_tree_lm.LEAST_COUNT} for c, x in counts.items()}
+    kept, counted = {()}, {()}
     for c in sorted(counts, key=len):
-        if c and c[1:] in kept and total[c] >= suffix_tree_lm.LEAST_COUNT:
-            gain = sum(n * math.log((n / total[c]) / (counts[c[1:]][w] / total[c[1:]])) for w, n in counts[c].items())
-            if len(c) == 1 or gain >= suffix_tree_lm.LEAST_GAIN:
+        if c and c[1:] in kept and c[:-1] in counted and total[c] >= suffix_tree_lm.LEAST_COUNT:
+            counted.add(c)
+            up, rest = c[1:], total[c] - sum(told[c].values())
+            up_rest = total[up] - sum(counts[up][w] for w in told[c])
+            gain = sum(n * math.log((n / total[c]) / (counts[up][w] / total[up])) for w, n in told[c].items())
+            gain += rest * math.log((rest / total[c]) / (up_rest / total[up])) if rest else 0
+            if told[c] and (len(c) == 1 or gain >= suffix_tree_lm.LEAST_GAIN):
                 kept.add(c)
     assert max(map(len, kept)) >= 2
     docs = docs_of(spark, rows)
@@ -264,7 +269,8 @@ def test_contexts_of_words_equal_brute_force(spark):
             c = tuple(context[-d:])
             if c not in kept:
                 break
-            out = (counts[c][word] + len(counts[c]) * out) / (total[c] + len(counts[c]))
+            pool = total[c] - sum(told[c].values()) + len(told[c])
+            out = (told[c].get(word, 0) + pool * out) / (total[c] + len(told[c]))
         return out
 
     got = {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(docs).collect()}
