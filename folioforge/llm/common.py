@@ -8,11 +8,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a pandas frame are handed on in slices of about this many characters, so that long texts do not add up.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 3_000_000
 
 #: The attribute of a frame that holds its folder.
 _WRITTEN = "__ff_written"
@@ -84,6 +85,7 @@ def plain_words(text: bytes) -> list[bytes]:
 def slices(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
     """The frames, cut where their texts add up to more than `chars`."""
     for frame in frames:
+        pa.default_memory_pool().release_unused()  # workers are used again, and would keep it
         sizes = frame[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
         groups = np.cumsum(sizes) // chars
         for g in np.unique(groups):

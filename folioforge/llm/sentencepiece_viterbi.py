@@ -33,9 +33,11 @@ BLANK = "▁"
 #: What a byte outside the vocabulary costs besides the rarest piece.
 BYTE_PENALTY = 10.0
 #: Chunks whose path a worker keeps, and the longest of them.
-MEMO, MEMO_CHARS = 500_000, 48
+MEMO, MEMO_CHARS = 60_000, 48
 #: Cells of the table in which chunks are relaxed side by side; a longer chunk has a table of its own.
-CELLS = 2_000_000
+CELLS = 1_000_000
+#: Characters of the texts that are encoded at once.
+ENCODE_CHARS = 2_000_000
 
 _CHUNKS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
 _MARKS = re.compile(f"({BLANK}+)")
@@ -263,7 +265,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = pieces(model)
-        for frame in slices(frames):
+        for frame in slices(frames, chars=ENCODE_CHARS):
             texts = [t if isinstance(t, str) else None for t in frame["text"]]
             ids = vocabulary.encode_all(texts)
             yield pd.DataFrame(
