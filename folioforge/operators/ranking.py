@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A ranker takes (queries, catalogue) and returns query, id, score, algorithm.
+#: A ranker takes (queries, catalogue) and returns query, id, score.
 Ranker = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+def search_all(rankers: dict[str, Ranker], queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """query, id, algorithm, score of all registered rankers: their answers stand beside one another, ready to be fused."""
+    out = None
+    for name, ranker in rankers.items():
+        one = ranker(queries, catalog).select("query", "id", F.lit(name).alias("algorithm"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def term_weights(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """(id, term, tf), and (term, idf): ln(N/df), or 0.1 where that is not above 0. Terms are counted by partial aggregates; N is joined in."""
     terms = docs.select(F.col(id_col).alias("id"), F.explode(tokens).alias("term"))

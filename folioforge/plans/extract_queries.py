@@ -20,18 +20,22 @@ _WS = D.over(D.SOURCE_RECORDS)
 _WQ = D.over(D.SEARCH_QUERIES)
 
 
-def _nth(values: tuple, of: str = "id") -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), (F.col(of) % len(values)).cast("int"))
-
-
 def _on(c: Column, w: float) -> Column:
     return F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0)
 
 
+#: Titles as a bad scan gives them: vowels doubled, and words torn before "ing" and "edg".
+_TORN = r"regexp_replace(regexp_replace(coalesce(title, ''), '([aeiou])', '\1\1', 'g'), '(iing|iidg|eedg)', ' \1', 'g')"
+
+
+def _torn() -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce("title", F.lit("")), "([aeiou])", "$1$1"), "(iing|iidg|eedg)", " $1")
+
+
 @query()
 def t5_collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubled letters collapse; a lower-case fragment is glued to a word of four letters or more, by a fold over the words."""
-    t = F.regexp_replace(_nth(("PPyytthhoonn Baasics", "Program ming in Ja va", "plain words here", "")), r"(?i)([a-z])\1+", "$1")
+    t = F.regexp_replace(_torn(), r"(?i)([a-z])\1+", "$1")
     words = F.split(t, " ")
     glue = lambda a, w: F.when((F.length(a) > 0) & w.rlike("^[a-z]{2,4}$") & (F.length(F.substring_index(a, " ", -1)) >= 4), F.concat(a, w)).when(a == "", w).otherwise(F.concat(a, F.lit(" "), w))
     return D.books(spark, sf_dir).select("id", F.aggregate(words, F.lit(""), glue).alias("collapsed"))
@@ -39,11 +43,12 @@ def t5_collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t6_artifact_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned text, and whether it looked broken."""
+    """The hash of the cleaned text, and whether it looked broken."""
     from folioforge.operators import quality as Q
 
-    t = _nth(("a b c d word", "PPyytthhoonn", "plain  words", ""))
-    return D.books(spark, sf_dir).select("id", F.regexp_replace(T.spaces(t), r"(?i)([a-z])\1+", "$1").alias("cleaned"), (Q.many_singles(t) | Q.repeated_letters(t)).alias("flagged"))
+    t = F.col("text")
+    cleaned = F.regexp_replace(T.spaces(t), r"(?i)([a-z])\1+", "$1")
+    return D.read(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned.cast("binary")).alias("h"), (Q.many_singles(t) | Q.repeated_letters(t)).alias("flagged"))
 
 
 @query(_WF + "SELECT id, CASE WHEN contains(lower(path), 'ring') THEN 'Ring House' WHEN contains(lower(path), 'bolt') THEN 'Bolt Press' END AS publisher, nullif(regexp_extract(path, '[(]((?:19|20)[0-9]{2})[)]', 1), '') AS year FROM files")
@@ -80,13 +85,18 @@ def t18_fill_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.files(spark, sf_dir).select("id", F.coalesce("title", F.concat(F.lit("file "), F.col("id").cast("string"))).alias("title"), F.when(F.col("publisher") == "Unknown", "from file").otherwise(F.col("publisher")).alias("publisher"), F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.6)).alias("confidence"))
 
 
-@query(_W + "SELECT id, ['Jane Doe|John Roe', 'Ann Poe', ''][id % 3 + 1] AS authors FROM books")
+_NAMED = D._person("coalesce(title, 'no title')") + " || ' - The Guide of ' || year || '_' || " + D._person("source || ' Author'") + " || ' - ' || path"
+
+
+@query(_WF + f"""SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array({_NAMED}, '[-_]'), lambda p: trim(p)),
+lambda p: len(string_split(p, ' ')) BETWEEN 2 AND 4 AND NOT regexp_matches(p, '[0-9]') AND NOT regexp_matches(lower(p), '\\b(the|guide|edition)\\b'))[1:2], '|') AS authors FROM files""")
 def t21_authors_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a file name that read as names: two to four words, no digit, no stop word; two at most."""
-    name = _nth(("Jane Doe - John Roe - The Guide 2", "Ann Poe - Python", "python_2020"))
+    person = lambda s: F.initcap(F.array_join(F.slice(F.split(s, " "), 1, 2), " "))
+    name = F.concat(person(F.coalesce("title", F.lit("no title"))), F.lit(" - The Guide of "), "year", F.lit("_"), person(F.concat("source", F.lit(" Author"))), F.lit(" - "), "path")
     parts = F.transform(F.split(name, "[-_]"), lambda x: F.trim(x))
     good = F.filter(parts, lambda p: F.size(F.split(p, " ")).between(2, 4) & ~p.rlike("[0-9]") & ~F.lower(p).rlike(r"\b(the|guide|edition)\b"))
-    return D.books(spark, sf_dir).select("id", F.array_join(F.slice(good, 1, 2), "|").alias("authors"))
+    return D.files(spark, sf_dir).select("id", F.array_join(F.slice(good, 1, 2), "|").alias("authors"))
 
 
 @query()
@@ -100,16 +110,21 @@ def t25_title_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.read(spark, sf_dir, "documents").select("doc_id", F.get(good, F.lit(0)).alias("title"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(translate(text, 'ﬁﬂ•·', 'fl**'), '[^[:print:]\n]', '', 'g')) = '' AS never FROM documents")
+@query(r"""SELECT doc_id, md5(array_to_string(list_transform(string_split(regexp_replace(translate(text, '•·', '**'), '[^[:print:]\n]', '', 'g'), ' '),
+lambda w: CASE WHEN regexp_matches(w, '^[0-9OIlS-]{9,}$') AND regexp_matches(w, '[0-9]') THEN translate(w, 'OIlS', '0115') ELSE w END), ' ')) AS h FROM documents""")
 def t27_printable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of PDF fonts mapped, others that can't be printed dropped: never empty of a hash."""
-    cleaned = F.regexp_replace(F.translate("text", "ﬁﬂ•·", "fl**"), r"[^\p{Print}\n]", "")
-    return D.read(spark, sf_dir, "documents").select("doc_id", (F.md5(cleaned.cast("binary")) == "").alias("never"))
+    """The hash of the cleaned whole text: characters of PDF fonts mapped, others that can't be printed dropped, letters read for digits set right in long tokens."""
+    cleaned = F.regexp_replace(F.translate("text", "•·", "**"), r"[^\p{Print}\n]", "")
+    token = lambda w: F.when(w.rlike("^[0-9OIlS-]{9,}$") & w.rlike("[0-9]"), F.translate(w, "OIlS", "0115")).otherwise(w)
+    cleaned = F.array_join(F.transform(F.split(cleaned, " "), token), " ")
+    return D.read(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned.cast("binary")).alias("h"))
 
 
-@query(f"SELECT doc_id, regexp_replace(translate(substr(text, 1, 200), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents")
+@query(f"SELECT doc_id, md5(regexp_replace(translate(text, '{T.ACCENTED}', '{T.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')) AS h FROM documents")
 def t28_ascii_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(T.strip_accents(F.substring("text", 1, 200)), r"[^\x00-\x7F]", "").alias("folded"))
+    """The hash of the whole text, folded to ASCII."""
+    folded = F.regexp_replace(T.strip_accents(F.col("text")), r"[^\x00-\x7F]", "")
+    return D.read(spark, sf_dir, "documents").select("doc_id", F.md5(folded.cast("binary")).alias("h"))
 
 
 @query(_W + "SELECT id, CASE upper(trim(publisher)) " + " ".join(f"WHEN '{r.replace(chr(39), chr(39) * 2)}' THEN '{n.replace(chr(39), chr(39) * 2)}'" for r, n in T.PUBLISHERS) + " END AS publisher FROM books")
@@ -123,30 +138,36 @@ def t31_publisher_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHORT = {"js": "javascript", "ml": "learning", "db": "database"}
 
 
-@query(_W + "SELECT id, ['javascript basics', 'learning systems', 'database small ring'][id % 3 + 1] AS tokens FROM books")
+_SHORT_SQL = "map_from_entries([" + ", ".join(f"('{a}', '{b}')" for a, b in _SHORT.items()) + "])"
+_STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP)
+
+
+@query(D.over(D.ASKED) + f"""SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(q), '[^\\w-]+'), lambda w: coalesce({_SHORT_SQL}[w], w)), lambda w: length(w) > 2 AND w NOT IN ({_STOP_SQL})), ' ') AS tokens FROM asked""")
 def t34_search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower case, abbreviations spelled out, stop words and short words dropped."""
-    q = _nth(("JS for the basics", "ML of systems", "DB small ring"))
     known = F.create_map(*[F.lit(x) for pair in _SHORT.items() for x in pair])
-    words = F.transform(F.split(F.lower(q), r"[^\w-]+"), lambda w: F.coalesce(F.try_element_at(known, w), w))
-    return D.books(spark, sf_dir).select("id", F.array_join(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*T.STOP)), " ").alias("tokens"))
+    words = F.transform(F.split(F.lower("q"), r"[^\w-]+"), lambda w: F.coalesce(F.try_element_at(known, w), w))
+    return D.asked(spark, sf_dir).select("id", F.array_join(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*T.STOP)), " ").alias("tokens"))
 
 
-@query(_W + "SELECT id, ['Ann Poe|Jane Doe', 'Max Moe', ''][id % 3 + 1] AS people FROM books")
+@query(D.over(D.ASKED) + "SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(q, '(?:by|author:) ([A-Z][a-z]+ [A-Z][a-z]+)', 1)))[1:3], '|') AS people FROM asked")
 def t41_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalized runs after an indicator, sorted, three at most."""
-    q = _nth(("books by Jane Doe and by Ann Poe", "author: Max Moe", "no names"))
-    found = F.regexp_extract_all(q, F.lit(r"(?:by|author:) ([A-Z][a-z]+ [A-Z][a-z]+)"), F.lit(1))
-    return D.books(spark, sf_dir).select("id", F.array_join(F.slice(F.array_sort(F.array_distinct(found)), 1, 3), "|").alias("people"))
+    found = F.regexp_extract_all("q", F.lit(r"(?:by|author:) ([A-Z][a-z]+ [A-Z][a-z]+)"), F.lit(1))
+    return D.asked(spark, sf_dir).select("id", F.array_join(F.slice(F.array_sort(F.array_distinct(found)), 1, 3), "|").alias("people"))
 
 
-@query(_W + "SELECT id, round([0.95, 0.7, 0.7, 0.1][id % 4 + 1], 6)::DOUBLE AS confidence FROM books")
+@query(D.over(D.ASKED) + """SELECT id, round(CASE WHEN len(p) > 0 THEN list_avg(p) ELSE 0.1 END, 6)::DOUBLE AS confidence FROM (SELECT id, list_filter([CASE WHEN regexp_matches(q, '[0-9]{10}') THEN 0.95::DOUBLE END,
+CASE WHEN len(n) > 0 THEN least(0.9::DOUBLE, 0.3::DOUBLE + 0.2::DOUBLE * list_avg(list_transform(n, lambda x: len(string_split(x, ' '))))) END, CASE WHEN regexp_matches(q, '"[^"]+"') THEN 0.7::DOUBLE END], lambda x: x IS NOT NULL) AS p
+FROM (SELECT id, q, regexp_extract_all(q, 'by ([A-Z][a-z]+(?: [A-Z][a-z]+)*)', 1) AS n FROM asked))""")
 def t43_query_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ISBN 0.95; author min(0.9, 0.3 + 0.2 words); title 0.7; nothing 0.1; else the mean of what was found."""
-    q = _nth(("9780132350884", "by Jane Doe", '"A Title"', "words"))
-    parts = F.array_compact(F.array(F.when(q.rlike("[0-9]{10}"), 0.95), F.when(q.rlike("by [A-Z]"), F.least(F.lit(0.9), 0.3 + 0.2 * F.lit(2))), F.when(q.rlike('"[^"]+"'), 0.7)))
+    """ISBN 0.95; authors min(0.9, 0.3 + 0.2 words of a name on average); title 0.7; nothing 0.1; else the mean of what was found."""
+    q = F.col("q")
+    names = F.regexp_extract_all(q, F.lit("by ([A-Z][a-z]+(?: [A-Z][a-z]+)*)"), F.lit(1))
+    words = F.aggregate(names, F.lit(0), lambda a, x: a + F.size(F.split(x, " "))) / F.size(names)
+    parts = F.array_compact(F.array(F.when(q.rlike("[0-9]{10}"), 0.95), F.when(F.size(names) > 0, F.least(F.lit(0.9), 0.3 + 0.2 * words)), F.when(q.rlike('"[^"]+"'), 0.7)))
     mean = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
-    return D.books(spark, sf_dir).select("id", F.round(F.when(F.size(parts) > 0, mean).otherwise(0.1), 6).alias("confidence"))
+    return D.asked(spark, sf_dir).select("id", F.round(F.when(F.size(parts) > 0, mean).otherwise(0.1), 6).alias("confidence"))
 
 
 _CUT = "CASE WHEN length(t) <= 50 THEN t ELSE regexp_replace(substr(t, 1, 50), '_[^_]*$', '') END"
@@ -164,18 +185,21 @@ def t53_char_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).select("id", F.translate("isbn_raw", "OIlS", "0115").alias("fixed"))
 
 
-@query(_W + "SELECT a.id AS query, b.id AS id, CASE WHEN a.isbn_raw = a.isbn_13 THEN 1.0 ELSE 0.85 END::DOUBLE AS score FROM books a JOIN books b ON b.isbn_13 = a.isbn_13 AND a.id % 7 <> 0 WHERE a.id % 10 IN (0, 1)")
-def q7_isbn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def isbn_ranker(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Exact hits first; what they miss (left anti) is repaired and looked up again, at 0.85."""
-    b = D.books(spark, sf_dir)
-    asked = b.filter("id % 10 in (0, 1)").select(F.col("id").alias("query"), "isbn_raw")
-    catalog = b.select("id", F.col("isbn_13").alias("key"))
-    exact = asked.select("query", isbn.normal13(F.col("isbn_raw")).alias("key")).join(catalog, "key").select("query", "id", F.lit(1.0).alias("score"))
+    asked, known = queries.select("query", "isbn_raw"), catalog.select("id", F.col("isbn_13").alias("key"))
+    exact = asked.select("query", isbn.normal13(F.col("isbn_raw")).alias("key")).join(known, "key").select("query", "id", F.lit(1.0).alias("score"))
     left = asked.join(exact.select("query"), "query", "left_anti")
-    fixed = left.select("query", F.explode(isbn.repaired(F.col("isbn_raw"))[0]).alias("key")).join(catalog, "key").select("query", "id", F.lit(0.85).alias("score")).distinct()
+    fixed = left.select("query", F.explode(isbn.repaired(F.col("isbn_raw"))[0]).alias("key")).join(known, "key").select("query", "id", F.lit(0.85).alias("score")).distinct()
     return exact.unionByName(fixed)
 
 
+@query(_W + "SELECT a.id AS query, b.id AS id, CASE WHEN a.isbn_raw = a.isbn_13 THEN 1.0 ELSE 0.85 END::DOUBLE AS score FROM books a JOIN books b ON b.isbn_13 = a.isbn_13 AND a.id % 7 <> 0 WHERE a.id % 10 IN (0, 1)")
+def q7_isbn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = D.books(spark, sf_dir)
+    return isbn_ranker(b.filter("id % 10 in (0, 1)").withColumn("query", F.col("id")), b)
+
+
 _TITLES = "list_distinct(string_split(lower(coalesce(title, '')), ' '))"
 
 
@@ -280,14 +304,19 @@ def z22_report_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).select("id", F.coalesce(at("$.total_files"), at("$.summary.total_processed")).cast("long").alias("total"), F.coalesce(at("$.name"), F.lit("none")).alias("name"))
 
 
-@query(_W + "SELECT id, '3' AS version, '2nd' AS edition, '2019' AS year, 'Learning Python' AS title FROM books")
+_NAME23 = "coalesce(title, 'untitled') || ' v' || CAST(id % 9 + 1 AS VARCHAR) || ' ' || CAST(id % 7 + 4 AS VARCHAR) || 'th Edition (' || year || ').' || ext"
+
+
+@query(_W + f"""SELECT id, CAST(id % 9 + 1 AS VARCHAR) AS version, CAST(id % 7 + 4 AS VARCHAR) || 'th' AS edition, regexp_extract(name, '((?:19|20)[0-9]{{2}})', 1) AS year,
+trim(split_part(regexp_replace(name, ' v[0-9] ', ' '), ' ' || CAST(id % 7 + 4 AS VARCHAR) || 'th Edition', 1)) AS title FROM (SELECT *, {_NAME23} AS name FROM books)""")
 def z23_filename_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Version, edition and year, each removed in turn; what is left is the title."""
-    name, out = F.lit("Learning Python v3 2nd Edition (2019).pdf"), []
+    """Version, edition and year of a file name, each removed in turn; what is left is the title."""
+    k = F.col("id")
+    name, out = F.concat(F.coalesce("title", F.lit("untitled")), F.lit(" v"), (k % 9 + 1).cast("string"), F.lit(" "), (k % 7 + 4).cast("string"), F.lit("th Edition ("), "year", F.lit(")."), "ext"), []
     for key, rx in (("version", r"(?i)\bv([0-9]+)"), ("edition", r"(?i)\b([0-9]+(?:st|nd|rd|th)) edition"), ("year", r"\(?((?:19|20)[0-9]{2})\)?")):
         out.append(F.regexp_extract(name, rx, 1).alias(key))
         name = F.regexp_replace(name, rx, "")
-    title = F.trim(F.regexp_replace(F.regexp_replace(name, r"\.[a-z]+$", ""), r"\s+", " "))
+    title = F.trim(F.regexp_replace(F.regexp_replace(name, r"\.[a-z0-9]+$", ""), r"\s+", " "))
     return D.books(spark, sf_dir).select("id", *out, title.alias("title"))
 
 

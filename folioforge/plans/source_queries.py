@@ -65,9 +65,14 @@ def t26_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).select("id", F.nullif(F.regexp_extract(text, "by ([A-Z][A-Za-z#0-9 ]+)", 1), F.lit("")).alias("author"))
 
 
-@query(_W + "SELECT id, array_to_string(list_filter([trim(x) FOR x IN string_split_regex('Jane Doe, John Roe and Ann Poe & Max Moe', ', | and | & ')], lambda x: x <> '')[1:3], '|') AS authors FROM books")
+_LINE = "array_to_string(authors[1:2], ', ') || CASE WHEN len(authors) > 2 THEN ' and ' || authors[3] ELSE '' END || ' & ' || publisher"
+
+
+@query(_W + f"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array({_LINE}, ', | and | & '), lambda x: trim(x)), lambda x: x <> '')[1:3], '|') AS authors FROM books")
 def t20_split_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.filter(F.transform(F.split(F.lit("Jane Doe, John Roe and Ann Poe & Max Moe"), ", | and | & "), lambda x: F.trim(x)), lambda x: x != "")
+    """The people of an author line, split at commas and conjunctions; three at most."""
+    line = F.concat(F.array_join(F.slice("authors", 1, 2), ", "), F.when(F.size("authors") > 2, F.concat(F.lit(" and "), F.get("authors", F.lit(2)))).otherwise(""), F.lit(" & "), "publisher")
+    parts = F.filter(F.transform(F.split(line, ", | and | & "), lambda x: F.trim(x)), lambda x: x != "")
     return D.books(spark, sf_dir).select("id", F.array_join(F.slice(F.array_distinct(parts), 1, 3), "|").alias("authors"))
 
 
@@ -159,11 +164,15 @@ def z17_rename_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.files(spark, sf_dir).filter(name != "").select("id", "path", F.concat(name, F.lit("."), "ext").alias("target"))
 
 
-@query(_W + "SELECT id, (CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 3 ELSE 0 END) >= 3 AS same FROM books")
+@query(_W + """SELECT a.id, CASE WHEN split_part(a.title, ' ', 2) = split_part(b.title, ' ', 2) THEN 2 ELSE 0 END + CASE WHEN list_has_any(a.authors, b.authors) THEN 2 ELSE 0 END + CASE WHEN a.publisher = b.publisher THEN 3 ELSE 0 END >= 3 AS same,
+coalesce(length(b.title) > length(a.title), b.title IS NOT NULL AND a.title IS NULL) AS better FROM books a JOIN books b ON b.id = a.id + 1""")
 def z24_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("id")
-    points = F.when(k % 2 == 0, 2).otherwise(0) + F.when(k % 3 == 0, 2).otherwise(0) + F.when(k % 5 == 0, 3).otherwise(0)
-    return D.books(spark, sf_dir).select("id", (points >= 3).alias("same"))
+    """Each record beside the next one: title word 2, an author 2, publisher 3, the same at 3; and whether the other's title is better: there at all, or longer."""
+    b = D.books(spark, sf_dir).select("id", "title", "authors", "publisher")
+    other = b.select((F.col("id") - 1).alias("id"), F.col("title").alias("t"), F.col("authors").alias("a"), F.col("publisher").alias("p"))
+    second = lambda c: F.split_part(c, F.lit(" "), F.lit(2))
+    points = F.when(second(F.col("title")) == second(F.col("t")), 2).otherwise(0) + F.when(F.arrays_overlap("authors", "a"), 2).otherwise(0) + F.when(F.col("publisher") == F.col("p"), 3).otherwise(0)
+    return b.join(other, "id").select("id", (points >= 3).alias("same"), F.coalesce(F.length("t") > F.length("title"), F.col("t").isNotNull() & F.col("title").isNull()).alias("better"))
 
 
 @query(_W + "SELECT isbn_13, count(*) AS n, arg_max(id, confidence * 10000000 - id) AS best, round(avg(confidence), 6) AS score FROM books GROUP BY isbn_13")
@@ -172,12 +181,25 @@ def q27_groups_by_isbn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).groupBy("isbn_13").agg(F.count("*").alias("n"), F.max_by("id", F.struct("confidence", -F.col("id"))).alias("best"), F.round(F.avg("confidence"), 6).alias("score"))
 
 
-@query(_W + "SELECT a.id, b.id AS other FROM books a JOIN books b ON a.title = b.title AND a.id < b.id AND list_has_any(a.authors, b.authors)")
+@query(_W + """SELECT a.id, count(*) FILTER (b.isbn_13 = a.isbn_13) AS same_isbn, count(*) FILTER (a.authors[1] = b.authors[1] AND abs(length(a.title) - length(b.title)) <= 3) AS similar,
+count(*) FILTER (a.authors[1] = b.authors[1] AND abs(length(a.title) - length(b.title)) > 3 AND (contains(lower(a.title), lower(b.title)) OR contains(lower(b.title), lower(a.title)))) AS contained FROM books a LEFT JOIN books b ON a.id <> b.id GROUP BY a.id""")
 def q26_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of one title with a common author: an equi-join on the title, so pairs are made within titles only."""
-    b = D.books(spark, sf_dir).select("id", "title", "authors")
-    other = b.select(F.col("id").alias("other"), "title", F.col("authors").alias("theirs"))
-    return b.join(other, "title").filter((F.col("id") < F.col("other")) & F.arrays_overlap("authors", "theirs")).select("id", "other")
+    """How many other records each may duplicate: of one ISBN; of one first author with a title that differs by three characters in
+    length at most; or of one first author with a title that holds the other's. Counted by a group, by a window over lengths, and by
+    a join on author and first word: pairs of the first two kinds are never made."""
+    b = D.books(spark, sf_dir).select("id", "isbn_13", F.lower("title").alias("t"), F.get("authors", F.lit(0)).alias("author"))
+    n = F.length("t")
+    isbn = b.groupBy("isbn_13").agg((F.count("*") - 1).alias("same_isbn"))
+    # lengths are few, so counts by length come before the window
+    sizes = b.filter("t is not null and author is not null").groupBy("author", n.alias("n")).agg(F.count("*").alias("c"))
+    near = sizes.withColumn("near", F.sum("c").over(Window.partitionBy("author").orderBy("n").rangeBetween(-3, 3))).select("author", "n", "near")
+    long = b.select(F.col("id").alias("other"), F.col("t").alias("held"), "author")
+    held = F.contains(F.col("t"), F.col("held")) & (F.length("t") - F.length("held") > 3)
+    pairs = b.join(long, "author").filter(held).select(F.explode(F.array("id", "other")).alias("id"))
+    contained = pairs.groupBy("id").agg(F.count("*").alias("contained"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rows = b.withColumn("n", n).join(isbn, "isbn_13", "left").join(near, ["author", "n"], "left").join(contained, "id", "left")
+    return rows.select("id", zero(F.col("same_isbn")).alias("same_isbn"), zero(F.col("near") - 1).alias("similar"), zero(F.col("contained")).alias("contained"))
 
 
 @query(_W + "SELECT id, CASE WHEN len(authors) = 0 THEN 0.0 WHEN list_contains(authors, 'Supplier#000000001') THEN 1.0 ELSE round(1.0 * len(list_intersect(authors, ['Supplier#000000002', 'Supplier#000000003'])) / len(list_distinct(list_concat(authors, ['Supplier#000000002', 'Supplier#000000003']))), 6) END::DOUBLE AS score FROM books")

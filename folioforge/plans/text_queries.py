@@ -22,7 +22,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASCII_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(translate(text, '‘’“”–—', chr(39) || chr(39) || '""--'), '\s+', ' ', 'g'))) AS h FROM documents")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(translate(text, '‘’“”–—', chr(39) || chr(39) || '""--'), '\s+', ' ', 'g'))) AS h FROM documents""")
 def t1_normalize_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.spaces(F.col("text")).cast("binary")).alias("h"))
 
@@ -143,9 +143,15 @@ def t37_query_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.search_queries(spark, sf_dir).select("item_id", T.cleaned_query(F.concat(F.lit("please find "), "q", F.lit(" pdf"))).alias("cleaned"))
 
 
-@query(_W + "SELECT id, CASE WHEN id % 2 = 0 THEN 'machine learning ring' ELSE 'python database' END AS corrected FROM books")
+_TYPED = "replace(replace(coalesce(title, ''), 'ring', 'rign'), 'small', 'smal')"
+_CORRECT = "array_to_string(list_transform(string_split({0}, ' '), lambda w: coalesce(map_from_entries([" + ", ".join(f"('{a}', '{b}')" for a, b in T.TYPOS.items()) + "])[lower(w)], w)), ' ')"
+
+
+@query(_W + f"SELECT id, {_CORRECT.format(_TYPED)} AS corrected FROM books")
 def t38_typo_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.books(spark, sf_dir).select("id", T.corrected(F.when(F.col("id") % 2 == 0, "machin learing rign").otherwise("pyhton databse")).alias("corrected"))
+    """Titles as a hasty reader types them, word by word set right by the dictionary."""
+    typed = F.replace(F.replace(F.coalesce("title", F.lit("")), F.lit("ring"), F.lit("rign")), F.lit("small"), F.lit("smal"))
+    return D.books(spark, sf_dir).select("id", T.corrected(typed).alias("corrected"))
 
 
 @query(_WQ + r"""SELECT item_id, round(0.2 * least(length(q) / 100.0, 1.0) + 0.3 * least(len(regexp_split_to_array(trim(q), '\s+')) / 20.0, 1.0) + 0.2 * least(len(regexp_extract_all(q, '[^\p{L}\p{N}\s]')) / 10.0, 1.0) + CASE WHEN regexp_matches(q, '[0-9]{9}') THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(q, '["'']') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(q, '(?i)\b(and|or)\b') THEN 0.1 ELSE 0 END, 6)::DOUBLE AS complexity FROM search_queries""")
@@ -164,11 +170,11 @@ def t40_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.language(F.col("text")).alias("language"))
 
 
-@query(_W + "SELECT id, CASE WHEN id % 4 = 0 THEN 'isbn' WHEN id % 4 = 1 THEN 'author' WHEN id % 4 = 2 THEN 'title' ELSE 'text' END AS kind FROM books")
+@query(D.over(D.ASKED) + """SELECT id, CASE WHEN regexp_matches(q, '[0-9]{9}[0-9Xx]') THEN 'isbn' WHEN regexp_matches(q, '\\bby [A-Z]') THEN 'author' WHEN regexp_matches(q, '"[^"]+"') THEN 'title' ELSE 'text' END AS kind FROM asked""")
 def t42_query_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """isbn, then author, then title, else text."""
-    q = F.get(F.array(F.col("isbn_13"), F.lit("books by Jane Doe"), F.lit('"Some Title"'), F.lit("plain words")), (F.col("id") % 4).cast("int"))
-    return D.books(spark, sf_dir).select("id", F.when(q.rlike("[0-9]{9}[0-9Xx]"), "isbn").when(q.rlike(r"\bby [A-Z]"), "author").when(q.rlike('"[^"]+"'), "title").otherwise("text").alias("kind"))
+    q = F.col("q")
+    return D.asked(spark, sf_dir).select("id", F.when(q.rlike("[0-9]{9}[0-9Xx]"), "isbn").when(q.rlike(r"\bby [A-Z]"), "author").when(q.rlike('"[^"]+"'), "title").otherwise("text").alias("kind"))
 
 
 @query(_W + "SELECT title FROM (SELECT DISTINCT title FROM books WHERE title ILIKE '%red b%') ORDER BY length(title), title LIMIT 5")

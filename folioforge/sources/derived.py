@@ -75,6 +75,21 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("q"))
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader might type to find each book: its identifier, people, a quoted title or loose words, from its own columns."""
+    b = books(spark, sf_dir)
+    t = F.coalesce("title", F.lit("no title"))
+    person = lambda s: F.initcap(F.array_join(F.slice(F.split(s, " "), 1, 2), " "))
+    k = F.col("id") % 4
+    words = (
+        F.when(k == 0, F.concat(F.lit("isbn "), "isbn_raw"))
+        .when(k == 1, F.concat(F.lit("books by "), person(t), F.lit(" and by "), person(F.concat("source", F.lit(" Author")))))
+        .when(k == 2, F.concat(F.lit('"'), t, F.lit('" '), "year"))
+        .otherwise(F.concat(t, F.lit(" with js and ML db")))
+    )
+    return b.select("id", words.alias("q"))
+
+
 def _sum(s: str, n: int, weight) -> str:
     return "(" + " + ".join(f"{weight(i)} * CAST(substr({s}, {i}, 1) AS INTEGER)" for i in range(1, n + 1)) + ")"
 
@@ -111,6 +126,15 @@ SOURCE_RECORDS = f"""
 answered AS (SELECT l_partkey AS book, CAST(l_suppkey % 8 AS INTEGER) AS source_no, l_quantity, row_number() OVER (PARTITION BY l_partkey, l_suppkey % 8 ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS rn FROM lineitem),
 source_records AS (SELECT book, source_no, {_list(SOURCES)}[source_no + 1] AS source, l_quantity / 25 AS elapsed, 0.70::DOUBLE + 0.03::DOUBLE * source_no AS confidence FROM answered WHERE rn = 1)"""
 
+
+def _person(s: str) -> str:
+    return f"array_to_string(list_transform(string_split({s}, ' ')[1:2], lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+ASKED = BOOKS + f""",
+asked AS (SELECT id, CASE id % 4 WHEN 0 THEN 'isbn ' || isbn_raw WHEN 1 THEN 'books by ' || {_person("coalesce(title, 'no title')")} || ' and by ' || {_person("source || ' Author'")}
+  WHEN 2 THEN '"' || coalesce(title, 'no title') || '" ' || year ELSE coalesce(title, 'no title') || ' with js and ML db' END AS q FROM books)"""
+
 API_EVENTS = """
 api_events AS (SELECT event_id, event_type AS api, event_type <> 'error' AS success, value AS response_time, ts, user_id FROM events)"""
 
