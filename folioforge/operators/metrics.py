@@ -13,24 +13,57 @@ def api_stats(events: DataFrame, per_api: bool = True) -> DataFrame:
     return group.agg(F.count("*").alias("calls"), ok.alias("successes"), F.round(100.0 * ok / F.count("*"), 6).alias("success_rate"), F.round(F.avg("response_time"), 6).alias("mean_latency"))
 
 
-def recent_mean(events: DataFrame, n: int) -> Column:
-    """Mean latency of an API's last n calls, this one included."""
-    return F.avg("response_time").over(Window.partitionBy("api").orderBy("ts", "event_id").rowsBetween(-(n - 1), 0))
+#: Rows of a key that one task puts in order at a time, for means over the last calls.
+BLOCK = 10_000
+
+
+def running(events: DataFrame, key: str, **of: Column) -> DataFrame:
+    """The events with n (their place in the key's order by ts and event_id), before (the ts of the one before), and for each named
+    column its sum up to and with the event. Hours of a key are ordered apart: what came before an hour is a sum over hours."""
+    hour = F.date_trunc("hour", "ts")
+    rows = events.withColumn("hour", hour)
+    totals = rows.groupBy(key, "hour").agg(F.count("*").alias("n0"), F.max("ts").alias("last"), *[F.sum(c).alias(f"{k}0") for k, c in of.items()])
+    hours = Window.partitionBy(key).orderBy("hour")
+    earlier = hours.rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(f"{k}0").over(earlier), F.lit(0)).alias(f"{k}0") for k in ("n", *of)]
+    offsets = totals.select(key, "hour", F.lag("last").over(hours).alias("last"), *sums)
+    inside = Window.partitionBy(key, "hour").orderBy("ts", "event_id")
+    offsets = offsets.withColumnsRenamed({key: "key0", "hour": "hour0"})
+    out = rows.join(offsets, F.col(key).eqNullSafe(F.col("key0")) & F.col("hour").eqNullSafe(F.col("hour0")))
+    out = out.withColumn("n", F.col("n0") + F.row_number().over(inside)).withColumn("before", F.coalesce(F.lag("ts").over(inside), "last"))
+    for k, c in of.items():
+        out = out.withColumn(k, F.col(f"{k}0") + F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.drop("hour", "key0", "hour0", "last", "n0", *[f"{k}0" for k in of])
+
+
+def recent_mean(events: DataFrame, **last: int) -> DataFrame:
+    """The events with, for each named number, the mean latency of so many last calls of their API, this one included. Blocks of calls
+    are worked on apart, each with the last calls of the block before."""
+    most = max(last.values()) - 1
+    block = F.floor((F.col("n") - 1) / BLOCK)
+    carried = F.when((F.col("n") - 1) % BLOCK >= BLOCK - most, F.array(block, block + 1)).otherwise(F.array(block))
+    rows = running(events, "api").withColumn("block", F.explode(carried))
+    w = Window.partitionBy("api", "block").orderBy("n")
+    for name, n in last.items():
+        rows = rows.withColumn(name, F.avg("response_time").over(w.rowsBetween(-(n - 1), 0)))
+    return rows.filter(F.col("block") == block).drop("n", "before", "block")
 
 
 def ema(events: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Exponential moving average of each user's response times in order, seeded by the first: a fold over one sorted array per key."""
-    ordered = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("response_time").alias("v")))).alias("a"))
-    fold = F.aggregate(F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0))), F.get("a", F.lit(0))["v"], lambda m, x: (1 - alpha) * m + alpha * x["v"])
-    return ordered.select("user_id", fold.alias("ema"))
+    """Exponential moving average of each user's response times in order, seeded by the first: a sum of the times by their weights."""
+    n = F.col("n")
+    rows = running(events, "user_id")
+    totals = events.groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("all"))
+    rows = rows.join(totals, F.col("user_id").eqNullSafe(F.col("u")))
+    weight = F.when(n == 1, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("all") - n)
+    return rows.groupBy("user_id").agg(F.sum(F.col("response_time") * weight).alias("ema"))
 
 
 def breaker(events: DataFrame) -> DataFrame:
-    """Cooldown after each failure of a user's calls: min(600, 30 * 2^(min(6, n) - 1)) at the n-th."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    failed = F.sum((~F.col("success")).cast("long")).over(w)
+    """Cooldown after each failure of a user's calls: min(600, 30 * 2^(min(6, n) - 1)) at the n-th; before: the ts of the call before."""
     n = F.least(F.lit(6), F.col("failures"))
-    return events.withColumn("failures", failed).withColumn("cooldown", F.when(~F.col("success"), F.least(F.lit(600.0), 30.0 * F.pow(F.lit(2.0), n - 1))).otherwise(0.0))
+    rows = running(events, "user_id", failures=(~F.col("success")).cast("long"))
+    return rows.withColumn("cooldown", F.when(~F.col("success"), F.least(F.lit(600.0), 30.0 * F.pow(F.lit(2.0), n - 1))).otherwise(0.0))
 
 
 def health(success_rate: Column, calls: Column) -> Column:

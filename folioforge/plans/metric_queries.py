@@ -35,8 +35,8 @@ def a26_slow_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_E + "SELECT event_id, round(avg(response_time) OVER (PARTITION BY api ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS last10, round(" + _SLOW + ", 9) AS last100 FROM api_events")
 def w3_recent_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.api_events(spark, sf_dir)
-    return e.select("event_id", F.round(M.recent_mean(e, 10), 9).alias("last10"), F.round(M.recent_mean(e, 100), 9).alias("last100"))
+    e = M.recent_mean(D.api_events(spark, sf_dir), last10=10, last100=100)
+    return e.select("event_id", F.round("last10", 9).alias("last10"), F.round("last100", 9).alias("last100"))
 
 
 @query(
@@ -76,17 +76,16 @@ def w9_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_E + f"SELECT event_id, round(greatest(0.0, 100 * (1 + 0.5 * failures) - (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000.0), 3)::DOUBLE AS wait FROM (SELECT *, {_FAILS} AS failures FROM api_events)")
 def w10_rate_limit_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = M.breaker(D.api_events(spark, sf_dir))
-    since = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1000000.0
+    since = (F.unix_micros("ts") - F.unix_micros("before")) / 1000000.0
     wait = F.when(since.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 100 * (1 + 0.5 * F.col("failures")) - since))
     return e.select("event_id", F.round(wait, 3).alias("wait"))
 
 
 @query(_E + f"SELECT event_id, round(least(greatest(2 * {_SLOW} / 100, 5.0), 30.0), 6)::DOUBLE AS timeout FROM api_events")
 def w11_dynamic_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.api_events(spark, sf_dir)
-    return e.select("event_id", F.round(F.least(F.greatest(2 * M.recent_mean(e, 100) / 100, F.lit(5.0)), F.lit(30.0)), 6).alias("timeout"))
+    e = M.recent_mean(D.api_events(spark, sf_dir), slow=100)
+    return e.select("event_id", F.round(F.least(F.greatest(2 * F.col("slow") / 100, F.lit(5.0)), F.lit(30.0)), 6).alias("timeout"))
 
 
 @query(_E + "SELECT date_trunc('hour', ts) AS hour, api, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(response_time), 6) AS mean_latency FROM api_events GROUP BY ALL")
@@ -116,11 +115,13 @@ def x6_overall_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(worst.alias("w")).select(F.get(F.array(F.lit("healthy"), F.lit("degraded"), F.lit("unhealthy")), F.col("w")).alias("overall"))
 
 
-@query(_E + f"SELECT user_id, {_HEALTH} AS health, CASE {_HEALTH} WHEN 'unhealthy' THEN least(30.0, 10.0 * 1.5) ELSE greatest(3.0, 10.0 * 0.8) END::DOUBLE AS timeout FROM (SELECT user_id, {_STATS} FROM api_events GROUP BY user_id)")
+@query(_E + f"SELECT user_id, {_HEALTH} AS health, round(least(greatest(mean_latency / 10 * CASE {_HEALTH} WHEN 'unhealthy' THEN 1.5 ELSE 0.8 END, 3.0), 30.0), 6)::DOUBLE AS timeout FROM (SELECT user_id, {_STATS} FROM api_events GROUP BY user_id)")
 def z5_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health, and the timeout: a tenth of the mean latency, half longer for the unhealthy and a fifth shorter for others, from 3 to 30."""
     s = M.api_stats(D.api_events(spark, sf_dir).withColumn("api", F.col("user_id")))
     h = M.health(F.col("success_rate"), F.col("calls"))
-    return s.select(F.col("api").alias("user_id"), h.alias("health"), F.when(h == "unhealthy", F.least(F.lit(30.0), F.lit(15.0))).otherwise(F.greatest(F.lit(3.0), F.lit(8.0))).alias("timeout"))
+    timeout = F.least(F.greatest(F.col("mean_latency") / 10 * F.when(h == "unhealthy", 1.5).otherwise(0.8), F.lit(3.0)), F.lit(30.0))
+    return s.select(F.col("api").alias("user_id"), h.alias("health"), F.round(timeout, 6).alias("timeout"))
 
 
 @query(_E + "SELECT event_id, CASE WHEN count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) > 5 THEN 'unhealthy' ELSE 'healthy' END AS health FROM api_events WHERE NOT success")

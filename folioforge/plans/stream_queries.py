@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,12 @@ from .registry import query
 
 
 def _folder(spark: SparkSession) -> str:
-    """A checkpoint folder that the cluster shares."""
-    import tempfile
-
+    """A folder that the cluster shares; a temporary one in local mode only."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return f"{tempfile.mkdtemp() if found.isEmpty() else found.get()}/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) if found.isEmpty() else found.get()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,24 +24,33 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_now(df: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all there is and return its result table (for tests and small jobs)."""
-    name = f"t{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def run_now(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over all there is and return what it put out, as Parquet under a folder that the cluster shares. A batch that runs again replaces what it wrote."""
+    spark, out = df.sparkSession, f"{folder}/out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
+
+
+def upserted(spark: SparkSession, folder: str) -> tuple[int, DataFrame] | None:
+    """The latest version of a table that upsert_batches() keeps, and its number; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(f"{folder}/version=*/_SUCCESS"))
+    versions = [int(x.getPath().getParent().getName().partition("=")[2]) for x in found or ()]
+    return (max(versions), spark.read.parquet(f"{folder}/version={max(versions)}")) if versions else None
 
 
-def upsert_batches(events: DataFrame, table: str, keys: list[str], checkpoint: str):
-    """Each micro-batch replaces the rows of its keys in a table's latest version; versions are written beside one another."""
+def upsert_batches(events: DataFrame, folder: str, keys: list[str], checkpoint: str):
+    """Each micro-batch replaces the rows of its keys (the latest of each, by ts): the table's next version is written once, beside
+    the last one. A new checkpoint goes on from the table as it is, and a batch that runs again gives the same rows."""
     from folioforge.operators.catalog import latest
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = latest(batch, keys, [F.desc("ts")])
-        spark = batch.sparkSession
-        if number and spark.catalog.tableExists(table):
-            rows = spark.table(table).join(rows.select(*keys), keys, "left_anti").unionByName(rows)
-        rows.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
+        version, held = upserted(batch.sparkSession, folder) or (-1, None)
+        rows = batch if held is None else held.unionByName(batch)
+        latest(rows, keys, [F.desc("ts")]).write.mode("overwrite").parquet(f"{folder}/version={version + 1}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

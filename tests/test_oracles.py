@@ -1,4 +1,4 @@
-"""Every catalogue query runs, and equals its DuckDB twin where it has one."""
+"""Every catalogue query equals its DuckDB twin where it has one."""
 
 import datetime
 import decimal
@@ -33,16 +33,12 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_its_sql(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    sql = registry.oracle_sql().get(name)
-    if sql is None:
-        assert rows is not None
-        return
-    found = duck.execute(sql)
+    found = duck.execute(registry.oracle_sql()[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
