@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,14 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get()
 
 
-def written(df: DataFrame, drop: Iterable[DataFrame] = ()) -> DataFrame:
+def written(df: DataFrame, drop: Iterable[DataFrame] = (), by: Sequence[str] = ()) -> DataFrame:
     """df, written once as Parquet in the shared folder: cuts the lineage, and survives the loss of executors.
 
-    drop: earlier results of written() that nothing reads from now on; their folders go once df is written.
+    drop: earlier results of written() that nothing reads from now on; their folders go once df is written. by: columns by whose
+    values the files are parted, so that a filter on them reads no others.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     for old in drop:
         folder = spark._jvm.org.apache.hadoop.fs.Path(old.__dict__[_WRITTEN])
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -26,6 +26,8 @@ HASHES = 6
 BITS_PER_KEY = 9
 #: Bits of one shard's filters at most, in all: the words are sent to every task.
 MAX_BITS = 1 << 27
+#: Files of a shard's keys.
+PARTS = 16
 #: Words that one row holds while a level is put together.
 BLOCK = 1024
 
@@ -115,14 +117,17 @@ def cascade_filter(urls: DataFrame, listed: DataFrame, id_col: str = "page_id",
     universe = written(keys.groupBy("key").agg(F.max("listed").alias("listed")))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     shards = max(1, math.ceil(universe.count() * BITS_PER_KEY * 1.1 / MAX_BITS))
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
+    if shards > 1:  # parted once, so that each shard's keys and urls are read once
+        shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+        part = lambda df: written(df.select("*", shard).repartition("shard", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(PARTS))), by=["shard"])
+        universe, parsed = part(universe), part(parsed)
     out = None
     for s in range(shards):
-        levels = build(universe if shards == 1 else universe.filter(shard == s))
-        part = parsed if shards == 1 else parsed.filter(shard == s)
+        of = lambda df: df if shards == 1 else df.filter(F.col("shard") == s)  # noqa: B023, E731
+        levels = build(of(universe))
         blocked = F.when(member(levels, F.col("key")), "block").otherwise("allow")
-        part = part.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, blocked).alias("verdict"))
-        out = part if out is None else out.unionAll(part)
+        own = of(parsed).select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, blocked).alias("verdict"))
+        out = own if out is None else out.unionAll(own)
     return out
 
 

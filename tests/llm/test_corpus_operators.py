@@ -281,6 +281,65 @@ def test_pipeline(spark):
         assert stage(spark, odd.filter("false"), SF).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline
+    from folioforge.llm import sentencepiece_viterbi, toxicity
+    from folioforge.llm.common import read, written
+    from tests.llm.test_row_operators import brute_overlap
+
+    docs = read(spark, SF, "documents")
+    outs = []
+    for _, stage in corpus_pipeline.STAGES:
+        outs.append(written(stage(spark, outs[-1] if outs else docs, SF)))
+    rows = [{r.doc_id: r.text for r in df.collect()} for df in (docs, *outs[:4])]
+    assert all(df.columns == docs.columns for df in outs[:4])
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, read(spark, SF, "labels")).collect()}
+    assert set(rows[1]) == {i for i, x in scores.items() if x < 0.7} and rows[1].items() <= rows[0].items()
+    # line dedup: a line goes if an earlier one equals it, or is within one edit and both are long enough
+    first, blank = {}, " \t\n\x0b\f\r"
+    for i in sorted(rows[1]):
+        for n, line in enumerate(rows[1][i].split("\n")):
+            if line.strip(blank):
+                first.setdefault(line, (i, n))
+    by_size = collections.defaultdict(list)
+    for line in first:
+        by_size[len(line)].append(line)
+    near = {x for x in first if len(x) >= 12 and any(first[y] < first[x] and y[:3] + y[-3:] != "" and x != y and (y[: len(x) // 2] == x[: len(x) // 2] or y[-(len(x) // 2) :] == x[-(len(x) // 2) :]) and within_one(x, y) for n in (-1, 0, 1) for y in by_size[len(x) + n] if len(y) >= 12)}
+    want = {}
+    for i, t in rows[1].items():
+        kept = [x for n, x in enumerate(t.split("\n")) if not x.strip(blank) or (first[x] == (i, n) and x not in near)]
+        if any(x.strip(blank) for x in kept) or len(kept) == len(t.split("\n")):
+            want[i] = "\n".join(kept)
+    assert rows[2] == want
+    # Jaccard join: the first of each component
+    sets = {i: x for i, x in sets_of(rows[2].items()).items()}
+    least = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(len(sets)):
+        before = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    assert set(rows[3]) == set(least.values())
+    # decontamination: a run that counts begins with three equal words, unless the item is shorter
+    items = [plain_words(r.text.encode()) for r in read(spark, SF, "benchmark").collect() if r.text]
+    starts = collections.defaultdict(set)
+    for k, item in enumerate(items):
+        for j in range(len(item) - 2):
+            starts[tuple(item[j : j + 3])].add(k)
+    bad = set()
+    for i, t in rows[3].items():
+        words = plain_words((t or "").encode())
+        due = set().union(*[starts.get(tuple(words[j : j + 3]), set()) for j in range(len(words) - 2)])
+        if any(brute_overlap(words, items[k]) for k in due):
+            bad.add(i)
+    assert set(rows[4]) == set(rows[3]) - bad
+    # tokens: each kept text comes back from its ids
+    back = {r.doc_id: r.text for r in sentencepiece_viterbi.decode(outs[4]).collect()}
+    assert back == rows[4]
+
+
 def test_digest_of_dedup(spark):
     row = line_dedup.dedup_report(docs_of(spark, [(1, "x\ny"), (2, "x")])).filter("doc_id = 2").first()
     assert (row.n_lines, row.n_exact, row.n_near, row.n_kept, row.text_sha256) == (1, 1, 0, 0, hashlib.sha256(b"").hexdigest())
