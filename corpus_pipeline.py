@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("decontamination", drop_contaminated),
     ("sentencepiece", tokenize),
 ]
-#: The classifier and the tokenizer have no SQL form; tests hold the stages against brute-force versions.
+#: The classifier and the tokenizer have no SQL form; tests/llm holds each stage's rows against a brute-force version on its input.
 ORACLE_SQL: str | None = None
 
 
