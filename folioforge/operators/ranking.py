@@ -21,23 +21,24 @@ def search_all(rankers: dict[str, Ranker], queries: DataFrame, catalog: DataFram
 
 
 def term_weights(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
-    """(id, term, tf), and (term, idf): ln(N/df), or 0.1 where that is not above 0. Terms are counted by partial aggregates; N is joined in."""
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(tokens).alias("term"))
-    counts = terms.groupBy("id", "term").agg(F.count("*").alias("n"))
-    tf = counts.join(counts.groupBy("id").agg(F.sum("n").alias("len")), "id").select("id", "term", (F.col("n") / F.col("len")).alias("tf"))
+    """(id, term, tf), and (term, idf): ln(N/df), or 0.1 where that is not above 0; ids must be unique. Lengths are known in each row,
+    so terms are counted by one shuffle; N is joined in."""
+    terms = docs.select(F.col(id_col).alias("id"), F.size(tokens).alias("len"), F.explode(tokens).alias("term"))
+    tf = terms.groupBy("id", "term", "len").agg((F.count("*") / F.col("len")).alias("tf")).drop("len")
     n = docs.select(F.count("*").alias("total"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
     raw = F.log(F.col("total") / F.col("df"))
     return tf, df.select("term", "df", F.when(raw > 0, raw).otherwise(0.1).alias("idf"))
 
 
 def tfidf_search(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens: Column, query_id: str, doc_id: str, least: float = 0.1) -> DataFrame:
-    """query, id, score: cosine of TF-IDF vectors by an equi-join on terms; idf comes from the documents."""
+    """query, id, score: cosine of TF-IDF vectors by an equi-join on terms; idf comes from the documents. Postings and weights are one
+    join; only postings of the queries' terms meet the queries."""
     tf, idf = term_weights(docs, doc_id, doc_tokens)
     weights = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = queries.select(F.col(query_id).alias("query"), F.explode(query_tokens).alias("term")).groupBy("query", "term").agg(F.count("*").alias("n"))
-    q = q.join(q.groupBy("query").agg(F.sum("n").alias("len")), "query").join(idf, "term").select("query", "term", (F.col("n") / F.col("len") * F.col("idf")).alias("qw"))
+    asked = queries.select(F.col(query_id).alias("query"), F.size(query_tokens).alias("len"), F.explode(query_tokens).alias("term"))
+    q = asked.groupBy("query", "term", "len").agg((F.count("*") / F.col("len")).alias("f")).join(idf, "term").select("query", "term", (F.col("f") * F.col("idf")).alias("qw"))
     q_norm = q.groupBy("query").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
     dots = q.join(weights, "term").groupBy("query", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     scored = dots.join(norms, "id").join(q_norm, "query").select("query", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score"))
