@@ -23,7 +23,7 @@ def search_all(rankers: dict[str, Ranker], queries: DataFrame, catalog: DataFram
 def term_weights(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """(id, term, tf), and (term, idf): ln(N/df), or 0.1 where that is not above 0; ids must be unique. Lengths are known in each row,
     so terms are counted by one shuffle; N is joined in."""
-    terms = docs.select(F.col(id_col).alias("id"), F.size(tokens).alias("len"), F.explode(tokens).alias("term"))
+    terms = docs.select(F.col(id_col).alias("id"), F.size(tokens).alias("len"), tokens.alias("t")).select("id", "len", F.explode("t").alias("term"))
     tf = terms.groupBy("id", "term", "len").agg((F.count("*") / F.col("len")).alias("tf")).drop("len")
     n = docs.select(F.count("*").alias("total"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
@@ -37,7 +37,7 @@ def tfidf_search(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_
     tf, idf = term_weights(docs, doc_id, doc_tokens)
     weights = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = queries.select(F.col(query_id).alias("query"), F.size(query_tokens).alias("len"), F.explode(query_tokens).alias("term"))
+    asked = queries.select(F.col(query_id).alias("query"), F.size(query_tokens).alias("len"), query_tokens.alias("t")).select("query", "len", F.explode("t").alias("term"))
     q = asked.groupBy("query", "term", "len").agg((F.count("*") / F.col("len")).alias("f")).join(idf, "term").select("query", "term", (F.col("f") * F.col("idf")).alias("qw"))
     q_norm = q.groupBy("query").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
     dots = q.join(weights, "term").groupBy("query", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
