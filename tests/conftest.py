@@ -1,10 +1,5 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
