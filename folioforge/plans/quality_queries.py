@@ -51,17 +51,20 @@ def f11_strict_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).select("id", F.array_join(Q.errors(*args), "; ").alias("errors"), F.round(Q.strict_score(*args), 6).alias("score"))
 
 
-_NAMES = "CASE id % 5 WHEN 0 THEN 'Jane Doe' WHEN 1 THEN 'jane Doe' WHEN 2 THEN 'Jane' WHEN 3 THEN 'Oxford University Press' ELSE 'Ana Maria Silva 2' END"
+_WORDS_OF = r"regexp_split_to_array(trim(line), '\s+')"
+_STOP_NAMES = "[" + ", ".join(f"'{w}'" for w in Q.STOP_NAMES) + "]"
+_NO_STOP = f"NOT list_has_any(list_transform({_WORDS_OF}, lambda w: lower(w)), {_STOP_NAMES})"
+_LINES = "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda line: {0})) AS lines FROM documents"
 
 
-def _names():
-    k = F.col("id") % 5
-    return F.when(k == 0, "Jane Doe").when(k == 1, "jane Doe").when(k == 2, "Jane").when(k == 3, "Oxford University Press").otherwise("Ana Maria Silva 2")
+def _lines(spark: SparkSession, sf_dir: str, good) -> DataFrame:
+    """How many of each document's lines read as asked."""
+    return D.read(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), good)).cast("long").alias("lines"))
 
 
-@query(_W + f"SELECT id, {_NAMES} AS name, id % 5 = 0 AS valid FROM books")
+@query(_LINES.format(f"len({_WORDS_OF}) >= 2 AND NOT regexp_matches(line, '[0-9]') AND {_NO_STOP} AND len(list_filter({_WORDS_OF}, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0"))
 def f12_author_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.books(spark, sf_dir).select("id", _names().alias("name"), Q.valid_author(_names()).alias("valid"))
+    return _lines(spark, sf_dir, Q.valid_author)
 
 
 @query(_W + "SELECT id, CAST(year AS INTEGER) BETWEEN 1990 AND 2030 AS valid FROM books")
@@ -74,9 +77,9 @@ def f14_form_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).select("id", F.coalesce(F.substring("published_date", 1, 4).try_cast("int").between(1900, YEAR), F.lit(False)).alias("valid"))
 
 
-@query(_W + "SELECT id, id % 5 IN (0, 1) AND id % 5 <> 1 AS is_author FROM books")
+@query(_LINES.format(f"len({_WORDS_OF}) BETWEEN 2 AND 5 AND {_NO_STOP} AND len(list_filter({_WORDS_OF}, lambda w: NOT regexp_matches(w, '[A-Za-z]'))) = 0 AND len(list_filter({_WORDS_OF}, lambda w: regexp_matches(w, '^[A-Z]'))) >= greatest(2, len({_WORDS_OF}) - 1)"))
 def f15_author_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.books(spark, sf_dir).select("id", Q.author_line(_names()).alias("is_author"))
+    return _lines(spark, sf_dir, Q.author_line)
 
 
 _COUNT = "len(regexp_extract_all({0}, '{1}'))"
@@ -164,17 +167,27 @@ def a17_isbn_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).groupBy(g.alias("grp")).agg(F.count("*").alias("n"))
 
 
-_MESSAGE = "CASE id % 6 WHEN 0 THEN 'Read timed out' WHEN 1 THEN '404 not found' WHEN 2 THEN 'HTTP 429 rate limit' WHEN 3 THEN 'JSON decode error' WHEN 4 THEN 'connection refused' ELSE 'boom' END"
+_MESSAGE = """CASE WHEN event_type = 'error' AND value > 30 THEN 'Read timed out: user ' || user_id WHEN event_type = 'error' THEN '404 Not Found: user ' || user_id WHEN event_type = 'click' AND value > 50 THEN 'HTTP 429 rate limit'
+WHEN event_type = 'view' AND value < 1 THEN 'JSON decode error: ' || props WHEN event_type = 'purchase' AND value > 60 THEN 'Connection refused' ELSE event_type || ' done' END"""
 _KINDS = (("timed out", "timeout"), ("not found", "not_found"), ("rate limit", "rate_limit"), ("json", "parse"), ("connection", "network"))
 
 
-@query(_W + "SELECT kind, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN contains(lower(m), '{w}') THEN '{k}'" for w, k in _KINDS) + f" ELSE 'other' END AS kind FROM (SELECT {_MESSAGE} AS m FROM books)) GROUP BY kind")
+@query("SELECT kind, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN contains(lower(m), '{w}') THEN '{k}'" for w, k in _KINDS) + f" ELSE 'other' END AS kind FROM (SELECT {_MESSAGE} AS m FROM events)) GROUP BY kind")
 def a18_error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.get(F.array(*[F.lit(x) for x in ("Read timed out", "404 not found", "HTTP 429 rate limit", "JSON decode error", "connection refused", "boom")]), (F.col("id") % 6).cast("int"))
+    """The messages of the event log, by the first keyword that they hold."""
+    t, v, user = F.col("event_type"), F.col("value"), F.col("user_id").cast("string")
+    m = (
+        F.when((t == "error") & (v > 30), F.concat(F.lit("Read timed out: user "), user))
+        .when(t == "error", F.concat(F.lit("404 Not Found: user "), user))
+        .when((t == "click") & (v > 50), "HTTP 429 rate limit")
+        .when((t == "view") & (v < 1), F.concat(F.lit("JSON decode error: "), "props"))
+        .when((t == "purchase") & (v > 60), "Connection refused")
+        .otherwise(F.concat(t, F.lit(" done")))
+    )
     kind = F.lit("other")
     for word, name in reversed(_KINDS):
         kind = F.when(F.lower(m).contains(word), name).otherwise(kind)
-    return D.books(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return D.read(spark, sf_dir, "events").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(_W + "SELECT count(title) AS with_title, count(*) FILTER (len(authors) > 0) AS with_authors, count(isbn_13) AS with_isbn, round(avg(confidence), 6) AS mean, count(*) FILTER (confidence > 0.7) AS high, count(*) FILTER (confidence >= 0.4 AND confidence <= 0.7) AS middle, count(*) FILTER (confidence < 0.4) AS low FROM books")
