@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -83,11 +85,19 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(_WORDS_ONLY).split()
 
 
+def release() -> None:
+    """Hands free memory back: Python workers live on after a task, and would keep it beside what the next ones need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
     """The frames, cut where their texts add up to more than `chars`."""
     for frame in frames:
-        pa.default_memory_pool().release_unused()  # workers are used again, and would keep it
         sizes = frame[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
         groups = np.cumsum(sizes) // chars
         for g in np.unique(groups):
             yield frame[groups == g]
+        del frame
+        release()

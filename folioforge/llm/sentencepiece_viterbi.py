@@ -276,6 +276,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     "exact": [i is None or vocabulary.decode(i) == t for i, t in zip(ids, texts, strict=True)],
                 }
             )
+        vocabulary.memo.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id bigint, ids array<int>, n_tokens bigint, exact boolean")
 

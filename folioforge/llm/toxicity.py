@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_hash, plain_words, slices, utf8, written
+from .common import doc_hash, plain_words, release, slices, utf8, written
 
 SAMPLE = 8192
 BUCKETS = 1 << 20
@@ -204,6 +204,8 @@ def scores(text: Column, model: Model, session) -> Column:
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in frames:
             yield pd.Series([shared.value.score(t) for t in texts], dtype=float)
+            release()
+        shared.value.memo.clear()
 
     return run(text)
 
