@@ -76,7 +76,7 @@ def test_formats(spark, tmp_path):
     (tmp_path / "sub" / "b.pdf").write_bytes(b"%PDF-1.4")
     (tmp_path / "note.txt").write_text("x")
     assert sorted(r.ext for r in formats.book_files(spark, str(tmp_path)).collect()) == ["epub", "epub", "pdf"]
-    assert sorted((tuple(r)[1:] for r in formats.read_epubs(spark, str(tmp_path)).collect()), key=str)[0] == ("Main", "Sub", "Jane Doe", "House", "2001", "9780132350884")
+    assert sorted((tuple(r)[1:7] for r in formats.read_epubs(spark, str(tmp_path)).collect()), key=str)[0] == ("Main", "Sub", "Jane Doe", "House", "2001", "9780132350884")
     (tmp_path / "new.json").write_text(json.dumps({"successful_extractions": [{"title": "T", "authors": ["A"], "published_date": "2001-05", "file_path": "p"}]}))
     (tmp_path / "old.json").write_text(json.dumps([{"path": "q", "metadata": {"title": "U", "published_date": "1999"}}]))
     got = [(r.title, r.year, r.file_path) for f in ("new.json", "old.json") for r in formats.read_report(spark, str(tmp_path / f)).collect()]
