@@ -96,7 +96,7 @@ def pdf_pages(content: bytes | None, pages: int = 10) -> list[str]:
                 found = _PDF_STREAM.search(objects.get(int(ref), b""))
                 if found:
                     try:
-                        data = zlib.decompress(found[1]) if b"/FlateDecode" in objects[int(ref)] else found[1]
+                        data = zlib.decompressobj().decompress(found[1]) if b"/FlateDecode" in objects[int(ref)] else found[1]  # a last byte that reads as a line end may be gone
                     except zlib.error:
                         continue
                     for many, one, move in _PDF_SHOWN.findall(data):
