@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +102,16 @@ def slices(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = SL
             yield frame[groups == g]
         del frame
         release()
+
+
+def arrow_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The Arrow batches, cut where the bytes of their texts add up to more than `size`; a longer text stands alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+        del batch
+        release()
