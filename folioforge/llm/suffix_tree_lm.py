@@ -5,26 +5,24 @@ the tokens before it, of any length, the end of the text before (its start) incl
 a context a token has its share of all training tokens, each count one more than it is; all unknown words are one more token.
 That is base_score, so that score - base_score is what the contexts tell.
 
-A context tells apart the tokens that followed it cut() times and were seen least_count() times in all; what else followed it is one
+A context tells apart the tokens that followed it CUT times and were seen LEAST_COUNT times in all; what else followed it is one
 class (the pool), within which its suffix decides. Distributions are smoothed by their suffix's: the pool has the weight of its
-size and of the number of tokens told apart. A context is retained if it was seen least_count() times and what follows it diverges
+size and of the number of tokens told apart. A context is retained if it was seen LEAST_COUNT times and what follows it diverges
 from what its suffix says by LEAST_GAIN nats in all, and if it is longer than a word by LEAST_MEAN nats on average, each occurrence
 judged by the counts of the others. Contexts grow word by word, from a retained suffix and from a context without their last word,
-until none is added; as two words may tell what neither tells alone, all contexts of one word seen least_count() times are inner
-nodes, and those that fail the test say what no context says. least_count() is LEAST_COUNT or, of large corpora, a sixteenth of the
-square root of their tokens, and cut() CUT or a 32nd of that: the tree grows with the corpus, by its square root, and so do the errors of its counts.
+until none is added; as two words may tell what neither tells alone, all contexts of one word seen LEAST_COUNT times are inner
+nodes, and those that fail the test say what no context says. These bounds are the same for a corpus of any size.
 
 A token's score is a sum: its score without a context, a term for each retained context before it, and one for each that tells it
 apart. Terms of high counts, 2 * HOT at most, are broadcast; the others are joined. The same holds for the counts of words. Tokens
 and contexts are told apart by 64-bit hashes. All is counted in all training texts.
 
-Null and empty texts consist of the end alone. A null id counts as training, not held out. Repeated rows are counted and
+Null and empty texts consist of the end alone. A very long text is held by one task as a list of its tokens' numbers, 8 bytes each. A null id counts as training, not held out. Repeated rows are counted and
 scored as often as they stand. With no training texts every count is 0. Other columns are left out.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_hash, lowered, slices, utf8, written
 
+#: How often contexts, and tokens that they tell apart, were seen at least; nats that a context tells in all, and on average; how often a token followed a context that tells it apart.
 LEAST_COUNT, LEAST_GAIN, LEAST_MEAN, CUT = 8, 12.0, 0.3, 2
 HOT = 1 << 18
 #: Distinct words that a task gathers before it hands their counts on.
@@ -54,16 +53,6 @@ _CHAIN, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END = b"\n"  # stands in no word
 
 
-def least_count(tokens: int) -> int:
-    """How often contexts, and tokens that they tell apart, were seen in a corpus of so many tokens."""
-    return max(LEAST_COUNT, math.isqrt(tokens) // 16)
-
-
-def cut(tokens: int) -> int:
-    """How often a token followed a context that tells it apart."""
-    return max(CUT, least_count(tokens) // 32)
-
-
 def words_of(text: str | None) -> list[bytes]:
     return lowered(utf8(text)).split()
 
@@ -248,7 +237,7 @@ def context_terms(train: DataFrame, roots: DataFrame, tokens: int, types: int) -
 
     roots: key, n of every token of training.
     """
-    terms, least, few = None, least_count(tokens), cut(tokens)
+    terms, least, few = None, LEAST_COUNT, CUT
     above = roots.select("key", "n", ((F.col("n") + 1) / (tokens + types + 1)).alias("p"))
     common = roots.filter(F.col("n") >= least)
     contexts = Contexts(Filter(common, "key"))

@@ -218,8 +218,8 @@ def test_contexts_of_words_equal_brute_force(spark):
             for d in range(0, i + 1):
                 counts[tuple(words[i - d : i])][words[i]] += 1
     total = {c: sum(x.values()) for c, x in counts.items()}
-    least = suffix_tree_lm.least_count(total[()])
-    told = {c: {w: n for w, n in x.items() if n >= suffix_tree_lm.cut(total[()]) and counts[()][w] >= least} for c, x in counts.items()}
+    least = suffix_tree_lm.LEAST_COUNT
+    told = {c: {w: n for w, n in x.items() if n >= suffix_tree_lm.CUT and counts[()][w] >= least} for c, x in counts.items()}
     tokens, types = total[()], len(counts[()])
     nodes, tells, counted = {()}, set(), {()}
 
@@ -243,7 +243,7 @@ def test_contexts_of_words_equal_brute_force(spark):
             gain = rest * math.log(pool - 1) if rest and told[c] else 0
             for w, n in told[c].items():
                 up = p(w, c[1:])
-                gain += n * math.log(((n - 1 if n > suffix_tree_lm.cut(tokens) else 0) + pool * up) / up)
+                gain += n * math.log(((n - 1 if n > suffix_tree_lm.CUT else 0) + pool * up) / up)
             if told[c] and gain - total[c] * math.log(size - 1) >= max(suffix_tree_lm.LEAST_GAIN, suffix_tree_lm.LEAST_MEAN * total[c] * (len(c) > 1)):
                 tells.add(c)
             if c in tells or len(c) == 1:
