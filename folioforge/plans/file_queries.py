@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import isbn
+from folioforge.operators.tables import shared_folder
 from folioforge.sources import derived as D
 from folioforge.sources import formats
 
 from .registry import query
-from .stream_queries import _folder
 from .text_queries import _TOK
 
 _W = D.over(D.BOOKS)
@@ -97,7 +97,7 @@ def z13_pdf_info_isbn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_W + "SELECT isbn_13, title, array_to_string(authors, '|') AS authors, publisher, string_split(published_date, '-')[1] AS year, confidence FROM books")
 def k1_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan report: written as JSON, an object with its records by line, and read again by the report reader (S9)."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     fields = ["title", "authors", "publisher", "published_date", "isbn_10", "isbn_13", F.col("confidence").alias("confidence_score"), "source", F.lit(None).cast("string").alias("file_path")]
     D.books(spark, sf_dir).select(F.array(F.struct(*fields)).alias("successful_extractions")).write.option("ignoreNullFields", "false").json(out)
     return formats.read_report(spark, out, lines=True).select("isbn_13", "title", F.array_join("authors", "|").alias("authors"), "publisher", "year", F.col("confidence_score").alias("confidence"))
@@ -106,7 +106,7 @@ def k1_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_W + """SELECT '<tr><td>' || CAST(id AS VARCHAR) || '</td><td>' || coalesce(title, '') || '</td><td>' || replace(replace(replace(publisher, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>' AS value FROM books""")
 def k2_html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The HTML report of all books, written as text and read again: its rows."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     formats.html_report(D.books(spark, sf_dir).select("id", "title", "publisher"), "Books & more").write.text(out)
     return spark.read.text(out).filter(F.col("value").startswith("<tr><td>"))
 
@@ -116,7 +116,7 @@ def k6_index_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index, written once as Parquet and read again: one row per posting, so that no term's list is ever one row."""
     from folioforge.functions import text as T
 
-    out = _folder(spark)
+    out = shared_folder(spark)
     D.read(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"), "doc_id").write.parquet(out)
     return spark.read.parquet(out).groupBy("term").agg(F.count("*").alias("postings"))
 
@@ -124,6 +124,6 @@ def k6_index_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WF + "SELECT path AS old, replace(path, ' ', '_') AS new FROM files WHERE path <> replace(path, ' ', '_')")
 def s10_rename_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rename table: written as CSV with the other language's headers and read again; names that stay are left out."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     D.files(spark, sf_dir).select(F.col("path").alias("Arquivo"), F.translate("path", " ", "_").alias("Proposto")).write.option("header", True).csv(out)
     return formats.read_rename_csv(spark, out)

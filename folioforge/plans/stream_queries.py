@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.operators.tables import shared_folder
 from folioforge.sources import derived as D
 from folioforge.streaming import jobs
 
 from .registry import query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that the cluster shares; a temporary one in local mode only."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = spark.conf.get("spark.checkpoint.dir", None) if found.isEmpty() else found.get()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     return jobs.events_stream(spark, f"{path}*", spark.read.parquet(path).schema)
@@ -30,10 +19,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(D.over(D.API_EVENTS) + "SELECT date_trunc('hour', ts) AS hour, api, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(response_time), 6) AS mean_latency FROM api_events GROUP BY ALL")
 def x1_stream_hourly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly metrics as a stream: the same rows as the batch form."""
-    return jobs.run_now(jobs.hourly_metrics(_events(spark, sf_dir)), "complete", _folder(spark))
+    return jobs.run_now(jobs.hourly_metrics(_events(spark, sf_dir)), "complete", shared_folder(spark))
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def x8_stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys seen for the first time, kept once across micro-batches."""
-    return jobs.run_now(jobs.first_seen(_events(spark, sf_dir), ["user_id"], "3650 days").select("user_id"), "append", _folder(spark))
+    return jobs.run_now(jobs.first_seen(_events(spark, sf_dir), ["user_id"], "3650 days").select("user_id"), "append", shared_folder(spark))
