@@ -1,4 +1,4 @@
-"""Retrieval and fusion: TF-IDF by term joins, top-k, duplicate groups, fusion of rankers, arbitration of sources."""
+"""Retrieval and fusion: TF-IDF and overlap search that leave common terms out of joins, top-k, fusion of rankers, arbitration of sources."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: A ranker takes (queries, catalogue) and returns query, id, score.
 Ranker = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -21,7 +23,7 @@ def search_all(rankers: dict[str, Ranker], queries: DataFrame, catalog: DataFram
 
 
 def term_weights(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
-    """(id, term, tf), and (term, idf): ln(N/df), or 0.1 where that is not above 0; ids must be unique. Lengths are known in each row,
+    """(id, term, tf), and (term, df, idf): ln(N/df), or 0.1 where that is not above 0; ids must be unique. Lengths are known in each row,
     so terms are counted by one shuffle; N is joined in."""
     terms = docs.select(F.col(id_col).alias("id"), F.size(tokens).alias("len"), tokens.alias("t")).select("id", "len", F.explode("t").alias("term"))
     tf = terms.groupBy("id", "term", "len").agg((F.count("*") / F.col("len")).alias("tf")).drop("len")
@@ -31,18 +33,88 @@ def term_weights(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFram
     return tf, df.select("term", "df", F.when(raw > 0, raw).otherwise(0.1).alias("idf"))
 
 
-def tfidf_search(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens: Column, query_id: str, doc_id: str, least: float = 0.1) -> DataFrame:
-    """query, id, score: cosine of TF-IDF vectors by an equi-join on terms; idf comes from the documents. Postings and weights are one
-    join; only postings of the queries' terms meet the queries."""
-    tf, idf = term_weights(docs, doc_id, doc_tokens)
-    weights = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = queries.select(F.col(query_id).alias("query"), F.size(query_tokens).alias("len"), query_tokens.alias("t")).select("query", "len", F.explode("t").alias("term"))
-    q = asked.groupBy("query", "term", "len").agg((F.count("*") / F.col("len")).alias("f")).join(idf, "term").select("query", "term", (F.col("f") * F.col("idf")).alias("qw"))
-    q_norm = q.groupBy("query").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    dots = q.join(weights, "term").groupBy("query", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, "id").join(q_norm, "query").select("query", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score"))
-    return scored.filter(F.col("score") >= least)
+def vectors(docs: DataFrame, id_col: str, tokens: Column, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """id and entries, an array of (term, w): TF-IDF vectors of length 1; and (term, idf), the given ones or those of these rows. Terms
+    without an idf are left out."""
+    tf, own = term_weights(docs, id_col, tokens)
+    idf = own.select("term", "idf") if idf is None else idf
+    w = F.col("tf") * F.col("idf")
+    rows = tf.join(idf, "term").groupBy("id").agg(F.collect_list(F.struct("term", w.alias("w"))).alias("e"), F.sqrt(F.sum(w * w)).alias("norm"))
+    return rows.select("id", F.transform("e", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("entries")), idf
+
+
+def essential_terms(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """query, term, qw, essential, rest: the terms of each query, and whether a row must hold one of the essential ones to reach `least`. Of a
+    query's terms, those whose greatest products with any row add up to less than `least` are not essential; rest is their sum."""
+    q = queries.select(F.col("id").alias("query"), F.inline("entries")).withColumnRenamed("w", "qw")
+    top = docs.select(F.inline("entries")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.max("w").alias("top"))
+    w = Window.partitionBy("query").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    found = q.join(top, "term").withColumn("bound", F.col("qw") * F.col("top") * (1 + 1e-9))
+    found = found.withColumn("essential", F.sum("bound").over(w) >= least)
+    rest = F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(Window.partitionBy("query"))
+    return found.select("query", "term", "qw", "essential", rest.alias("rest"))
+
+
+def nearest(queries: DataFrame, docs: DataFrame, least: float, k: int | None = None) -> DataFrame:
+    """query, id, score: the rows whose cosine with a query is `least` or more, with k the k best of each query and perhaps some more.
+
+    Only postings of essential terms are joined by term. What they add up to, and the most that the other terms may add, decides which
+    pairs are looked at: those that may reach `least` and, with k, the k-th best sum of their query. The other terms, which are
+    those that most rows hold, are looked up in the rows of these pairs alone, so their postings are never shuffled.
+    docs must be a table that can be read again at no great cost.
+    """
+    terms = written(essential_terms(queries, docs, least))
+    first = terms.filter("essential").select("query", "term", "qw", "rest")
+    sums = docs.select("id", F.inline("entries")).join(first, "term").groupBy("query", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("part"), F.max("rest").alias("rest"))
+    sums = written(sums)
+    bound = F.lit(least)
+    if k is not None:
+        w = Window.partitionBy("query").orderBy(F.desc("part"), "id")
+        kth = sums.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).groupBy("query").agg(F.min(F.when(F.col("n") == k, F.col("part"))).alias("kth"))
+        sums = sums.join(kth, "query")
+        bound = F.greatest(bound, F.coalesce("kth", F.lit(0.0)) * (1 - 1e-9))
+    open_pairs = sums.filter(F.col("part") + F.col("rest") >= bound * (1 - 1e-9)).select("query", "id", "part")
+    other = terms.filter(~F.col("essential")).groupBy("query").agg(F.collect_list(F.struct("term", "qw")).alias("other"))
+    rows = open_pairs.join(other, "query", "left").join(docs, "id")
+    more = F.aggregate(F.coalesce("other", F.array().cast("array<struct<term:string,qw:double>>")), F.lit(0.0), lambda a, x: a + x["qw"] * F.coalesce(F.get(F.transform(F.filter("entries", lambda e: e["term"] == x["term"]), lambda e: e["w"]), F.lit(0)), F.lit(0.0)))
+    return rows.select("query", "id", (F.col("part") + more).alias("score")).filter(F.col("score") >= least)
+
+
+def tfidf_search(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens: Column, query_id: str, doc_id: str, least: float = 0.1, k: int | None = None) -> DataFrame:
+    """query, id, score: cosine of TF-IDF vectors, idf from the documents; see nearest()."""
+    rows, idf = vectors(docs, doc_id, doc_tokens)
+    rows, idf = written(rows), written(idf)
+    asked, _ = vectors(queries, query_id, query_tokens, idf)
+    return nearest(written(asked), rows, least, k)
+
+
+def most_shared(queries: DataFrame, docs: DataFrame, k: int, share: bool = False) -> DataFrame:
+    """query, id, score, rank: the k rows (id, words) that share most words with each query (id, words); with `share`, most of all words of both. Ties by id.
+
+    Words are taken rarest first. The first few give each query k rows, whose k-th score any other row must reach; so it must share a number
+    of words, and hold one of all but so many less one: the commonest are not looked up. docs must be a table that can be read again.
+    """
+    words = lambda df: df.select("id", F.explode("words").alias("word"))
+    asked = queries.select(F.col("id").alias("query"), F.size("words").alias("m"), F.explode("words").alias("word"))
+    df = words(docs).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("query").orderBy("df", "word")
+    terms = written(asked.join(df, "word").withColumn("place", F.row_number().over(order)).withColumn("rows", F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1))))
+    own = queries.select(F.col("id").alias("query"), F.col("words").alias("wanted"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("words", "wanted"))
+        score = both / (F.size("words") + F.size("wanted") - both) if share else both
+        return pairs.join(own, "query").join(docs, "id").select("query", "id", score.alias("score"))
+
+    few = terms.filter(F.coalesce("rows", F.lit(0)) < 2 * k)
+    first = top_k(scored(words(docs).join(few.select("query", "word"), "word").select("query", "id").distinct()), k)
+    kth = first.groupBy("query").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("kth"))
+    need = F.greatest(F.lit(1), F.ceil(F.coalesce("kth", F.lit(0)) * (F.col("m") if share else 1) - 1e-9))
+    # place <= m - need + 1; words that no row holds have no place, and come before all others
+    known = Window.partitionBy("query")
+    used = terms.join(kth, "query", "left").withColumn("need", need).withColumn("all", F.count("*").over(known)).filter(F.col("place") <= F.col("all") - F.col("need") + 1)
+    pairs = words(docs).join(used.select("query", "word", "need", (F.col("need") - 1).alias("left")), "word").groupBy("query", "id").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("left").alias("left"))
+    return top_k(scored(pairs.filter(F.col("n") + F.col("left") >= F.col("need")).select("query", "id")), k)
 
 
 def top_k(scored: DataFrame, k: int, partition: str = "query", order: tuple[Column, ...] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import similarity as S
 from folioforge.functions import text as T
 from folioforge.operators import ranking as R
+from folioforge.operators.tables import written
 from folioforge.sources import derived as D
 
 from .registry import query
@@ -99,9 +100,9 @@ scored AS (SELECT qw.query, w.id, sum(qw * w) / (any_value(norm) * any_value(q_n
 """.format(tok=_TOK.format("text"), qtok=_TOK.format("q"), views=D.SEARCH_QUERIES)
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
     docs = D.read(spark, sf_dir, "documents")
-    return R.tfidf_search(D.search_queries(spark, sf_dir), docs, T.tokens(F.col("q")), T.tokens(F.col("text")), "item_id", "doc_id")
+    return R.tfidf_search(D.search_queries(spark, sf_dir), docs, T.tokens(F.col("q")), T.tokens(F.col("text")), "item_id", "doc_id", k=k)
 
 
 @query(_SCORES + "SELECT id, term, round(tf, 9) AS tf FROM tf")
@@ -123,7 +124,7 @@ def q10_tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SCORES + "SELECT query, id, rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM scored) WHERE rank <= 10")
 def q29_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_scored(spark, sf_dir).withColumn("score", F.round("score", 9)), 10).select("query", "id", F.col("rank").cast("long").alias("rank"))
+    return R.top_k(_scored(spark, sf_dir, 10).withColumn("score", F.round("score", 9)), 10).select("query", "id", F.col("rank").cast("long").alias("rank"))
 
 
 _WORDS = "string_split(coalesce(lower(title), ''), ' ')"
@@ -173,16 +174,15 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_ranker(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """The ten titles of each query with the greatest share of words in common."""
-    words = lambda df, key: df.filter("title is not null").select(key, F.array_distinct(F.split(F.lower("title"), " ")).alias("w")).select(key, F.size("w").alias("n"), F.explode("w").alias("word"))
-    both = words(queries, "query").withColumnRenamed("n", "m").join(words(catalog, "id"), "word").groupBy("query", "id", "m", "n").agg(F.count("*").alias("both"))
-    return R.top_k(both.select("query", "id", F.round(F.col("both") / (F.col("m") + F.col("n") - F.col("both")), 6).alias("score")), 10).drop("rank")
+    words = lambda df, key: df.filter("title is not null").select(F.col(key).alias("id"), F.array_distinct(F.split(F.lower("title"), " ")).alias("words"))
+    return R.most_shared(words(queries, "query"), words(catalog, "id"), 10, share=True).select("query", "id", F.round("score", 6).alias("score"))
 
 
 def semantic_ranker(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """The ten titles of each query nearest by the cosine of TF-IDF vectors."""
     titled = lambda df: df.filter("title is not null")
     words = F.split(F.lower("title"), " ")
-    scored = R.tfidf_search(titled(queries), titled(catalog), words, words, "query", "id")
+    scored = R.tfidf_search(titled(queries), titled(catalog), words, words, "query", "id", k=10)
     return R.top_k(scored.withColumn("score", F.round("score", 6)), 10).drop("rank")
 
 
@@ -222,11 +222,11 @@ def q30_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents), s AS (SELECT DISTINCT item_id AS query, unnest({_TOK.format('text')}) AS term FROM benchmark), h AS (SELECT query, doc_id AS id, count(*) AS terms FROM s JOIN t USING (term) GROUP BY ALL) SELECT query, id, terms FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY terms DESC, id) AS rn FROM h) WHERE rn <= 100")
 def q31_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each query the 100 documents with most of its terms. The terms of all queries are looked up in each document's own list, so no posting list is shuffled."""
-    s = D.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    t = D.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    hits = t.join(s, "term").groupBy("query", "id").agg(F.count("*").alias("terms"))
-    return R.top_k(hits.withColumn("score", F.col("terms")), 100).select("query", "id", "terms")
+    """For each query the 100 documents with most of its terms: rare terms first, and the commonest only for documents that may be among them."""
+    words = lambda df, key: df.select(F.col(key).alias("id"), F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    docs = written(words(D.read(spark, sf_dir, "documents"), "doc_id"))
+    found = R.most_shared(words(D.read(spark, sf_dir, "benchmark"), "item_id"), docs, 100)
+    return found.select("query", "id", F.col("score").cast("long").alias("terms"))
 
 
 @query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 10")
