@@ -24,8 +24,8 @@ from __future__ import annotations
 import re
 import sys
 from collections import deque
-from collections.abc import Iterator
-from itertools import compress
+from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +45,14 @@ STRETCH = 256
 LEAST_POWER = 256
 #: Tokens that are solved at once.
 BLOCK = 2**19
-#: Words whose ids a worker keeps, the longest of them, and the bytes of the texts that are tokenized at once.
-MEMO, MEMO_CHARS, TEXT_BYTES = 300_000, 40, 2_000_000
+#: Words whose ids a worker keeps in each of two generations, and the bytes of the texts that are tokenized at once.
+MEMO, TEXT_BYTES = 500_000, 2_000_000
 
 _TAIL = ".,;:!?"
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _BLANKS = re.compile("[ \t\n\r]+")
+#: Up to here letters are told from marks, and lower case is made, alike everywhere.
+_LATIN_END = "\u0250"
 
 
 def vocabulary_file() -> str:
@@ -60,65 +62,64 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in the vocabulary: printable bytes for themselves, the others for those from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Words:
-    """Tokenizes texts word by word: the tokenizer drops white space and looks at no word's neighbours, so each distinct word is tokenized once."""
+    """Tokenizes texts word by word: the tokenizer drops white space and looks at no word's neighbours, so each distinct word is tokenized
+    once. What is learnt is kept in two generations: once MEMO words are known, those that were not used since the last time go."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.core: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters = byte_letters()
         names = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.piece = [int(i).to_bytes(4, "little") for i in range(max(names.values(), default=0) + 1)]
+        self.ends = np.zeros(len(self.piece), bool)
         for name, i in names.items():
             mark = name.removesuffix("</w>")
             self.ends[i] = bool(set(mark) & set(".!?")) and set(mark) <= set(".!?\"')]")
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as 32-bit little-endian integers; words hold no blank."""
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of new words. A word of letters and then marks is tokenized as the letters in lower case, which other words share, and the marks."""
-        parts, want = [], set()
+    def learn(self, words: Iterable[str]) -> None:
+        """Adds new words. Latin letters go to the model in lower case, marks after them are a word of their own; all else goes the whole way."""
+        known, older, piece, tokenize = self.known, self.older, self.piece, self.tokenizer.model.tokenize
+        other: list[str] = []
         for w in words:
-            head = w.rstrip(_TAIL)
-            if head.isascii() and head.isalpha():
-                head = head.lower()
-                pair = (head, w[len(head) :])
-            else:
-                pair = (w, "")
-            parts.append(pair)
-            want.update(pair)
-        want.discard("")
-        new = [w for w in want if w not in self.core]
-        own = dict(zip(new, self.ids_of(new), strict=True))
-        get = self.core.get
-        out = {}
-        for w, (head, tail) in zip(words, parts, strict=True):
-            ids = own.get(head) or get(head, b"")
-            out[w] = ids + (own.get(tail) or get(tail, b"")) if tail else ids
-        if len(self.core) > MEMO:
-            self.core.clear()
-        self.core.update(item for item in own.items() if len(item[0]) <= MEMO_CHARS)
-        return out
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        get, plans, new = self.memo.get, [], set()
-        for text in texts:
-            words = words_in(text) if text else []
-            ids = list(map(get, words))
-            if None in ids:
-                new.update(compress(words, [i is None for i in ids]))
-            plans.append((words, ids))
-        found = self.learn(list(new))
-        self.memo.update(item for item in found.items() if len(item[0]) <= MEMO_CHARS)
-        return [b"".join([found[w] if i is None else i for w, i in zip(words, ids, strict=True)]) if None in ids else b"".join(ids) for words, ids in plans]
+            ids = older.get(w)
+            if ids is None:
+                head = w.rstrip(_TAIL)
+                low = head.lower()
+                if not (low.isalpha() and (low.isascii() or (max(low) < _LATIN_END and is_normalized("NFC", head)))):
+                    other.append(w)
+                    continue
+                ids = known.get(low) or older.get(low)
+                if ids is None:
+                    form = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                    ids = known[low] = b"".join([piece[t.id] for t in tokenize(form)])
+                if len(head) < len(w):
+                    tail = w[len(head) :]
+                    if tail not in known:
+                        known[tail] = b"".join([piece[i] for i in self.tokenizer.encode(tail, add_special_tokens=False).ids])
+                    ids += known[tail]
+            known[w] = ids
+        for w, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[w] = b"".join([piece[i] for i in found.ids])
+
+    def encode_all(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
+        """The ids of each text, as 32-bit little-endian integers, and `end`."""
+        texts = [words_in(t) if t else [] for t in texts]
+        if len(self.known) > MEMO:
+            self.older, self.known = self.known, {}
+        self.learn(set().union(*texts).difference(self.known))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, words)) + end for words in texts]
 
 
 def words_in(text: str) -> list[str]:
@@ -275,15 +276,15 @@ NAMES = ["doc_id", "start", "length", "tokens", "doc_tokens", "sequence_id", "of
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, model: str | None = None) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, tokens (binary, 32-bit little-endian ids), doc_tokens, sequence_id, offset."""
-    end = np.array([END], "<u4")
+    end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stream = words_of(model or vocabulary_file()), None
         for b in arrow_slices(batches, size=TEXT_BYTES):
             if stream is None:
                 stream = Stream(words.ends, length, b.column(2)[0].as_py() << 33)
-            for i, ids in zip(b.column(0).to_pylist(), words.encode_all(b.column(1).to_pylist()), strict=True):
-                stream.add(i, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+            for i, ids in zip(b.column(0).to_pylist(), words.encode_all(b.column(1).to_pylist(), end), strict=True):
+                stream.add(i, np.frombuffer(ids, "<u4"))
                 if stream.tokens >= BLOCK:
                     yield stream.flush(False)
         if stream is not None and (out := stream.flush(True)) is not None:
