@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import isbn
 from folioforge.functions import similarity as S
 from folioforge.functions import text as T
 from folioforge.operators import ranking as R
+from folioforge.operators.orchestrator import Orchestrator
 from folioforge.operators.tables import written
 from folioforge.sources import derived as D
 
@@ -201,11 +204,55 @@ def q24_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WR + "SELECT query, algorithm, id, score FROM (SELECT *, max(CASE WHEN score >= 0.9 THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY CASE algorithm WHEN 'isbn' THEN 0 WHEN 'fuzzy' THEN 1 ELSE 2 END RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranked) WHERE coalesce(before, 0) = 0")
 def q25_early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rankers run in order; none runs for a query after one has reached 0.9. By an aggregate per query and rank, not a window over all results."""
-    order = F.when(F.col("algorithm") == "isbn", 0).when(F.col("algorithm") == "fuzzy", 1).otherwise(2)
-    r = _ranked(spark, sf_dir).withColumn("o", order)
-    stop = r.groupBy("query").agg(F.min(F.when(F.col("score") >= 0.9, F.col("o"))).alias("stop"))
-    return r.join(stop, "query").filter("stop is null or o <= stop").select("query", "algorithm", "id", "score")
+    """Rankers run in order; none runs for a query after one has reached 0.9: it is given the queries that are left open only."""
+    catalog = D.books(spark, sf_dir)
+    answers, _, _ = orchestrator(suits=F.lit(True)).staged(_asking(catalog).withColumn("suited", F.array(F.lit("isbn"), F.lit("fuzzy"), F.lit("semantic"))), catalog, ["isbn", "fuzzy", "semantic"], 0.9)
+    return functools.reduce(DataFrame.unionByName, answers).select("query", "algorithm", "id", "score")
+
+
+def _asking(catalog: DataFrame) -> DataFrame:
+    return catalog.filter("id % 50 = 0").withColumn("query", F.col("id"))
+
+
+def orchestrator(suits: Column | None = None) -> Orchestrator:
+    """The three rankers, with the queries that suit them: a title or authors; a valid ISBN; more than ten characters of text."""
+    from .extract_queries import isbn_ranker
+
+    text = F.trim(F.concat_ws(" ", "title", F.array_join("authors", " ")))
+    out = Orchestrator()
+    out.register("fuzzy", lexical_ranker, suits if suits is not None else F.col("title").isNotNull() | (F.size("authors") > 0))
+    out.register("isbn", isbn_ranker, suits if suits is not None else isbn.valid13(isbn.clean(F.col("isbn_raw"))))
+    out.register("semantic", semantic_ranker, suits if suits is not None else F.length(text) > 10)
+    return out
+
+
+def _searched(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    catalog = D.books(spark, sf_dir)
+    return orchestrator().search(_asking(catalog), catalog, strategy).withColumns({"score": F.round("score", 6), "algorithms": F.array_join("algorithms", ",")})
+
+
+@query()
+def q25_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suitable rankers, their answers put together by book."""
+    return _searched(spark, sf_dir, "parallel")
+
+
+@query()
+def q25_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranker after ranker until one is sure (0.8); else all answers put together."""
+    return _searched(spark, sf_dir, "sequential")
+
+
+@query()
+def q25_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ranker; where it is not very sure (0.9), the first three put together."""
+    return _searched(spark, sf_dir, "adaptive")
+
+
+@query()
+def u1_orchestrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query by the strategy that the number of its suitable rankers asks for."""
+    return _searched(spark, sf_dir, "auto")
 
 
 @query(_WR + "SELECT query, id % 7 AS grp, arg_max(id, score * 100000000 - id) AS id, round(avg(score), 4)::DOUBLE AS score, array_to_string(list_sort(list_distinct(list(algorithm))), ',') AS algorithms FROM ranked GROUP BY query, id % 7")
