@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from folioforge.functions import isbn
 from folioforge.functions import similarity as S
 from folioforge.functions import text as T
+from folioforge.operators import duplicates
 from folioforge.operators import ranking as R
 from folioforge.operators.orchestrator import Orchestrator
 from folioforge.operators.tables import written
 from folioforge.sources import derived as D
 
 from .registry import query
+from .source_queries import CLASSES
 from .text_queries import _TOK
 
 #: Titles that a block of the fuzzy search holds on average.
@@ -255,10 +257,12 @@ def u1_orchestrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, "auto")
 
 
-@query(_WR + "SELECT query, id % 7 AS grp, arg_max(id, score * 100000000 - id) AS id, round(avg(score), 4)::DOUBLE AS score, array_to_string(list_sort(list_distinct(list(algorithm))), ',') AS algorithms FROM ranked GROUP BY query, id % 7")
+@query("WITH RECURSIVE " + CLASSES + ",\n" + _RANKED + "\nSELECT query, class, arg_max(id, score * 100000000 - id) AS id, round(avg(score), 4)::DOUBLE AS score, array_to_string(list_sort(list_distinct(list(algorithm))), ',') AS algorithms FROM ranked JOIN classes USING (id) GROUP BY query, class")
 def q28_group_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = R.fuse_groups(_ranked(spark, sf_dir).withColumn("grp", F.col("id") % 7), "grp")
-    return fused.select("query", "grp", "id", F.round("score", 4).alias("score"), F.array_join("algorithms", ",").alias("algorithms"))
+    """The rankers' answers by class of duplicates: the best one's id, the mean score, and who found it."""
+    of = duplicates.classes(D.books(spark, sf_dir)).select("id", "class")
+    fused = R.fuse_groups(_ranked(spark, sf_dir).join(of, "id"), "class")
+    return fused.select("query", "class", "id", F.round("score", 4).alias("score"), F.array_join("algorithms", ",").alias("algorithms"))
 
 
 @query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) SELECT term, count(*) AS postings, min(doc_id) AS first_doc FROM t GROUP BY term")

@@ -9,6 +9,8 @@ from folioforge.functions import isbn
 from folioforge.functions import similarity as S
 from folioforge.functions import text as T
 from folioforge.operators import catalog as C
+from folioforge.operators import duplicates
+from folioforge.operators.tables import written
 from folioforge.sources import derived as D
 from folioforge.sources import formats as X
 
@@ -175,6 +177,21 @@ def z24_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(other, "id").select("id", (points >= 3).alias("same"), F.coalesce(F.length("t") > F.length("title"), F.col("t").isNotNull() & F.col("title").isNull()).alias("better"))
 
 
+#: Pairs that stand for one book, and their closure: what is a class is a component.
+_PAIRS = """named AS (SELECT id, isbn_13, lower(coalesce(title, '')) AS t, lower(coalesce(authors[1], '')) AS x FROM books),
+pairs AS (SELECT a.id AS a, b.id AS b FROM named a JOIN named b ON a.id <> b.id AND (a.isbn_13 = b.isbn_13 OR (a.t <> '' AND b.t <> '' AND (contains(a.t, b.t) OR contains(b.t, a.t) OR abs(length(a.t) - length(b.t)) <= 3)
+ AND a.x <> '' AND b.x <> '' AND (contains(a.x, b.x) OR contains(b.x, a.x))))),
+reach(id, r) AS (SELECT id, id FROM books UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON reach.r = pairs.a),
+classes AS (SELECT id, min(r) AS class, count(*) AS size FROM reach GROUP BY id)"""
+CLASSES = D.BOOKS + ",\n" + _PAIRS
+
+
+@query("WITH RECURSIVE " + CLASSES + "\nSELECT id, class, size FROM classes")
+def q27_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that stand for one book, by chains of links: each one's class (its least id) and how many are in it."""
+    return duplicates.classes(D.books(spark, sf_dir))
+
+
 @query(_W + "SELECT isbn_13, count(*) AS n, arg_max(id, confidence * 10000000 - id) AS best, round(avg(confidence), 6) AS score FROM books GROUP BY isbn_13")
 def q27_groups_by_isbn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate groups in their native form: records of one ISBN."""
@@ -186,19 +203,19 @@ count(*) FILTER (a.authors[1] = b.authors[1] AND abs(length(a.title) - length(b.
 def q26_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other records each may duplicate: of one ISBN; of one first author with a title that differs by three characters in
     length at most; or of one first author with a title that holds the other's. Counted by a group, by a window over lengths, and by
-    a join on author and first word: pairs of the first two kinds are never made."""
-    b = D.books(spark, sf_dir).select("id", "isbn_13", F.lower("title").alias("t"), F.get("authors", F.lit(0)).alias("author"))
+    the rarest trigram of the shorter title: pairs of the first two kinds are never made, and equal titles are one row."""
+    b = D.books(spark, sf_dir).select("id", "isbn_13", F.lower("title").alias("t"), F.lower(F.get("authors", F.lit(0))).alias("author"))
     n = F.length("t")
     isbn = b.groupBy("isbn_13").agg((F.count("*") - 1).alias("same_isbn"))
     # lengths are few, so counts by length come before the window
     sizes = b.filter("t is not null and author is not null").groupBy("author", n.alias("n")).agg(F.count("*").alias("c"))
     near = sizes.withColumn("near", F.sum("c").over(Window.partitionBy("author").orderBy("n").rangeBetween(-3, 3))).select("author", "n", "near")
-    long = b.select(F.col("id").alias("other"), F.col("t").alias("held"), "author")
-    held = F.contains(F.col("t"), F.col("held")) & (F.length("t") - F.length("held") > 3)
-    pairs = b.join(long, "author").filter(held).select(F.explode(F.array("id", "other")).alias("id"))
-    contained = pairs.groupBy("id").agg(F.count("*").alias("contained"))
+    titles = written(duplicates.titles_of(D.books(spark, sf_dir)))
+    held = duplicates.holding(titles.select("id", F.col("author").alias("g"), "t"))
+    pairs = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(titles.select(F.col("id").alias("b"), F.col("n").alias("k")), "b")
+    contained = pairs.groupBy(F.col("a").alias("id")).agg(F.sum("k").alias("contained")).join(titles.select("id", "author", "t"), "id").drop("id")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    rows = b.withColumn("n", n).join(isbn, "isbn_13", "left").join(near, ["author", "n"], "left").join(contained, "id", "left")
+    rows = b.withColumn("n", n).join(isbn, "isbn_13", "left").join(near, ["author", "n"], "left").join(contained, ["author", "t"], "left")
     return rows.select("id", zero(F.col("same_isbn")).alias("same_isbn"), zero(F.col("near") - 1).alias("similar"), zero(F.col("contained")).alias("contained"))
 
 
