@@ -8,8 +8,8 @@ document is contaminated if a run holds LEAST equal words, or SHARE of a shorter
 
 Items of up to SHORT words allow m substitutions, and so have m + 1 masks over all their length, each of every (m + 1)-th word:
 m substitutions leave at least one mask whole, so no match is missed. Longer items have MASKS over windows of SPAN words; a run
-of few substitutions is always found, one of very many may be missed. Items of fewer than MIN_ITEM words say too little, and are
-not looked for. Of hits that follow one another along a diagonal only the first is taken up, so repeated words cost no more.
+of few substitutions is always found, one of very many may be missed. Items of one or two words are found wherever they stand; as
+they are no passages, clean() lets documents that hold them pass, and takes items from PASSAGE words on. Of hits that follow one another along a diagonal only the first is taken up, so repeated words cost no more.
 
 The benchmark is broadcast in blocks of at most BLOCK_BYTES of text, one map over the documents for each block, one block after
 another; with one block nothing is shuffled. Null and empty texts are clean; repeated rows are judged alike; null items and an empty benchmark match
@@ -34,7 +34,9 @@ from .common import plain_words, slices, utf8, written
 #: Fixed masks; 1 hashes a position, 0 ignores it.
 MASKS = ("11101100101", "11010011011", "10110110011", "11100011101")
 SPAN = 11
-MIN_ITEM, SHORT = 3, 16
+MIN_ITEM, SHORT = 1, 16
+#: The fewest words of an item for which clean() drops a document.
+PASSAGE = 3
 LEAST = 13
 SHARE = 0.8
 PENALTY = 2
@@ -88,12 +90,12 @@ class Table(NamedTuple):
 class Seeds:
     """The hashed windows of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...] = MASKS, fewest: int = MIN_ITEM):
         self.vocabulary: dict[bytes, int] = {}
         self.items, words = [], []
         for item_id, text in items:
             w = plain_words(utf8(text))
-            if item_id is not None and len(w) >= MIN_ITEM:
+            if item_id is not None and len(w) >= fewest:
                 self.items.append(item_id)
                 words.append([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w])
         self.length = np.array([len(w) for w in words], np.int64)
@@ -229,15 +231,15 @@ def overlaps(text: Column, seeds: Broadcast) -> Column:
     return run(text)
 
 
-def judged(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with __ff_o, struct(n_words, items, overlap). Of several blocks all but the first are looked for one after another, and what they find is joined by the text's hash."""
+def judged(docs: DataFrame, bench: DataFrame, text_col: str = "text", fewest: int = MIN_ITEM) -> DataFrame:
+    """The documents with __ff_o, struct(n_words, items, overlap), for items of `fewest` words or more. Of several blocks all but the first are looked for one after another, and what they find is joined by the text's hash."""
     spark, more = docs.sparkSession, None
     todo = blocks(bench, "item_id", "text")
-    out = docs.withColumn("__ff_o", overlaps(F.col(f"`{text_col}`"), spark.sparkContext.broadcast(Seeds(next(todo)))))
+    out = docs.withColumn("__ff_o", overlaps(F.col(f"`{text_col}`"), spark.sparkContext.broadcast(Seeds(next(todo), fewest=fewest))))
     keys = [F.xxhash64(f"`{text_col}`").alias("__ff_k1"), F.xxhash64(F.lit(7), f"`{text_col}`").alias("__ff_k2")]
     names = ["__ff_k1", "__ff_k2"]
     for block in todo:
-        shared = spark.sparkContext.broadcast(Seeds(block))
+        shared = spark.sparkContext.broadcast(Seeds(block, fewest=fewest))
         hits = written(docs.select(*keys, overlaps(F.col(f"`{text_col}`"), shared).alias("o")).filter(F.size("o.items") > 0).dropDuplicates(names))
         shared.destroy()
         more = hits if more is None else more.unionByName(hits)
@@ -257,4 +259,4 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that hold no item of the benchmark, with their own columns."""
-    return judged(docs, bench, text_col).filter(F.size("__ff_o.items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs, bench, text_col, PASSAGE).filter(F.size("__ff_o.items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

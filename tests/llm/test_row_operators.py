@@ -270,6 +270,10 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
     assert sorted((r.doc_id, r["items"], r.overlap) for r in decontaminate.contamination(docs, bench).collect()) == whole
     assert [r[1] for r in whole][-1] == [0, 5]
+    tiny = spark.createDataFrame([(1, "clean"), (2, "two words"), (3, "three such words")], "item_id bigint, text string")
+    rows = frame(spark, [(1, "all clean here"), (2, "two words, words two"), (3, "two other words"), (4, "of three such words")])
+    assert {r.doc_id: r["items"] for r in decontaminate.contamination(rows, tiny).collect()} == {1: [1], 2: [2], 3: [], 4: [3]}
+    assert sorted(r.doc_id for r in decontaminate.clean(rows, tiny).collect()) == [1, 2, 3]
     kept = decontaminate.clean(frame(spark, [(1, items[2][1]), (2, "clean"), (3, None)]), bench)
     assert kept.columns == SCHEMA_COLUMNS and sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
