@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import isbn
 from folioforge.functions import similarity as S
 from folioforge.functions import text as T
-from folioforge.operators import duplicates
+from folioforge.operators import duplicates, fuzzy
 from folioforge.operators import ranking as R
 from folioforge.operators.orchestrator import Orchestrator
 from folioforge.operators.tables import written
@@ -77,23 +74,10 @@ def q5_author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q6_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles near each query: every query with every title, a block of queries with a block of titles at a time, cut at 0.8."""
-    b = D.books(spark, sf_dir).filter("title is not null").select("id", F.lower("title").alias("title"))
-    q = b.filter("id % 50 = 0").select(F.col("id").alias("query"), F.concat("title", F.lit("x")).alias("asked"))
-    blocks = b.count() // BLOCK + 1
-    block = lambda df, key, n: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(*[F.collect_list(F.struct(*df.columns)).alias(key)]).drop("block")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for asked, titles in zip(frame["query"], frame["id"], strict=True):
-                ids, texts = np.array([t["id"] for t in titles], np.int64), [t["title"] for t in titles]
-                for a in asked:
-                    score = S.jaro_winkler_block(a["asked"], texts)
-                    near = score >= 0.7999  # rounded, and cut, below
-                    yield pd.DataFrame({"query": a["query"], "id": ids[near], "score": score[near]})
-
-    scored = block(b, "id", blocks).crossJoin(block(q, "query", blocks // 50 + 1)).repartition(blocks).mapInPandas(run, "query bigint, id bigint, score double")
-    return R.top_k(scored.withColumn("score", F.round("score", 6)).filter("score >= 0.8"), 10)
+    """Titles near each query, cut at 0.8: only blocks of titles, and titles, whose letters allow that score are compared."""
+    b = D.books(spark, sf_dir).filter("title is not null").select("id", F.lower("title").alias("text"))
+    q = b.filter("id % 50 = 0").select(F.col("id").alias("query"), F.concat("text", F.lit("x")).alias("asked"))
+    return R.top_k(fuzzy.fuzzy_search(q, b, 0.8, BLOCK), 10)
 
 
 _SCORES = """WITH toks AS (SELECT doc_id AS id, unnest({tok}) AS term FROM documents), c AS (SELECT id, term, count(*) AS n FROM toks GROUP BY ALL),
