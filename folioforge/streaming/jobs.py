@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from folioforge.operators import metrics
+from folioforge.operators.buckets import BucketTable
 
 
 def events_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -35,22 +40,81 @@ def run_now(df: DataFrame, mode: str, folder: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out).select(*df.columns)
 
 
-def upserted(spark: SparkSession, folder: str) -> tuple[int, DataFrame] | None:
-    """The latest version of a table that upsert_batches() keeps, and its number; None if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    found = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(f"{folder}/version=*/_SUCCESS"))
-    versions = [int(x.getPath().getParent().getName().partition("=")[2]) for x in found or ()]
-    return (max(versions), spark.read.parquet(f"{folder}/version={max(versions)}")) if versions else None
+def upserted(spark: SparkSession, folder: str, keys: list[str] | None = None) -> tuple[int, DataFrame] | None:
+    """The table that upsert_batches() keeps, and its version; None if there is none."""
+    table = BucketTable(spark, folder, keys or [])
+    held = table.manifest()
+    return None if held is None else (held["version"], table.read())
 
 
 def upsert_batches(events: DataFrame, folder: str, keys: list[str], checkpoint: str):
-    """Each micro-batch replaces the rows of its keys (the latest of each, by ts): the table's next version is written once, beside
-    the last one. A new checkpoint goes on from the table as it is, and a batch that runs again gives the same rows."""
-    from folioforge.operators.catalog import latest
+    """Each micro-batch replaces the rows of its keys (the latest of each, by ts), in the buckets that it touches only. A new checkpoint
+    goes on from the table as it is, and a batch that runs again changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        version, held = upserted(batch.sparkSession, folder) or (-1, None)
-        rows = batch if held is None else held.unionByName(batch)
-        latest(rows, keys, [F.desc("ts")]).write.mode("overwrite").parquet(f"{folder}/version={version + 1}")
+        batch.persist()
+        BucketTable(batch.sparkSession, folder, keys).upsert(batch, [F.desc("ts")], checkpoint, number)
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def trailing(events: DataFrame, late: str | None = None, width: str = "1 hour", slide: str = "10 minutes") -> DataFrame:
+    """Calls, errors and mean latency by API over the trailing `width`, every `slide`; `late`: the watermark of a stream, which gives a window
+    once it can get no more events and drops events that come later than that."""
+    if late:
+        events = events.withWatermark("ts", late)
+    rows = events.groupBy(F.window("ts", width, slide).alias("w"), "api").agg(F.count("*").alias("calls"), F.count_if(~F.col("success")).alias("errors"), F.avg("response_time").alias("mean"))
+    return rows.select(F.col("w.end").alias("until"), "api", "calls", "errors", F.round("mean", 6).alias("mean_latency"))
+
+
+class Breaker(StatefulProcessor):
+    """The circuit breaker of one user: events wait in state until the watermark has passed them, then count in the order of their
+    times, whatever the order in which they came. State holds the number of failures and the events within the watermark's delay."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.failures = handle.getValueState("failures", "n long")
+        self.waiting = handle.getMapState("waiting", "at long, event_id long", "success boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for r in rows:
+            if r.at > passed:  # what comes later is dropped: its place in the order is gone
+                self.waiting.updateValue((r.at, r.event_id), (r.success,))
+                self.handle.registerTimer(-(-r.at // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        due = sorted(k for k in self.waiting.keys() if k[0] <= until)
+        n = self.failures.get()[0] if due and self.failures.exists() else 0
+        for k in due:
+            success = self.waiting.getValue(k)[0]
+            n += not success
+            self.waiting.removeKey(k)
+            yield Row(user_id=key[0], event_id=k[1], failures=n, cooldown=0.0 if success else float(min(600, 30 * 2 ** (min(6, n) - 1))))
+        if due:
+            self.failures.update((n,))
+
+    def close(self) -> None:
+        pass
+
+
+def breaker(events: DataFrame, late: str) -> DataFrame:
+    """user_id, event_id, failures and cooldown of each event that the watermark has passed, as metrics.breaker() gives them. Needs
+    the RocksDB state store (with_rocksdb())."""
+    rows = events.withWatermark("ts", late).select("user_id", "event_id", "success", "ts", F.unix_micros("ts").alias("at"))
+    return rows.groupBy("user_id").transformWithState(Breaker(), "user_id bigint, event_id bigint, failures bigint, cooldown double", "Append", "EventTime")
+
+
+@contextlib.contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
