@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import isbn
 from folioforge.operators.tables import shared_folder
 from folioforge.sources import derived as D
-from folioforge.sources import formats
+from folioforge.sources import formats, shared_folders
 
 from .registry import query
 from .text_queries import _TOK
@@ -127,3 +127,32 @@ def s10_rename_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark)
     D.files(spark, sf_dir).select(F.col("path").alias("Arquivo"), F.translate("path", " ", "_").alias("Proposto")).write.option("header", True).csv(out)
     return formats.read_rename_csv(spark, out)
+
+
+def _folder_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """publisher, html: the page of a shared folder of each publisher, with its books by year as the JSON of the page's settings. What stands
+    under `recent` is not below an inner key, and folders have no size."""
+    f = D.files(spark, sf_dir).select("publisher", "year", F.struct(F.col("path").alias("name"), (F.col("id") * 1000).alias("size")).alias("file"))
+    years = f.groupBy("publisher", "year").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    items = years.groupBy("publisher").agg(F.array_sort(F.collect_list(F.struct(F.col("year").alias("name"), F.struct(F.array("files").alias("items")).alias("content")))).alias("children"))
+    tree = F.to_json(F.struct(F.struct("children").alias("items"), F.struct(F.lit("hidden.pdf").alias("name"), F.lit(1).alias("size")).alias("recent")))
+    return items.select("publisher", F.concat(F.lit('<a title="Guide.TXT">guide</a><script>window._cfg = '), tree, F.lit(";</script>")).alias("html"))
+
+
+@query(
+    _WF
+    + """SELECT DISTINCT publisher, name, NULL::BIGINT AS size, lower(regexp_extract(name, '(\\.[^.]+)$', 1)) AS ext, 'web_scraping' AS source FROM (SELECT publisher, path AS name FROM files UNION ALL SELECT publisher, 'hidden.pdf' FROM files UNION ALL SELECT publisher, 'Guide.TXT' FROM files)
+UNION ALL SELECT publisher, path, id * 1000, '.' || ext, 'json_extraction' FROM files"""
+)
+def s13_shared_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that each shared folder's page names, by its patterns and by walking its JSON."""
+    return shared_folders.folder_files(_folder_pages(spark, sf_dir), "publisher", F.col("html"))
+
+
+@query(_WF + "SELECT 'ext=' || ext AS folder, count(DISTINCT publisher) AS total FROM files GROUP BY ext")
+def s1_collect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the catalogue as Spark wrote them, one by format and publisher: listed again, and counted by folder."""
+    out = shared_folder(spark)
+    D.files(spark, sf_dir).select("id", "path", "ext", "publisher").repartition("ext", "publisher").write.partitionBy("ext", "publisher").parquet(out)
+    found = shared_folders.collect_files(spark, out, recursive=True, extensions=("parquet",))
+    return found.groupBy(F.regexp_extract("path", "(ext=[a-z]+)", 1).alias("folder")).agg(F.count("*").alias("total"))

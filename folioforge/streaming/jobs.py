@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +68,18 @@ def trailing(events: DataFrame, late: str | None = None, width: str = "1 hour",
     return rows.select(F.col("w.end").alias("until"), "api", "calls", "errors", F.round("mean", 6).alias("mean_latency"))
 
 
+def alerts(events: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, late: str = "10 minutes", slow: float = 90.0):
+    """Calls back with the alerts of each micro-batch: hours of an API with errors, or slower than `slow` on average, as they then stand. A batch may
+    come again after a failure; its number tells."""
+    found = metrics.hourly(events, late).filter((F.col("errors") > 0) | (F.col("mean_latency") > slow))
+
+    def tell(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            callback(batch, number)
+
+    return found.writeStream.foreachBatch(tell).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class Breaker(StatefulProcessor):
     """The circuit breaker of one user: events wait in state until the watermark has passed them, then count in the order of their
     times, whatever the order in which they came. State holds the number of failures and the events within the watermark's delay."""
