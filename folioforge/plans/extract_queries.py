@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions import filenames as N
 from folioforge.functions import isbn
 from folioforge.functions import similarity as S
 from folioforge.functions import text as T
@@ -51,12 +54,6 @@ def t6_artifact_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.read(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned.cast("binary")).alias("h"), (Q.many_singles(t) | Q.repeated_letters(t)).alias("flagged"))
 
 
-@query(_WF + "SELECT id, CASE WHEN contains(lower(path), 'ring') THEN 'Ring House' WHEN contains(lower(path), 'bolt') THEN 'Bolt Press' END AS publisher, nullif(regexp_extract(path, '[(]((?:19|20)[0-9]{2})[)]', 1), '') AS year FROM files")
-def t9_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.lower("path")
-    return D.files(spark, sf_dir).select("id", F.when(p.contains("ring"), "Ring House").when(p.contains("bolt"), "Bolt Press").alias("publisher"), F.nullif(F.regexp_extract("path", "[(]((?:19|20)[0-9]{2})[)]", 1), F.lit("")).alias("year"))
-
-
 _FLAGS = "(CAST(strpos(path, ' - ') > 0 AS INTEGER) + CAST(regexp_matches(path, '(19|20)[0-9]{2}') AS INTEGER) + CAST(length(path) > 20 AS INTEGER) + CAST(regexp_matches(path, '^[A-Z]') AS INTEGER) + 1)"
 
 
@@ -120,10 +117,13 @@ def t27_printable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.read(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned.cast("binary")).alias("h"))
 
 
-@query(f"SELECT doc_id, md5(regexp_replace(translate(text, '{T.ACCENTED}', '{T.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')) AS h FROM documents")
+_WHOLE = functools.reduce(lambda x, kv: f"replace({x}, '{kv[0]}', '{kv[1]}')", N.WHOLE.items(), "text")
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(strip_accents({_WHOLE}), '[^\\x00-\\x7F]', '', 'g')) AS h FROM documents")
 def t28_ascii_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hash of the whole text, folded to ASCII."""
-    folded = F.regexp_replace(T.strip_accents(F.col("text")), r"[^\x00-\x7F]", "")
+    """The hash of the whole text, its Latin letters folded to ASCII; other letters go."""
+    folded = F.regexp_replace(N.folded(F.col("text")), r"[^\x00-\x7F]", "")
     return D.read(spark, sf_dir, "documents").select("doc_id", F.md5(folded.cast("binary")).alias("h"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import filenames as N
 from folioforge.functions import isbn
 from folioforge.functions import similarity as S
 from folioforge.functions import text as T
@@ -28,11 +29,13 @@ def s11_ls_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.files(spark, sf_dir).select("id", X.ls_name(line).alias("name")).filter("name is not null")
 
 
-@query(_W + "SELECT id, 'AbC_' || CAST(id AS VARCHAR) AS drive_id FROM books")
+@query(_WF + "SELECT id, md5(path) AS drive_id, path AS name FROM files")
 def s12_drive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.concat(F.lit("AbC_"), F.col("id").cast("string"))
-    link = F.get(F.array(F.concat(F.lit("https://drive.example/file/d/"), key, F.lit("/view")), F.concat(F.lit("https://drive.example/open?id="), key), F.concat(F.lit("https://drive.example/drive/folders/"), key)), (F.col("id") % 3).cast("int"))
-    return D.books(spark, sf_dir).select("id", X.drive_id(link).alias("drive_id"))
+    """The id of a link in one of its forms, and the file name, the rest of the line: each file's line of a list of links."""
+    key = F.md5(F.col("path").cast("binary"))
+    forms = [F.concat(F.lit("https://drive.example/file/d/"), key, F.lit("/view?usp=sharing")), F.concat(F.lit("https://drive.example/open?id="), key), F.concat(F.lit("https://drive.example/drive/folders/"), key)]
+    line = F.concat(F.get(F.array(*forms), F.pmod(F.xxhash64("path"), F.lit(3)).cast("int")), F.lit(" "), "path")
+    return D.files(spark, sf_dir).select("id", line.alias("line")).select("id", X.drive_id(F.col("line")).alias("drive_id"), F.regexp_extract("line", r"^\S+\s+(.*)$", 1).alias("name"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,24 +89,32 @@ def t22_publisher_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).select("id", found.alias("publisher"))
 
 
-_TOPICS = {"hardware": ("bolt", "widget", "gear"), "jewelry": ("ring",), "scale": ("economy", "small", "large", "volume")}
+_q = lambda w: "'" + w.replace("'", "''") + "'"
+_any = lambda low, text: "(" + " OR ".join(f"contains({low}, {_q(w)})" for w in N.words(text)) + ")"
+_first = lambda low, table: "CASE " + " ".join(f"WHEN {_any(low, text)} THEN {_q(name)}" for name, text in table.items()) + " ELSE '' END"
+_count = lambda low, text: "(" + " + ".join(f"CAST(contains({low}, {_q(w)}) AS INTEGER)" for w in N.words(text)) + ")"
+_LOW = "(SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)"
+_WEIGHTS = ", ".join("(" + " + ".join(f"CASE WHEN contains(low, {_q(w)}) THEN {N.weight(w)} ELSE 0 END" for w in N.words(text)) + f") AS {name}" for name, text in N.CATEGORIES.items())
+_CATEGORY = "CASE WHEN m = 0 THEN 'General' " + " ".join(f"WHEN {name} = m THEN '{name}'" for name in N.CATEGORIES) + " END"
+_SCORED = f"(SELECT doc_id, low, {_CATEGORY} AS category FROM (SELECT *, greatest({', '.join(N.CATEGORIES)}) AS m FROM (SELECT doc_id, low, {_WEIGHTS} FROM {_LOW})))"
 
 
-@query(
-    _W + "SELECT id, CASE WHEN m = 0 THEN NULL " + " ".join(f"WHEN {k} = m THEN '{k}'" for k in _TOPICS) + " END AS category FROM (SELECT *, greatest(" + ", ".join(_TOPICS) + ") AS m FROM (SELECT id, "
-    + ", ".join("(" + " + ".join(f"coalesce(CAST(contains(title, '{w}') AS INTEGER), 0)" for w in v) + f") * {4 if len(v) == 1 else 1} AS {k}" for k, v in _TOPICS.items()) + " FROM books))"
-)
+@query(f"SELECT doc_id, category FROM {_SCORED}")
 def t13_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The category of the greatest keyword weight; the first of equal ones."""
-    weight = lambda v: sum((F.coalesce(F.col("title").contains(w), F.lit(False)).cast("int") for w in v), F.lit(0)) * (4 if len(v) == 1 else 1)
-    best = F.array_max(F.array(*[F.struct(weight(v).alias("w"), F.lit(-i).alias("o"), F.lit(k).alias("name")) for i, (k, v) in enumerate(_TOPICS.items())]))
-    return D.books(spark, sf_dir).select("id", F.when(best["w"] > 0, best["name"]).alias("category"))
+    """The category of each whole text by the words of nine categories: the greatest weight, the first of equal ones."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    return D.read(spark, sf_dir, "documents").select("doc_id", low.alias("low")).select("doc_id", N.category(F.col("low")).alias("category"))
 
 
-@query(_W + "SELECT id, array_to_string(list_sort(list_filter(['bolt', 'economy', 'gear', 'ring', 'small', 'widget'], lambda w: coalesce(contains(title, w), false))), ',') AS keywords FROM books")
+@query(
+    "SELECT doc_id, CASE category " + " ".join(f"WHEN '{name}' THEN {_first('low', table)}" for name, table in N.SUBCATEGORIES.items()) + " ELSE '' END AS subcategory, "
+    + "array_to_string(list_sort(list_filter([" + ", ".join(map(_q, N.TERMS)) + f"], lambda w: contains(low, w))), ',') AS keywords, CASE WHEN {_any('low', N.PORTUGUESE_SIGNS)} THEN 'Portuguese' ELSE 'English' END AS language FROM {_SCORED}"
+)
 def t14_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = F.array(*map(F.lit, ("widget", "small", "ring", "gear", "economy", "bolt")))
-    return D.books(spark, sf_dir).select("id", F.array_join(F.array_sort(F.filter(terms, lambda w: F.coalesce(F.col("title").contains(w), F.lit(False)))), ",").alias("keywords"))
+    """The subcategory, the sorted technical terms and the language of each whole text."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    rows = D.read(spark, sf_dir, "documents").select("doc_id", low.alias("low")).withColumn("main", N.category(F.col("low")))
+    return rows.select("doc_id", N.subcategory(F.col("low"), F.col("main")).alias("subcategory"), F.array_join(N.keywords(F.col("low")), ",").alias("keywords"), N.language(F.col("low")).alias("language"))
 
 
 @query(_W + "SELECT id, round(least(1.0, CASE WHEN title IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN len(authors) > 0 THEN 0.2 ELSE 0 END + CASE WHEN publisher <> 'Unknown' THEN 0.15 ELSE 0 END + 0.15 + least(0.01 * coalesce(len(string_split(title, ' ')), 0), 0.1)), 6)::DOUBLE AS confidence FROM books")
@@ -115,9 +126,11 @@ def t15_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).select("id", F.round(F.least(F.lit(1.0), score), 6).alias("confidence"))
 
 
-@query(_WF + "SELECT id, CASE WHEN id % 9 = 0 THEN regexp_replace(path, '[_-]+', ' ', 'g') ELSE regexp_replace(path, '[_-]+', ' ', 'g') END AS spaced FROM files")
+@query(_WF + r"""SELECT id, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(path, '\.[A-Za-z0-9]+$', ''), '[_-]+', ' ', 'g')), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title FROM files""")
 def t24_title_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.files(spark, sf_dir).select("id", F.regexp_replace("path", "[_-]+", " ").alias("spaced"))
+    """Underscores and hyphens are blanks; title case; no extension."""
+    stem = F.regexp_replace("path", r"\.[A-Za-z0-9]+$", "")
+    return D.files(spark, sf_dir).select("id", F.initcap(F.trim(F.regexp_replace(stem, "[_-]+", " "))).alias("title"))
 
 
 @query(_WF + "SELECT id, trim(regexp_replace(regexp_replace(lower(path), '(z-lib|libgen|www[.][a-z]+|[(][^)]*[)])', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS terms FROM files")
@@ -246,14 +259,37 @@ def q38_record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book", F.round(merged, 6).alias("confidence"), F.concat(F.get("a", F.lit(0))["source"], F.when(F.size("a") > 1, "+merged").otherwise("")).alias("source"))
 
 
-@query(_WF + "SELECT id, algorithm, confidence FROM (SELECT id, unnest(['basic', 'enhanced', 'smart']) AS algorithm, unnest([0.6, CASE WHEN strpos(path, ' - ') > 0 THEN 0.8 ELSE 0.5 END, CASE WHEN regexp_matches(path, '(19|20)[0-9]{2}') THEN 0.9 ELSE 0.7 END])::DOUBLE AS confidence FROM files)")
+_T = r"""truth AS (SELECT *, CASE WHEN length(t0) > 3 THEN t0 ELSE '' END AS t FROM (SELECT *, regexp_replace(regexp_replace(trim(CASE WHEN a <> '' THEN trim(clean[pos + 3:]) ELSE clean END), '^-\s*', ''), '\s+', ' ', 'g') AS t0 FROM (
+SELECT *, CASE WHEN pos > 0 AND length(who) > 2 AND NOT regexp_matches(who, '^[0-9]') AND NOT """ + _any("lower(who)", N.NO_AUTHOR) + r""" THEN who ELSE '' END AS a, """ + _first("lower(clean)", N.INTERNATIONAL | N.BRAZILIAN) + r""" AS p FROM (
+SELECT *, strpos(clean, ' - ') AS pos, trim(clean[1:greatest(strpos(clean, ' - ') - 1, 0)]) AS who FROM (
+SELECT *, CASE WHEN y <> '' THEN trim(regexp_replace(stem, '\([0-9]{4}\)', '', 'g')) ELSE stem END AS clean FROM (
+SELECT *, regexp_extract(stem, '\(([0-9]{4})\)', 1) AS y FROM (
+SELECT id, path, lower(path) AS low, regexp_replace(trim(regexp_replace(regexp_replace(strip_accents(path), '[^\p{L}\p{N}_\s\-().,]', ' ', 'g'), '\s+', ' ', 'g')), '\.[^.]*$', '') AS stem FROM files))))))),
+scored AS (SELECT *, least(1.0, 0.2 + tt * 0.3 + ta * 0.3 + tp * 0.15 + ty * 0.05) AS basic,
+least(1.0, 0.25 + tt * 0.25 + ta * 0.25 + tp * 0.15 + ty * 0.1 + least(0.02 * """ + _count("low", N.TECHNICAL) + r""", 0.1) + CASE WHEN contains(path, ' - ') AND ta * tt = 1 THEN 0.05 ELSE 0 END) AS enhanced,
+CASE WHEN tp = 1 THEN p ELSE """ + _first("low", N.INFERRED) + r""" END AS inferred, """ + _first("low", N.BRAZILIAN) + r""" AS national FROM (
+SELECT *, CAST(t <> '' AS INTEGER) AS tt, CAST(a <> '' AS INTEGER) AS ta, CAST(p <> '' AS INTEGER) AS tp, CAST(y <> '' AS INTEGER) AS ty FROM truth)),
+judged AS (SELECT *, least(1.0, enhanced + CASE WHEN inferred <> '' AND tp = 0 THEN 0.05 ELSE 0 END + CASE WHEN TRY_CAST(y AS INTEGER) BETWEEN 2000 AND 2025 THEN 0.02 ELSE 0 END) AS smart, CASE WHEN national <> '' THEN national ELSE p END AS house,
+CASE WHEN national <> '' THEN 2 ELSE 0 END + CASE WHEN ta = 1 AND """ + _any("lower(a)", N.NAMES) + r""" THEN 1 ELSE 0 END + """ + _count("low", N.PORTUGUESE) + r""" + CASE WHEN regexp_matches(low, '[0-9]+[aª]\s*edi[cç][aã]o') THEN 2 ELSE 0 END AS signs FROM scored)"""
+
+
+@query(
+    _WF + "," + _T + """ SELECT id, t AS title, a AS author, y AS year, unnest(['basic', 'enhanced', 'smart', 'hybrid', 'brazilian']) AS algorithm, unnest([p, p, inferred, inferred, house]) AS publisher,
+round(unnest([basic, enhanced, smart, least(1.0, 0.2 * basic + 0.3 * enhanced + 0.5 * smart + 0.05), least(1.0, (0.3 + tt * 0.25 + ta * 0.25 + CASE WHEN house <> '' THEN 0.15 ELSE 0 END + ty * 0.05 + least(0.05 * signs, 0.3)) * CASE WHEN signs = 0 THEN 0.7 ELSE 1 END)]), 6)::DOUBLE AS confidence FROM judged"""
+)
 def q42_filename_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three filename algorithms side by side: projections exploded from one scan, no union of scans."""
-    three = F.array(
-        F.struct(F.lit("basic").alias("algorithm"), F.lit(0.6).alias("confidence")), F.struct(F.lit("enhanced").alias("algorithm"), F.when(F.instr("path", " - ") > 0, 0.8).otherwise(0.5).alias("confidence")),
-        F.struct(F.lit("smart").alias("algorithm"), F.when(F.col("path").rlike("(19|20)[0-9]{2}"), 0.9).otherwise(0.7).alias("confidence")),
-    )
-    return D.files(spark, sf_dir).select("id", F.explode(three).alias("a")).select("id", "a.*")
+    """Five algorithms over each file name, side by side: projections exploded from one scan, no union of scans."""
+    rows = D.files(spark, sf_dir)
+    rows = rows.select("id", "path", *[c.alias(k) for k, c in N.ground_truth(F.col("path")).items()])
+    found = N.filename_algorithms(F.col("path"), {k: F.col(k) for k in ("title", "author", "publisher", "year")})
+    each = F.array(*[F.struct(F.lit(n).alias("algorithm"), p.alias("publisher"), F.round(c, 6).alias("confidence")) for n, (p, c) in found.items()])
+    return rows.select("id", "title", "author", "year", F.explode(each).alias("x")).select("id", "title", "author", "year", "x.*")
+
+
+@query(_WF + "," + _T + " SELECT id, t AS title, a AS author, p AS publisher, y AS year FROM truth")
+def t9_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, author, publisher and year by the rules that other readings are measured against."""
+    return D.files(spark, sf_dir).select("id", *[c.alias(k) for k, c in N.ground_truth(F.col("path")).items()])
 
 
 @query(_W + "SELECT id, confidence FROM books WHERE isbn_13 IN ('9780000000170', '9780000000033') OR isbn_10 = '0000000019'")

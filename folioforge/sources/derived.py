@@ -71,8 +71,8 @@ def api_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free-text queries: the first eight words of each benchmark item."""
-    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("q"))
+    """Free-text queries: the words of each benchmark item."""
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.split("text", r"\s+"), " ").alias("q"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ API_EVENTS = """
 api_events AS (SELECT event_id, event_type AS api, event_type <> 'error' AS success, value AS response_time, ts, user_id FROM events)"""
 
 SEARCH_QUERIES = r"""
-search_queries AS (SELECT item_id, array_to_string(regexp_split_to_array(text, '\s+')[1:8], ' ') AS q FROM benchmark)"""
+search_queries AS (SELECT item_id, array_to_string(regexp_split_to_array(text, '\s+'), ' ') AS q FROM benchmark)"""
 
 
 def over(*views: str) -> str:
