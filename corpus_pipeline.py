@@ -11,29 +11,42 @@ from folioforge.llm import decontaminate, line_dedup, minhash_forest, sentencepi
 from folioforge.llm.common import read, written
 
 
+#: Rows that go to a Python worker, or come back, at a time: a few MB of texts, held by the executor outside its heap and by the worker.
+BATCH = 1000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or above go."""
+    in_small_batches(spark)
     return toxicity.keep_civil(docs, read(spark, sf_dir, "labels"))
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line equals or nearly equals are cut out; documents of nothing else go."""
+    in_small_batches(spark)
     kept = line_dedup.keep_first_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the first document stays."""
+    in_small_batches(spark)
     return minhash_forest.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
+    in_small_batches(spark)
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, exact and ids of each document that is left."""
+    in_small_batches(spark)
     return sentencepiece_viterbi.encode(docs).select("doc_id", "n_tokens", "exact", "ids")
 
 
