@@ -82,12 +82,22 @@ def ttl(rows: DataFrame, stamp: str, as_of: int, days: int) -> DataFrame:
 
 
 def evict(entries: DataFrame, size: str, last_access: str, key: str, target: int) -> DataFrame:
-    """Which entries an LRU cache of `target` bytes keeps, most recent first: running sizes over ranges of access time.
-
-    The running sum is two-level (per day, then within the day), so no task holds the whole table."""
-    day = F.floor(F.col(last_access) / 86400)
-    per_day = entries.groupBy(day.alias("__day")).agg(F.sum(size).alias("__sum"))
-    later = per_day.withColumn("__later", F.coalesce(F.sum("__sum").over(Window.orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    within = Window.partitionBy("__day").orderBy(F.desc(last_access), key)
-    out = entries.withColumn("__day", day).join(later, "__day").withColumn("running", F.col("__later") + F.sum(size).over(within))
-    return out.withColumn("kept", F.col("running") <= target).drop("__day", "__later")
+    """Which entries an LRU cache of `target` bytes keeps, most recent first; entries of one second in the order of a hash of their key.
+
+    The running size is put together from what came later: days, hours of the day, seconds of the hour, 1,024 ranges of the hash within the
+    second, and the entries of a range. Each level is a sum of the one below, so however many entries a day or a second has, no task orders them all."""
+    spread = F.xxhash64(key)
+    at = F.col(last_access)
+    rows = entries.withColumns({"__h": spread, "__part": F.shiftright(spread, 54).cast("int"), "__second": at, "__hour": F.floor(at / 3600), "__day": F.floor(at / 86400)})
+    names = ["__day", "__hour", "__second", "__part"]
+    out, sums = rows, rows.groupBy(*names).agg(F.sum(size).alias("__sum"))
+    for n in range(len(names), 0, -1):
+        # what comes later within the same group of the level above
+        w = Window.partitionBy(*names[: n - 1]).orderBy(F.col(names[n - 1]).asc() if names[n - 1] == "__part" else F.desc(names[n - 1]))
+        later = sums.select(*names[:n], F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__later{n}"))
+        out = out.join(later, names[:n])
+        sums = sums.groupBy(*names[: n - 1]).agg(F.sum("__sum").alias("__sum"))
+    within = Window.partitionBy(*names).orderBy("__h", key)
+    running = F.sum(size).over(within) + sum((F.col(f"__later{n}") for n in range(1, len(names) + 1)), F.lit(0))
+    out = out.withColumn("running", running).withColumn("kept", F.col("running") <= target)
+    return out.select(*entries.columns, "running", "kept")

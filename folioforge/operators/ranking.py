@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,6 +89,23 @@ def tfidf_search(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_
     return nearest(written(asked), rows, least, k)
 
 
+def weighted_search(queries: DataFrame, docs: DataFrame, parts: dict[str, tuple[Column, float]], query_id: str, doc_id: str, least: float = 0.1) -> DataFrame:
+    """query, id, score: the weighted mean of the cosines of several parts (name: tokens, weight), where it is `least` or more.
+
+    The parts' vectors, scaled by the roots of their weights, are one vector whose products are the weighted cosines; so the search by
+    bounds, nearest(), holds for all parts together."""
+    asked = rows = None
+    for name, (tokens, weight) in parts.items():
+        own, idf = vectors(docs, doc_id, tokens)
+        idf = written(idf)
+        theirs, _ = vectors(queries, query_id, tokens, idf)
+        scaled = lambda df, name=name, weight=weight: df.select("id", F.inline("entries")).select("id", F.concat(F.lit(name + ":"), "term").alias("term"), (F.col("w") * math.sqrt(weight)).alias("w"))
+        rows = scaled(own) if rows is None else rows.unionByName(scaled(own))
+        asked = scaled(theirs) if asked is None else asked.unionByName(scaled(theirs))
+    whole = lambda df: written(df.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("entries")))
+    return nearest(whole(asked), whole(rows), least)
+
+
 def most_shared(queries: DataFrame, docs: DataFrame, k: int, share: bool = False) -> DataFrame:
     """query, id, score, rank: the k rows (id, words) that share most words with each query (id, words); with `share`, most of all words of both. Ties by id.
 

@@ -16,6 +16,7 @@ from folioforge.sources import derived as D
 
 from .registry import query
 from .search_queries import _WR, _ranked
+from .source_queries import TRUTH
 
 _W = D.over(D.BOOKS)
 _WF = D.over(D.FILES)
@@ -203,19 +204,56 @@ def q7_isbn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TITLES = "list_distinct(string_split(lower(coalesce(title, '')), ' '))"
 
 
-@query(_W + f"SELECT id, round(0.6 * len(list_intersect({_TITLES}, ['red', 'ring'])) / 2 + 0.3 * CAST(list_contains(authors, 'Supplier#000000001') AS INTEGER) + 0.1 * CAST(coalesce(contains(title, 'volume 1'), false) AS INTEGER), 6)::DOUBLE AS score FROM books")
-def q11_semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0.6 title, 0.3 author, 0.1 content."""
-    w = F.array_distinct(F.split(F.lower(F.coalesce("title", F.lit(""))), " "))
-    score = 0.6 * F.size(F.array_intersect(w, F.array(F.lit("red"), F.lit("ring")))) / 2 + _on(F.array_contains("authors", "Supplier#000000001"), 0.3) + _on(F.col("title").contains("volume 1"), 0.1)
-    return D.books(spark, sf_dir).select("id", F.round(score, 6).alias("score"))
+_PARTS = """tt AS (SELECT id, 't' AS kind, unnest(string_split(lower(title), ' ')) AS term FROM books WHERE title IS NOT NULL UNION ALL SELECT id, 'a', unnest(list_transform(authors, lambda x: lower(x))) FROM books
+ UNION ALL SELECT id, 'c', unnest(string_split(lower(publisher || ' ' || year || ' ' || ext), ' ')) FROM books),
+tc AS (SELECT id, kind, term, count(*) AS n FROM tt GROUP BY ALL), ttf AS (SELECT id, kind, term, n / sum(n) OVER (PARTITION BY id, kind) AS tf FROM tc), total AS (SELECT count(*) AS n FROM books),
+tidf AS (SELECT kind, term, CASE WHEN ln((SELECT n FROM total) / count(*)) > 0 THEN ln((SELECT n FROM total) / count(*)) ELSE 0.1 END AS idf FROM tc GROUP BY kind, term),
+tw AS (SELECT id, kind, term, tf * idf AS w FROM ttf JOIN tidf USING (kind, term)), tn AS (SELECT id, kind, sqrt(sum(w * w)) AS norm FROM tw GROUP BY id, kind),
+tu AS (SELECT id, kind, term, w / norm AS u FROM tw JOIN tn USING (id, kind))"""
 
 
-@query(_W + "SELECT id, CASE WHEN publisher = 'MANNING' THEN 1.0 WHEN publisher ILIKE '%reilly%' THEN 0.9 WHEN contains('manning brand#1', lower(publisher)) THEN 0.6 ELSE 0.0 END::DOUBLE AS score FROM books")
+@query(
+    _W + "," + _PARTS + """ SELECT query, id, round(score, 6)::DOUBLE AS score FROM (SELECT a.id AS query, b.id, sum(a.u * b.u * CASE kind WHEN 't' THEN 0.6 WHEN 'a' THEN 0.3 ELSE 0.1 END) AS score
+FROM tu a JOIN tu b USING (kind, term) WHERE a.id % 50 = 0 GROUP BY a.id, b.id) WHERE score >= 0.1"""
+)
+def q11_semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each query, a book whose id is divisible by 50, the books that score 0.1 or more: 0.6 title, 0.3 authors, 0.1 other content, each by the cosine of TF-IDF vectors."""
+    b = D.books(spark, sf_dir)
+    parts = {
+        "title": (F.when(F.col("title").isNotNull(), F.split(F.lower("title"), " ")).otherwise(F.array().cast("array<string>")), 0.6),
+        "author": (F.transform("authors", F.lower), 0.3),
+        "content": (F.split(F.lower(F.concat_ws(" ", "publisher", "year", "ext")), " "), 0.1),
+    }
+    found = R.weighted_search(b.filter("id % 50 = 0"), b, parts, "id", "id")
+    return found.select("query", "id", F.round("score", 6).alias("score"))
+
+
+_STRICT = "SELECT id, t, a, p, y, lower(coalesce(title, '')) AS et, lower(coalesce(authors[1], '')) AS ea, lower(publisher) AS ep, lower(t) AS xt, lower(a) AS xa, lower(p) AS xp, year FROM truth JOIN (SELECT id, title, authors, publisher, year FROM books) USING (id)"
+_CLEAN = "trim(regexp_replace(regexp_replace({}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_OVER = "len(list_intersect(list_distinct(string_split({0}, ' ')), list_distinct(string_split({1}, ' ')))) / len(list_distinct(list_concat(string_split({0}, ' '), string_split({1}, ' '))))"
+
+
+@query(
+    D.over(D.FILES) + "," + TRUTH + f""", strict AS (SELECT id, y, year, {_CLEAN.format('et')} AS et, {_CLEAN.format('ea')} AS ea, {_CLEAN.format('ep')} AS ep, {_CLEAN.format('xt')} AS xt, {_CLEAN.format('xa')} AS xa, {_CLEAN.format('xp')} AS xp FROM ({_STRICT}))
+SELECT id, round(CASE WHEN xt = '' OR et = '' THEN 0 WHEN xt = et THEN 1 WHEN contains(xt, et) OR contains(et, xt) THEN 0.8 ELSE {_OVER.format('xt', 'et')} END, 6)::DOUBLE AS title,
+round(CASE WHEN xa = '' OR ea = '' THEN 0 WHEN xa = ea THEN 1 WHEN string_split(xa, ' ')[-1] = string_split(ea, ' ')[-1] THEN 0.7 ELSE {_OVER.format('xa', 'ea')} END, 6)::DOUBLE AS author,
+CASE WHEN xp = '' OR ep = '' THEN 0 WHEN xp = ep THEN 1 WHEN contains(xp, 'oreilly') AND contains(ep, 'oreilly') THEN 0.9 WHEN contains(xp, ep) OR contains(ep, xp) THEN 0.6 ELSE 0 END::DOUBLE AS publisher FROM strict"""
+)
 def q15_strict_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1 if equal, 0.9 for an alias, 0.6 if one contains the other."""
-    p = F.col("publisher")
-    return D.books(spark, sf_dir).select("id", F.when(p == "MANNING", 1.0).when(p.ilike("%reilly%"), 0.9).when(F.contains(F.lit("manning brand#1"), F.lower(p)), 0.6).otherwise(0.0).alias("score"))
+    """What each file name tells against its record: titles 1 if equal, 0.8 if one holds the other, else shared words; authors 1, 0.7 for one surname; publishers 1, 0.9 for an alias, 0.6 if one holds the other."""
+    f = D.files(spark, sf_dir)
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    said = N.ground_truth(F.col("path"))
+    rows = f.select("id", *[clean(said[k]).alias(f"x{k}") for k in ("title", "author", "publisher")], clean(F.col("title")).alias("title"), clean(F.get("authors", F.lit(0))).alias("author"), clean(F.col("publisher")).alias("publisher"))
+    words, holds = (lambda c: F.split(c, " ")), (lambda x, y: F.contains(x, y) | F.contains(y, x))
+    part = lambda k, *rules: F.when((F.col(f"x{k}") == "") | (F.col(k) == ""), 0.0).when(F.col(f"x{k}") == F.col(k), 1.0)
+    t, a, p = (((F.col(f"x{k}"), F.col(k))) for k in ("title", "author", "publisher"))
+    alias = F.contains(p[0], F.lit("oreilly")) & F.contains(p[1], F.lit("oreilly"))
+    return rows.select(
+        "id", F.round(part("title").when(holds(*t), 0.8).otherwise(S.jaccard(words(t[0]), words(t[1]))), 6).alias("title"),
+        F.round(part("author").when(F.element_at(words(a[0]), -1) == F.element_at(words(a[1]), -1), 0.7).otherwise(S.jaccard(words(a[0]), words(a[1]))), 6).alias("author"),
+        part("publisher").when(alias, 0.9).when(holds(*p), 0.6).otherwise(0.0).alias("publisher"),
+    )
 
 
 @query()

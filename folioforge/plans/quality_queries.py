@@ -99,10 +99,17 @@ def f17_manual_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.files(spark, sf_dir).select("id", Q.is_manual(t, F.col("path")).alias("manual"))
 
 
-@query(_W + "SELECT id, id % 4 = 0 AS singles, id % 4 = 1 AS repeated FROM books")
+@query(
+    r"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+parts AS (SELECT doc_id, regexp_split_to_array(trim(line, ' '), '[ \t\x0B\f\r]+') AS w, list_filter(string_split(lower(line), ''), lambda c: regexp_full_match(c, '[a-z]')) AS l FROM lines)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (len(w) >= 4 AND len(list_filter(w, lambda x: length(x) = 1)) >= 0.6 * len(w)) AS singles,
+count(*) FILTER (len(l) >= 6 AND len(list_filter(range(1, len(l)), lambda i: l[i] = l[i + 1])) >= 0.45 * (len(l) - 1)) AS repeated FROM parts GROUP BY doc_id"""
+)
 def f18_broken_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.when(F.col("id") % 4 == 0, "a b c d word").when(F.col("id") % 4 == 1, "PPyytthhoonn").otherwise("plain title of words")
-    return D.books(spark, sf_dir).select("id", Q.many_singles(t).alias("singles"), Q.repeated_letters(t).alias("repeated"))
+    """How many lines of each whole text fall apart into single characters, or repeat their letters."""
+    lines = D.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    flags = lines.select("doc_id", Q.many_singles(F.col("line")).alias("s"), Q.repeated_letters(F.col("line")).alias("r"))
+    return flags.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("s").alias("singles"), F.count_if("r").alias("repeated"))
 
 
 @query(_W + "SELECT id, isbn_13 LIKE '97800000%' AND publisher ILIKE '%reilly%' AND title IS NOT NULL AS house_ok FROM books")

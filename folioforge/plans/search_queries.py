@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import filenames as N
 from folioforge.functions import isbn
 from folioforge.functions import similarity as S
 from folioforge.functions import text as T
@@ -17,7 +18,7 @@ from folioforge.operators.tables import written
 from folioforge.sources import derived as D
 
 from .registry import query
-from .source_queries import CLASSES
+from .source_queries import CLASSES, TRUTH
 from .text_queries import _TOK
 
 #: Titles that a block of the fuzzy search holds on average.
@@ -305,13 +306,21 @@ def q39_source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("source", F.round(F.col("h") * F.when(F.col("source") == "mercado_editorial", 2).otherwise(1), 6).alias("health"))
 
 
-@query(_W + "SELECT id, round((CASE WHEN title IS NOT NULL THEN 0.4 * CAST(id % 2 = 0 AS INTEGER) ELSE 0 END + CASE WHEN len(authors) > 0 THEN 0.3 * CAST(id % 3 = 0 AS INTEGER) ELSE 0 END + 0.2 * CAST(id % 5 = 0 AS INTEGER) + 0.1) / (CASE WHEN title IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN len(authors) > 0 THEN 0.3 ELSE 0 END + 0.3), 6)::DOUBLE AS accuracy FROM books")
+_SIM = "CASE WHEN lower(trim({0})) = lower(trim({1})) THEN 1.0 WHEN contains(lower(trim({0})), lower(trim({1}))) OR contains(lower(trim({1})), lower(trim({0}))) THEN 0.8 ELSE len(list_intersect(list_distinct(string_split(lower(trim({0})), ' ')), list_distinct(string_split(lower(trim({1})), ' ')))) / len(list_distinct(list_concat(string_split(lower(trim({0})), ' '), string_split(lower(trim({1})), ' ')))) END"
+_EXPECTED = (("t", "et", 0.4), ("a", "ea", 0.3), ("p", "ep", 0.2), ("y", "ey", 0.1))
+
+
+@query(
+    D.over(D.FILES) + "," + TRUTH + ", met AS (SELECT id, t, a, p, y, coalesce(title, '') AS et, coalesce(authors[1], '') AS ea, publisher AS ep, year AS ey FROM truth JOIN (SELECT id, title, authors, publisher, year FROM books) USING (id)) SELECT id, round(("
+    + " + ".join(f"CASE WHEN {e} <> '' THEN {w} * CASE WHEN {x} = '' THEN 0.8 ELSE {_SIM.format(x, e)} END ELSE 0 END" for x, e, w in _EXPECTED) + ") / (" + " + ".join(f"CASE WHEN {e} <> '' THEN {w} ELSE 0 END" for _, e, w in _EXPECTED) + "), 6)::DOUBLE AS accuracy FROM met"
+)
 def q40_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted share of expected fields that are right; expected fields only count."""
-    k = F.col("id")
-    fields = ((0.4, F.col("title").isNotNull(), k % 2 == 0), (0.3, F.size("authors") > 0, k % 3 == 0), (0.2, F.lit(True), k % 5 == 0), (0.1, F.lit(True), F.lit(True)))
-    got = sum((F.when(there & right, w).otherwise(0.0) for w, there, right in fields), F.lit(0.0))
-    return D.books(spark, sf_dir).select("id", F.round(got / sum((F.when(there, w).otherwise(0.0) for w, there, _ in fields), F.lit(0.0)), 6).alias("accuracy"))
+    """How near what each file name tells comes to its record: the weighted mean of the similarities of the fields that the record has. As any text holds an empty one, a field that the name does not tell scores 0.8."""
+    said = N.ground_truth(F.col("path"))
+    rows = D.files(spark, sf_dir).select("id", *[said[k].alias(f"x{k}") for k in said], F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("author"), "publisher", "year")
+    weights = {"title": 0.4, "author": 0.3, "publisher": 0.2, "year": 0.1}
+    got = sum((F.when(F.col(k) != "", w * S.text_similarity(F.col(f"x{k}"), F.col(k))).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
+    return rows.select("id", F.round(got / sum((F.when(F.col(k) != "", w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0)), 6).alias("accuracy"))
 
 
 @query(_W + "SELECT id, arg_max(v, length(v) * 10 - o) AS chosen FROM (SELECT id, unnest([coalesce(title, ''), publisher, source]) AS v, unnest([0, 1, 2]) AS o FROM books) WHERE v <> '' GROUP BY id")

@@ -139,10 +139,17 @@ def t50_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.files(spark, sf_dir).select("id", F.trim(F.regexp_replace(bad, "[^a-z0-9]+", " ")).alias("terms"))
 
 
-@query(_W + "SELECT id, 'Copyright 2001 ' || publisher AS section FROM books")
+@query(_W + "SELECT id, 'Copyright © ' || year || ' ' || publisher || chr(10) || 'ISBN ' || isbn_13 AS section, contains(lower(publisher), 'reilly') AS oreilly FROM books JOIN documents ON doc_id = id")
 def t52_copyright_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("Intro\n\nCopyright 2001 "), "publisher", F.lit("\n\nChapter"))
-    return D.books(spark, sf_dir).select("id", F.regexp_extract(text, r"(?is)(copyright.*?)(?:\n\n|$)", 1).alias("section"))
+    """The copyright section within the whole text of each book, a document with the book's own section amid its lines; and whether the house's name stands within 100 characters of the ISBN."""
+    b, d = D.books(spark, sf_dir), D.read(spark, sf_dir, "documents")
+    section = F.concat(F.lit("Copyright © "), "year", F.lit(" "), "publisher", F.lit("\nISBN "), "isbn_13")
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.concat(F.substring("text", F.lit(1), half), F.lit("\n\n"), section, F.lit("\n\n"), F.substring("text", half + 1, F.length("text")))
+    rows = b.join(d, F.col("id") == F.col("doc_id")).select("id", "isbn_13", text.alias("text"))
+    at = F.instr("text", F.col("isbn_13"))
+    near = F.substring("text", F.greatest(at - 100, F.lit(1)), F.lit(200))
+    return rows.select("id", F.regexp_extract("text", r"(?is)((?:copyright|©).*?)(?:\n\n|$)", 1).alias("section"), F.contains(F.lower(near), F.lit("reilly")).alias("oreilly"))
 
 
 @query(_W + "SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(title, '') ELSE 'from text' END AS title, round(CASE WHEN id % 3 = 0 THEN 0.35 ELSE 0.55 END, 2)::DOUBLE AS confidence FROM books")
@@ -259,12 +266,13 @@ def q38_record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book", F.round(merged, 6).alias("confidence"), F.concat(F.get("a", F.lit(0))["source"], F.when(F.size("a") > 1, "+merged").otherwise("")).alias("source"))
 
 
-_T = r"""truth AS (SELECT *, CASE WHEN length(t0) > 3 THEN t0 ELSE '' END AS t FROM (SELECT *, regexp_replace(regexp_replace(trim(CASE WHEN a <> '' THEN trim(clean[pos + 3:]) ELSE clean END), '^-\s*', ''), '\s+', ' ', 'g') AS t0 FROM (
+TRUTH = r"""truth AS (SELECT *, CASE WHEN length(t0) > 3 THEN t0 ELSE '' END AS t FROM (SELECT *, regexp_replace(regexp_replace(trim(CASE WHEN a <> '' THEN trim(clean[pos + 3:]) ELSE clean END), '^-\s*', ''), '\s+', ' ', 'g') AS t0 FROM (
 SELECT *, CASE WHEN pos > 0 AND length(who) > 2 AND NOT regexp_matches(who, '^[0-9]') AND NOT """ + _any("lower(who)", N.NO_AUTHOR) + r""" THEN who ELSE '' END AS a, """ + _first("lower(clean)", N.INTERNATIONAL | N.BRAZILIAN) + r""" AS p FROM (
 SELECT *, strpos(clean, ' - ') AS pos, trim(clean[1:greatest(strpos(clean, ' - ') - 1, 0)]) AS who FROM (
 SELECT *, CASE WHEN y <> '' THEN trim(regexp_replace(stem, '\([0-9]{4}\)', '', 'g')) ELSE stem END AS clean FROM (
 SELECT *, regexp_extract(stem, '\(([0-9]{4})\)', 1) AS y FROM (
-SELECT id, path, lower(path) AS low, regexp_replace(trim(regexp_replace(regexp_replace(strip_accents(path), '[^\p{L}\p{N}_\s\-().,]', ' ', 'g'), '\s+', ' ', 'g')), '\.[^.]*$', '') AS stem FROM files))))))),
+SELECT id, path, lower(path) AS low, regexp_replace(trim(regexp_replace(regexp_replace(strip_accents(path), '[^\p{L}\p{N}_\s\-().,]', ' ', 'g'), '\s+', ' ', 'g')), '\.[^.]*$', '') AS stem FROM files)))))))"""
+_T = TRUTH + r""",
 scored AS (SELECT *, least(1.0, 0.2 + tt * 0.3 + ta * 0.3 + tp * 0.15 + ty * 0.05) AS basic,
 least(1.0, 0.25 + tt * 0.25 + ta * 0.25 + tp * 0.15 + ty * 0.1 + least(0.02 * """ + _count("low", N.TECHNICAL) + r""", 0.1) + CASE WHEN contains(path, ' - ') AND ta * tt = 1 THEN 0.05 ELSE 0 END) AS enhanced,
 CASE WHEN tp = 1 THEN p ELSE """ + _first("low", N.INFERRED) + r""" END AS inferred, """ + _first("low", N.BRAZILIAN) + r""" AS national FROM (
@@ -286,7 +294,7 @@ def q42_filename_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "title", "author", "year", F.explode(each).alias("x")).select("id", "title", "author", "year", "x.*")
 
 
-@query(_WF + "," + _T + " SELECT id, t AS title, a AS author, p AS publisher, y AS year FROM truth")
+@query(_WF + "," + TRUTH + " SELECT id, t AS title, a AS author, p AS publisher, y AS year FROM truth")
 def t9_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, author, publisher and year by the rules that other readings are measured against."""
     return D.files(spark, sf_dir).select("id", *[c.alias(k) for k, c in N.ground_truth(F.col("path")).items()])
