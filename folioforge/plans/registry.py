@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The modules whose import registers queries.
-MODULES = ("refine_queries", "isbn_queries", "catalog_queries", "quality_queries", "text_queries", "search_queries", "source_queries", "extract_queries", "metric_queries", "stream_queries", "file_queries")
+MODULES = ("refine_queries", "isbn_queries", "catalog_queries", "quality_queries", "text_queries", "search_queries", "source_queries", "extract_queries", "metric_queries", "stream_queries", "file_queries", "relational_queries")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

@@ -312,14 +312,14 @@ _EXPECTED = (("t", "et", 0.4), ("a", "ea", 0.3), ("p", "ep", 0.2), ("y", "ey", 0
 
 @query(
     D.over(D.FILES) + "," + TRUTH + ", met AS (SELECT id, t, a, p, y, coalesce(title, '') AS et, coalesce(authors[1], '') AS ea, publisher AS ep, year AS ey FROM truth JOIN (SELECT id, title, authors, publisher, year FROM books) USING (id)) SELECT id, round(("
-    + " + ".join(f"CASE WHEN {e} <> '' THEN {w} * CASE WHEN {x} = '' THEN 0.8 ELSE {_SIM.format(x, e)} END ELSE 0 END" for x, e, w in _EXPECTED) + ") / (" + " + ".join(f"CASE WHEN {e} <> '' THEN {w} ELSE 0 END" for _, e, w in _EXPECTED) + "), 6)::DOUBLE AS accuracy FROM met"
+    + " + ".join(f"CASE WHEN {e} <> '' THEN {w} * CASE WHEN {x} = '' THEN 0 ELSE {_SIM.format(x, e)} END ELSE 0 END" for x, e, w in _EXPECTED) + ") / (" + " + ".join(f"CASE WHEN {e} <> '' THEN {w} ELSE 0 END" for _, e, w in _EXPECTED) + "), 6)::DOUBLE AS accuracy FROM met"
 )
 def q40_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How near what each file name tells comes to its record: the weighted mean of the similarities of the fields that the record has. As any text holds an empty one, a field that the name does not tell scores 0.8."""
+    """How near what each file name tells comes to its record: the weighted mean of the similarities of the fields that the record has."""
     said = N.ground_truth(F.col("path"))
     rows = D.files(spark, sf_dir).select("id", *[said[k].alias(f"x{k}") for k in said], F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("author"), "publisher", "year")
     weights = {"title": 0.4, "author": 0.3, "publisher": 0.2, "year": 0.1}
-    got = sum((F.when(F.col(k) != "", w * S.text_similarity(F.col(f"x{k}"), F.col(k))).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
+    got = sum((F.when(F.col(k) != "", w * S.text_similarity(F.nullif(f"x{k}", F.lit("")), F.col(k))).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
     return rows.select("id", F.round(got / sum((F.when(F.col(k) != "", w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0)), 6).alias("accuracy"))
 
 
