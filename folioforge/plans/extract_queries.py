@@ -326,12 +326,17 @@ def z2_store_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.read(spark, sf_dir, "pages").select("page_id", *fields, F.lit(0.85).alias("confidence"))
 
 
-@query(_W + "SELECT id, CASE WHEN id % 2 = 0 THEN 'Casa do Codigo' ELSE publisher END AS publisher, CASE WHEN id % 2 = 0 THEN 0.95 ELSE confidence END::DOUBLE AS confidence FROM books")
+@query(
+    D.over(D.FILES) + """SELECT id, CASE WHEN contains(w, 'hands-on') OR contains(w, 'packt') THEN 'Packt Publishing' WHEN isbn_13 LIKE '97865%' THEN 'Casa do Código' WHEN isbn_13 LIKE '97885%' AND contains(w, 'novatec') THEN 'Novatec Editora'
+WHEN isbn_13 LIKE '97885%' AND contains(w, 'alta books') THEN 'Alta Books' ELSE publisher END AS publisher, CASE WHEN contains(w, 'hands-on') OR contains(w, 'packt') OR isbn_13 LIKE '97865%' OR (isbn_13 LIKE '97885%' AND (contains(w, 'novatec') OR contains(w, 'alta books'))) THEN 0.95 ELSE confidence END::DOUBLE AS confidence
+FROM (SELECT *, lower(publisher || '/' || path) AS w FROM files)"""
+)
 def z11_publisher_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A house's ISBN prefix sets publisher and confidence."""
-    code = F.concat(F.when(F.col("id") % 2 == 0, "97865").otherwise("97800"), F.substring("isbn_13", 6, 8))
-    house = isbn.prefix_publisher(code)
-    return D.books(spark, sf_dir).select("id", F.coalesce(house, "publisher").alias("publisher"), F.when(house.isNotNull(), 0.95).otherwise(F.col("confidence")).alias("confidence"))
+    """Folder and file name, or an ISBN's prefix, set publisher and confidence; each file lies in its publisher's folder."""
+    f = D.files(spark, sf_dir).withColumn("where", F.lower(F.concat_ws("/", "publisher", "path")))
+    has, prefix = (lambda w: F.contains(F.col("where"), F.lit(w))), (lambda p: F.col("isbn_13").startswith(p))
+    house = F.when(has("hands-on") | has("packt"), "Packt Publishing").when(prefix("97865"), "Casa do Código").when(prefix("97885") & has("novatec"), "Novatec Editora").when(prefix("97885") & has("alta books"), "Alta Books")
+    return f.select("id", F.coalesce(house, "publisher").alias("publisher"), F.when(house.isNotNull(), 0.95).otherwise(F.col("confidence")).alias("confidence"))
 
 
 @query(_W + "SELECT id, id AS total, coalesce(title, 'none') AS name FROM books")

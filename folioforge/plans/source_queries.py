@@ -22,6 +22,17 @@ _WF = D.over(D.FILES)
 _WS = D.over(D.SOURCE_RECORDS)
 
 
+_q = lambda w: "'" + w.replace("'", "''") + "'"
+_any = lambda low, text: "(" + " OR ".join(f"contains({low}, {_q(w)})" for w in N.words(text)) + ")"
+_first = lambda low, table: "CASE " + " ".join(f"WHEN {_any(low, text)} THEN {_q(name)}" for name, text in table.items()) + " ELSE '' END"
+_count = lambda low, text: "(" + " + ".join(f"CAST(contains({low}, {_q(w)}) AS INTEGER)" for w in N.words(text)) + ")"
+TRUTH = r"""truth AS (SELECT *, CASE WHEN length(t0) > 3 THEN t0 ELSE '' END AS t FROM (SELECT *, regexp_replace(regexp_replace(trim(CASE WHEN a <> '' THEN trim(clean[pos + 3:]) ELSE clean END), '^-\s*', ''), '\s+', ' ', 'g') AS t0 FROM (
+SELECT *, CASE WHEN pos > 0 AND length(who) > 2 AND NOT regexp_matches(who, '^[0-9]') AND NOT """ + _any("lower(who)", N.NO_AUTHOR) + r""" THEN who ELSE '' END AS a, """ + _first("lower(clean)", N.INTERNATIONAL | N.BRAZILIAN) + r""" AS p FROM (
+SELECT *, strpos(clean, ' - ') AS pos, trim(clean[1:greatest(strpos(clean, ' - ') - 1, 0)]) AS who FROM (
+SELECT *, CASE WHEN y <> '' THEN trim(regexp_replace(stem, '\([0-9]{4}\)', '', 'g')) ELSE stem END AS clean FROM (
+SELECT *, regexp_extract(stem, '\(([0-9]{4})\)', 1) AS y FROM (
+SELECT id, path, lower(path) AS low, regexp_replace(trim(regexp_replace(regexp_replace(strip_accents(path), '[^\p{L}\p{N}_\s\-().,]', ' ', 'g'), '\s+', ' ', 'g')), '\.[^.]*$', '') AS stem FROM files)))))))"""
+
 @query(_WF + "SELECT id, path AS name FROM files WHERE id % 10 <> 0")
 def s11_ls_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names from the lines of a listing; totals give none."""
@@ -89,10 +100,6 @@ def t22_publisher_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.books(spark, sf_dir).select("id", found.alias("publisher"))
 
 
-_q = lambda w: "'" + w.replace("'", "''") + "'"
-_any = lambda low, text: "(" + " OR ".join(f"contains({low}, {_q(w)})" for w in N.words(text)) + ")"
-_first = lambda low, table: "CASE " + " ".join(f"WHEN {_any(low, text)} THEN {_q(name)}" for name, text in table.items()) + " ELSE '' END"
-_count = lambda low, text: "(" + " + ".join(f"CAST(contains({low}, {_q(w)}) AS INTEGER)" for w in N.words(text)) + ")"
 _LOW = "(SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)"
 _WEIGHTS = ", ".join("(" + " + ".join(f"CASE WHEN contains(low, {_q(w)}) THEN {N.weight(w)} ELSE 0 END" for w in N.words(text)) + f") AS {name}" for name, text in N.CATEGORIES.items())
 _CATEGORY = "CASE WHEN m = 0 THEN 'General' " + " ".join(f"WHEN {name} = m THEN '{name}'" for name in N.CATEGORIES) + " END"
@@ -152,11 +159,24 @@ def t52_copyright_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.regexp_extract("text", r"(?is)((?:copyright|©).*?)(?:\n\n|$)", 1).alias("section"), F.contains(F.lower(near), F.lit("reilly")).alias("oreilly"))
 
 
-@query(_W + "SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(title, '') ELSE 'from text' END AS title, round(CASE WHEN id % 3 = 0 THEN 0.35 ELSE 0.55 END, 2)::DOUBLE AS confidence FROM books")
+@query(
+    _WF + "," + TRUTH + """, seen AS (SELECT id, CASE WHEN ext IN ('pdf', 'epub') THEN (text[1:3000] || chr(10) || 'ISBN ' || isbn_raw || chr(10) || text[3001:])[1:6000] END AS s FROM books LEFT JOIN documents ON doc_id = id),
+told AS (SELECT id, nullif(regexp_extract(s, '\\nISBN ([0-9]{13})\\n', 1), '') AS i, nullif(trim(regexp_extract(s, '^([^\\n]{6,120})(?:\\n|$)', 1)), '') AS st, nullif(regexp_extract(s, '((?:19|20)[0-9]{2})', 1), '') AS sy, nullif("""
+    + _first("lower(coalesce(s, ''))", N.INTERNATIONAL | N.BRAZILIAN) + """, '') AS sp FROM seen)
+SELECT id, coalesce(st, t) AS title, coalesce(sp, p) AS publisher, coalesce(sy, y) AS year, i AS isbn, CASE WHEN i IS NOT NULL THEN 0.55 WHEN st IS NOT NULL THEN 0.45 ELSE 0.35 END::DOUBLE AS confidence FROM truth JOIN told USING (id)"""
+)
 def z8_fast_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the text says overrides what the file name says, field by field."""
-    from_text = F.when(F.col("id") % 3 != 0, "from text")
-    return D.books(spark, sf_dir).select("id", F.coalesce(from_text, "title", F.lit("")).alias("title"), F.when(from_text.isNotNull(), 0.55).otherwise(0.35).alias("confidence"))
+    """What the beginning of each readable file's text says (6,000 characters are the feature), a document with the book's ISBN amid its
+    lines, overrides what the file name says, field by field."""
+    f, d = D.files(spark, sf_dir), D.read(spark, sf_dir, "documents").select("doc_id", "text")
+    whole = F.concat(F.substring("text", 1, 3000), F.lit("\nISBN "), "isbn_raw", F.lit("\n"), F.substring("text", F.lit(3001), F.length("text")))
+    said = N.ground_truth(F.col("path"))
+    rows = f.join(d, F.col("id") == F.col("doc_id"), "left").select("id", *[said[k].alias(f"x_{k}") for k in ("title", "publisher", "year")], F.when(F.col("ext").isin("pdf", "epub"), F.substring(whole, 1, 6000)).alias("s"))
+    found = lambda rx: F.nullif(F.trim(F.regexp_extract("s", rx, 1)), F.lit(""))
+    told = {"title": found(r"^([^\n]{6,120})(?:\n|$)"), "publisher": F.nullif(N.first_of(F.lower(F.coalesce("s", F.lit(""))), N.INTERNATIONAL | N.BRAZILIAN), F.lit("")), "year": found("((?:19|20)[0-9]{2})")}
+    isbn_of = found(r"\nISBN ([0-9]{13})\n")
+    confidence = F.when(isbn_of.isNotNull(), 0.55).when(told["title"].isNotNull(), 0.45).otherwise(0.35)
+    return rows.select("id", *[F.coalesce(told[k], F.col(f"x_{k}")).alias(k) for k in told], isbn_of.alias("isbn"), confidence.alias("confidence"))
 
 
 @query(_W + "SELECT id, round(least(0.75, 0.45 + CASE WHEN len(authors) > 0 THEN 0.15 ELSE 0 END + CASE WHEN publisher <> 'Unknown' THEN 0.1 ELSE 0 END + 0.05), 6)::DOUBLE AS confidence FROM books WHERE title IS NOT NULL AND confidence < 0.5")
@@ -266,12 +286,6 @@ def q38_record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book", F.round(merged, 6).alias("confidence"), F.concat(F.get("a", F.lit(0))["source"], F.when(F.size("a") > 1, "+merged").otherwise("")).alias("source"))
 
 
-TRUTH = r"""truth AS (SELECT *, CASE WHEN length(t0) > 3 THEN t0 ELSE '' END AS t FROM (SELECT *, regexp_replace(regexp_replace(trim(CASE WHEN a <> '' THEN trim(clean[pos + 3:]) ELSE clean END), '^-\s*', ''), '\s+', ' ', 'g') AS t0 FROM (
-SELECT *, CASE WHEN pos > 0 AND length(who) > 2 AND NOT regexp_matches(who, '^[0-9]') AND NOT """ + _any("lower(who)", N.NO_AUTHOR) + r""" THEN who ELSE '' END AS a, """ + _first("lower(clean)", N.INTERNATIONAL | N.BRAZILIAN) + r""" AS p FROM (
-SELECT *, strpos(clean, ' - ') AS pos, trim(clean[1:greatest(strpos(clean, ' - ') - 1, 0)]) AS who FROM (
-SELECT *, CASE WHEN y <> '' THEN trim(regexp_replace(stem, '\([0-9]{4}\)', '', 'g')) ELSE stem END AS clean FROM (
-SELECT *, regexp_extract(stem, '\(([0-9]{4})\)', 1) AS y FROM (
-SELECT id, path, lower(path) AS low, regexp_replace(trim(regexp_replace(regexp_replace(strip_accents(path), '[^\p{L}\p{N}_\s\-().,]', ' ', 'g'), '\s+', ' ', 'g')), '\.[^.]*$', '') AS stem FROM files)))))))"""
 _T = TRUTH + r""",
 scored AS (SELECT *, least(1.0, 0.2 + tt * 0.3 + ta * 0.3 + tp * 0.15 + ty * 0.05) AS basic,
 least(1.0, 0.25 + tt * 0.25 + ta * 0.25 + tp * 0.15 + ty * 0.1 + least(0.02 * """ + _count("low", N.TECHNICAL) + r""", 0.1) + CASE WHEN contains(path, ' - ') AND ta * tt = 1 THEN 0.05 ELSE 0 END) AS enhanced,
