@@ -76,8 +76,8 @@ def nearest(queries: DataFrame, docs: DataFrame, least: float, k: int | None = N
         bound = F.greatest(bound, F.coalesce("kth", F.lit(0.0)) * (1 - 1e-9))
     open_pairs = sums.filter(F.col("part") + F.col("rest") >= bound * (1 - 1e-9)).select("query", "id", "part")
     other = terms.filter(~F.col("essential")).groupBy("query").agg(F.collect_list(F.struct("term", "qw")).alias("other"))
-    rows = open_pairs.join(other, "query", "left").join(docs, "id")
-    more = F.aggregate(F.coalesce("other", F.array().cast("array<struct<term:string,qw:double>>")), F.lit(0.0), lambda a, x: a + x["qw"] * F.coalesce(F.get(F.transform(F.filter("entries", lambda e: e["term"] == x["term"]), lambda e: e["w"]), F.lit(0)), F.lit(0.0)))
+    rows = open_pairs.join(other, "query", "left").join(docs.select("id", F.map_from_entries("entries").alias("of")), "id")
+    more = F.aggregate(F.coalesce("other", F.array().cast("array<struct<term:string,qw:double>>")), F.lit(0.0), lambda a, x: a + x["qw"] * F.coalesce(F.try_element_at("of", x["term"]), F.lit(0.0)))
     return rows.select("query", "id", (F.col("part") + more).alias("score")).filter(F.col("score") >= least)
 
 
