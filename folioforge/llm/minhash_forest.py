@@ -8,7 +8,7 @@ text of fewer words is one shingle). Two texts are linked if their sets' Jaccard
    FLOOR is the longest prefix at which the recall expected at the threshold reaches RECALL, so prefixes are never shortened
    below it. A node that shares no prefix of FLOOR has no match at any length; the others form candidate groups by them.
 3. A group of SMALL nodes at most is verified whole. In a crowded group paths go on to DEPTH. Nodes that share a whole path are
-   verified with all that they are joined to by such. Then the matched prefixes are shortened level by level: at each level only
+   verified with all that they are joined to by such. Then the matched prefixes are shortened step by step: at each step only
    the prefixes that still join different such subgroups are open, and only pairs that no longer prefix has shown are verified,
    each in the first tree that shows it. It ends at FLOOR.
 4. Verification is exact: the sets of a task are laid side by side in one matrix product. Tasks are bounded: what is larger is
@@ -39,6 +39,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 TREES, DEPTH = 24, 10
 RECALL = 0.999
+#: Levels by which matched prefixes are shortened at a time.
+STEP = 2
 #: Nodes of a candidate group that is verified whole.
 SMALL = 64
 #: Of what is cut: nodes of a block, as long as there are BLOCKS blocks at most; nodes and bytes of shingles of a larger one.
@@ -62,6 +64,12 @@ def levels() -> list[int]:
     return out
 
 
+def ladder() -> list[int]:
+    """The lengths that are looked at: every STEP-th level, and the last. The last one decides what is linked; fewer rungs mean fewer rows."""
+    found = levels()
+    return [*found[:-1:STEP], found[-1]]
+
+
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20240229))
     return rng.integers(1, 2**63, n, dtype=np.uint64), rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -232,7 +240,7 @@ def forest_links(nodes: DataFrame) -> list[DataFrame]:
     sub = written(nodes.join(whole.withColumnRenamed("group", "subgroup"), "s", "left").withColumn("subgroup", F.coalesce("subgroup", "s")))
     cut = sub.groupBy("subgroup").agg(F.count("*").alias("n"), F.sum(size).alias("shingles")).filter("n > 1").select("subgroup", blocks(F.col("n"), F.col("shingles")).alias("blocks"))
     found = [run_tasks(in_tasks(sub.drop("prefixes").join(cut, "subgroup").withColumnRenamed("subgroup", "of"), "of"))]
-    for level in range(1, len(levels())):
+    for level in range(1, len(ladder())):
         places = sub.select("s", "subgroup", size.alias("size"), F.posexplode(F.col("prefixes")[level]).alias("tree", "of"))
         several = places.groupBy("of").agg(F.min("subgroup").alias("low"), F.max("subgroup").alias("high"), F.count("*").alias("n"), F.sum("size").alias("shingles"))
         several = written(several.filter("low < high").select("of", blocks(F.col("n"), F.col("shingles")).alias("blocks")))
@@ -252,7 +260,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     whole = written(members.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("group", ((F.col("n") <= SMALL) & (F.col("shingles") * 8 <= BLOCK_BYTES)).alias("whole")))
     # written, so that the join with it has a shuffle of its own, whose hot keys Spark splits
     members = written(members.join(whole, "group"), drop=[members])
-    lengths = levels()
+    lengths = ladder()
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
