@@ -23,7 +23,7 @@ def docs_of(spark, rows):
 @pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = llm_queries.queries()[name](spark, SF)
     found = c.execute(llm_queries.oracle_sql()[name])
