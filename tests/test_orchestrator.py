@@ -157,3 +157,37 @@ def test_overlap_search_equals_brute_force(spark, share):
                 found.append((-(both / len(set(a) | set(d)) if share else both), i))
         want |= {(q, i, n) for n, (_, i) in enumerate(sorted(found)[:7], 1)}
     assert {(r.query, r.id, r["rank"]) for r in got} == want
+
+
+def test_equal_titles_are_searched_once(spark):
+    """Copies of a title stand for one row of the search; the answers are those of all rows one by one."""
+    titles = ["red ring", "red rod", "ring red old", "blue rod", "Red Ring"]
+    rows = [(i, titles[i * 7 % 5]) for i in range(200)] + [(500, None)]
+    catalog = spark.createDataFrame(rows, "id long, title string")
+    queries = catalog.filter("id % 20 = 0 or id = 500").withColumn("query", F.col("id") + 1000)
+    words = {i: set(t.lower().split()) for i, t in rows if t}
+    want = set()
+    for q in range(0, 200, 20):
+        found = sorted((-round(len(words[q] & w) / len(words[q] | w), 6), i) for i, w in words.items() if words[q] & w)
+        want |= {(q + 1000, i, -s) for s, i in found[:10]}
+    assert set(map(tuple, Q.lexical_ranker(queries, catalog).collect())) == want
+    seen = []
+
+    def search(asked, texts):
+        seen.append((asked.count(), sorted((r.text, r.id, r.copies) for r in texts.collect())))
+        return asked.crossJoin(texts).select("query", "id", F.lit(1.0).alias("score"))
+
+    text = F.lower("title").alias("text")
+    given = catalog.filter("title is not null").select("id", text)
+    got = R.search_texts(given.filter("id % 5 = 0").select(F.col("id").alias("query"), "text"), given, 3, search)
+    assert {(r.query, r.id, r["rank"]) for r in got.collect()} == {(q, i, i + 1) for q in range(0, 200, 5) for i in range(3)}
+    assert seen == [(1, [("blue rod", 4, 40), ("red ring", 0, 80), ("red rod", 3, 40), ("ring red old", 1, 40)])]
+
+
+def test_idf_counts_the_rows_that_a_row_stands_for(spark):
+    rows = [("red ring", 3), ("red rod", 1), ("old rod", 2)]
+    whole = spark.createDataFrame([(10 * i + j, t) for i, (t, n) in enumerate(rows) for j in range(n)], "id long, text string")
+    once = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(rows)], "id long, text string, copies long")
+    words = F.split("text", " ")
+    idf = lambda df, **more: sorted(map(tuple, R.term_weights(df, "id", words, **more)[1].collect()))
+    assert idf(once, copies=F.col("copies")) == idf(whole)
