@@ -22,7 +22,9 @@ from .tables import written
 #: Classes of letters; letters of one class count as equal, which only raises the bound.
 LETTERS = 32
 #: Lengths that share a block, and queries that meet a block at once.
-LENGTHS, CHUNK = 4, 1000
+LENGTHS, CHUNK = 4, 100
+#: Tasks that the comparisons are dealt over.
+TASKS = 192
 #: What rounding may take from a bound.
 EPS = 1e-4
 
@@ -87,7 +89,7 @@ def fuzzy_search(queries: DataFrame, texts: DataFrame, least: float, size: int =
     prefix = F.when(F.substring("asked", 1, 1) == F.col("letter"), 4).otherwise(0)
     near = near.filter((F.when(jaro < 0.7, jaro).otherwise(jaro + 0.1 * prefix * (1 - jaro)) >= least - EPS) | (F.col("low") == 0))
     chunk = F.pmod(F.xxhash64("query"), F.lit(queries.count() // CHUNK + 1)).alias("chunk")
-    near = near.groupBy("block", chunk).agg(F.collect_list(F.struct("query", "asked")).alias("queries")).drop("chunk")
+    near = near.groupBy("block", chunk).agg(F.collect_list(F.struct("query", "asked")).alias("queries"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -100,5 +102,7 @@ def fuzzy_search(queries: DataFrame, texts: DataFrame, least: float, size: int =
                     near = score >= least - EPS
                     yield pd.DataFrame({"query": a["query"], "id": ids[may[near]], "score": score[near]})
 
-    found = near.join(blocks.select("block", "rows"), "block").select("queries", "rows").mapInPandas(run, "query bigint, id bigint, score double")
+    # few bytes, but much work: these rows are dealt over all cores
+    met = near.join(blocks.select("block", "rows"), "block").repartition(TASKS, "block", "chunk")
+    found = met.select("queries", "rows").mapInPandas(run, "query bigint, id bigint, score double")
     return found.withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
