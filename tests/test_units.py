@@ -84,3 +84,14 @@ def test_formats(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Arquivo,Proposto\na.pdf,b.pdf\nc.pdf,c.pdf\n")
     assert [tuple(r) for r in formats.read_rename_csv(spark, str(tmp_path / "r.csv")).collect()] == [("a.pdf", "b.pdf")]
     assert formats.epub_fields(None) == (None,) * 6 and isinstance(io.BytesIO(), io.BytesIO)
+
+
+def test_rows_of_one_path_are_all_promoted(spark, monkeypatch):
+    from folioforge.plans import catalog_queries
+
+    rows = [("a", 0.9), ("a", 0.8), ("a", 0.8), ("b", 0.7), ("c", 0.95)]
+    monkeypatch.setattr(catalog_queries.D, "files", lambda *_: spark.createDataFrame(rows, "path string, confidence double"))
+    assert sorted(map(tuple, catalog_queries.m8_promote(spark, "").collect())) == [("a", 0.8), ("a", 0.8), ("a", 0.9), ("c", 0.95)]
+    old = spark.createDataFrame([("a", 0.1), ("d", 0.2)], "path string, confidence double")
+    new = spark.createDataFrame(rows[:2], old.schema)
+    assert sorted(map(tuple, catalog.replace_keys(old, new, ["path"]).collect())) == [("a", 0.8), ("a", 0.9), ("d", 0.2)]
