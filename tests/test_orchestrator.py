@@ -191,3 +191,11 @@ def test_idf_counts_the_rows_that_a_row_stands_for(spark):
     words = F.split("text", " ")
     idf = lambda df, **more: sorted(map(tuple, R.term_weights(df, "id", words, **more)[1].collect()))
     assert idf(once, copies=F.col("copies")) == idf(whole)
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, None), (4, ["a"])], "id long, words array<string>")
+    tf, idf = R.term_weights(rows, "id", F.col("words"))
+    assert sorted(map(tuple, tf.collect())) == [(1, "a", 0.25), (1, "b", 0.75), (4, "a", 1.0)]
+    assert {(r.term, r.df) for r in idf.collect()} == {("a", 2), ("b", 1)}
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
