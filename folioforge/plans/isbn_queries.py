@@ -104,7 +104,7 @@ def i8_extract_isbns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i9_extract_first_with_isbn13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first valid hit in pattern order, with its ISBN-13."""
     first = isbn.first_in(_blurb(F.col("isbn_13"), F.col("isbn_10")))
-    return D.books(spark, sf_dir).select("id", first.alias("isbn"), isbn.normal13(first).alias("isbn13"))
+    return D.books(spark, sf_dir).select("id", first.alias("isbn")).withColumn("isbn13", isbn.normal13(F.col("isbn")))
 
 
 @query(_W + "SELECT id, regexp_extract('eISBN: ' || isbn_13, '(?:e-?ISBN|ISBN \\(digital\\)|ebook ISBN)[: ]*(97[89][0-9]{10})', 1) AS digital FROM books")
