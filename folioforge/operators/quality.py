@@ -74,15 +74,17 @@ def is_manual(text: Column, name: Column) -> Column:
 
 def many_singles(text: Column) -> Column:
     """Of four tokens or more, 60 % are single characters."""
-    t = F.split(F.trim(text), r"\s+")
-    return F.coalesce((F.size(t) >= 4) & (F.size(F.filter(t, lambda w: F.length(w) == 1)) >= 0.6 * F.size(t)), F.lit(False))
+    t = F.trim(text)
+    n = F.regexp_count(t, F.lit(r"\s+")) + 1
+    singles = F.regexp_count(t, F.lit(r"(?<!\S)\S(?!\S)"))
+    return F.coalesce((n >= 4) & (singles >= 0.6 * n), F.lit(False))
 
 
 def repeated_letters(text: Column) -> Column:
     """Of six letters or more, 45 % of neighbours are equal."""
-    letters = F.filter(F.split(F.lower(text), ""), lambda c: c.rlike("^[a-z]$"))
-    n = F.size(letters)
-    same = F.size(F.filter(F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
+    letters = F.regexp_replace(F.lower(text), "[^a-z]+", "")
+    n = F.length(letters)
+    same = n - F.length(F.regexp_replace(letters, r"(.)\1+", "$1"))  # a run of k letters has k - 1 equal neighbours
     return F.coalesce((n >= 6) & (same >= 0.45 * (n - 1)), F.lit(False))
 
 
