@@ -145,9 +145,11 @@ def weight(word: str) -> float:
     return 4.0 if word in SPECIFIC else 3.0 if len(word.split()) > 1 else 1.0
 
 
-def category(low: Column) -> Column:
-    """The category of the greatest weight, the first of equal ones; General if no word is there."""
-    scored = [F.struct(sum((F.when(F.contains(low, F.lit(w)), weight(w)).otherwise(0.0) for w in words(text)), F.lit(0.0)).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, text) in enumerate(CATEGORIES.items())]
+def category(low: Column, found: Column | None = None) -> Column:
+    """The category of the greatest weight, the first of equal ones; General if no word is there. found: the keywords() of the text, where they
+    are at hand, so that it is not searched once more."""
+    there = lambda w: F.contains(low, F.lit(w)) if found is None else F.array_contains(found, w)
+    scored = [F.struct(sum((F.when(there(w), weight(w)).otherwise(0.0) for w in words(text)), F.lit(0.0)).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, text) in enumerate(CATEGORIES.items())]
     best = F.array_max(F.array(*scored))
     return F.when(best["s"] > 0, best["name"]).otherwise("General")
 

@@ -120,8 +120,9 @@ def t13_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t14_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subcategory, the sorted technical terms and the language of each whole text."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    rows = D.read(spark, sf_dir, "documents").select("doc_id", low.alias("low")).withColumn("main", N.category(F.col("low")))
-    return rows.select("doc_id", N.subcategory(F.col("low"), F.col("main")).alias("subcategory"), F.array_join(N.keywords(F.col("low")), ",").alias("keywords"), N.language(F.col("low")).alias("language"))
+    rows = D.read(spark, sf_dir, "documents").select("doc_id", low.alias("low")).withColumn("found", N.keywords(F.col("low")))
+    rows = rows.withColumn("main", N.category(F.col("low"), F.col("found")))
+    return rows.select("doc_id", N.subcategory(F.col("low"), F.col("main")).alias("subcategory"), F.array_join("found", ",").alias("keywords"), N.language(F.col("low")).alias("language"))
 
 
 @query(_W + "SELECT id, round(least(1.0, CASE WHEN title IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN len(authors) > 0 THEN 0.2 ELSE 0 END + CASE WHEN publisher <> 'Unknown' THEN 0.15 ELSE 0 END + 0.15 + least(0.01 * coalesce(len(string_split(title, ' ')), 0), 0.1)), 6)::DOUBLE AS confidence FROM books")
