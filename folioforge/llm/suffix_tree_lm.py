@@ -365,9 +365,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     contexts, terms = context_terms(train, token_roots(vocabulary, ends), tokens, types)
     if terms is None:
         terms = docs.sparkSession.createDataFrame([], "key bigint, n bigint, x double")
-    hot, top = hot_words(vocabulary.filter(F.octet_length("w") <= HOT_BYTES), HOT).toPandas(), hot_words(terms, 2 * HOT).select("key", "x").toPandas()
+    # as Arrow, which holds 8 bytes a number on the driver and no object for each row
+    hot, top = hot_words(vocabulary.filter(F.octet_length("w") <= HOT_BYTES), HOT).toArrow(), hot_words(terms, 2 * HOT).select("key", "x").toArrow()
     scorer = docs.sparkSession.sparkContext.broadcast(
-        Scorer([bytes(w) for w in hot["w"]], hot["n"].to_numpy(dtype=float), tokens, types, ends, contexts, top["key"].to_numpy(np.int64), top["x"].to_numpy(dtype=float))
+        Scorer(hot["w"].to_pylist(), hot["n"].to_numpy().astype(float), tokens, types, ends, contexts, top["key"].to_numpy(), top["x"].to_numpy())
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -176,6 +176,12 @@ def test_terms_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
     assert sorted((r.doc_id, round(r.score, 5), round(r.base_score, 5)) for r in suffix_tree_lm.lm_scores(docs).collect()) == want
 
 
+def test_broadcast_terms_reach_the_driver_as_arrow(spark, monkeypatch):
+    docs = docs_of(spark, [(i, "a b c d " * 20) for i in range(30)])
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: pytest.fail("an object for each row on the driver"))
+    assert suffix_tree_lm.lm_scores(docs).count() == 30
+
+
 def chains(n, length, seed=1):
     """Texts of which each word depends on the two before it: the same words follow after 'a b', others after 'b b'."""
     rng = random.Random(seed)
