@@ -53,7 +53,7 @@ def _epubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: an EPUB of each book."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in formats.pieces(frames, "title"):
             yield pd.DataFrame({"path": f["path"], "content": [make_epub(t if isinstance(t, str) else None, a, p, d, i) for t, a, p, d, i in zip(f["title"], f["authors"], f["publisher"], f["published_date"], f["isbn_13"], strict=True)]})
 
     rows = D.books(spark, sf_dir).select(F.col("id").cast("string").alias("path"), "title", F.array_join("authors", ", ").alias("authors"), "publisher", "published_date", "isbn_13")
@@ -64,7 +64,7 @@ def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: a PDF of each document's whole text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in formats.pieces(frames, "text"):
             yield pd.DataFrame({"path": f["path"], "content": [make_pdf((t or "").split("\n"), n) for t, n in zip(f["text"], f["isbn"], strict=True)]})
 
     core = F.lpad((F.col("doc_id") % 1000000000).cast("string"), 9, "0")

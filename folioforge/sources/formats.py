@@ -50,11 +50,28 @@ def epub_text(content: bytes | None) -> str | None:
     return "\n".join(html.unescape(re.sub(r"<[^>]*>", "", p)).strip() for p in pages)
 
 
+#: Files that a Python worker holds at a time, beside the batch that Spark sent, and bytes of their contents.
+FILES, FILE_BYTES = 250, 4_000_000
+
+
+def pieces(frames: Iterator[pd.DataFrame], column: str = "content") -> Iterator[pd.DataFrame]:
+    """The frames, cut to FILES rows, and where contents add up to FILE_BYTES: what is made of a piece is handed on before the next one."""
+    for frame in frames:
+        size = frame[column].map(lambda c: len(c) if isinstance(c, (bytes, str)) else 0).to_numpy().cumsum()
+        at = 0
+        while at < len(frame):
+            to = int(size.searchsorted((size[at - 1] if at else 0) + FILE_BYTES, "right"))
+            to = min(max(at + 1, to), at + FILES)
+            yield frame.iloc[at:to]
+            at = to
+        del frame
+
+
 def epub_rows(files: DataFrame) -> DataFrame:
     """One row per EPUB (path, content) with its fields and text; files are parsed on the executors, one at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in pieces(frames):
             rows = [(p, *epub_fields(c), epub_text(c)) for p, c in zip(frame["path"], frame["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", "title", "subtitle", "authors", "publisher", "year", "isbn", "text"])
 
@@ -123,7 +140,7 @@ def pdf_rows(files: DataFrame, pages: int = 10) -> DataFrame:
     """path, text of the first pages, info: one row per PDF (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in pieces(frames):
             yield pd.DataFrame({"path": frame["path"], "text": ["\n".join(pdf_pages(c, pages)) for c in frame["content"]], "info": [pdf_info(c) for c in frame["content"]]})
 
     return files.select("path", "content").mapInPandas(run, "path string, text string, info string")

@@ -66,3 +66,14 @@ def test_stream_results_are_files(spark, tmp_path):
     got = jobs.run_now(stream.groupBy("k").agg(F.count("*").alias("n")), "complete", str(tmp_path / "a"))
     assert sorted(map(tuple, got.collect())) == [(0, 10), (1, 10), (2, 10)]
     assert jobs.run_now(stream.filter("k = 1"), "append", str(tmp_path / "b")).count() == 10
+
+
+def test_files_are_handed_on_in_pieces():
+    import pandas as pd
+    from folioforge.sources import formats
+
+    frame = pd.DataFrame({"path": [str(i) for i in range(1200)], "content": [None if i % 7 == 0 else b"x" * (5_000_000 if i % 400 == 5 else 10 * i) for i in range(1200)]}, index=range(50, 1250))
+    cut = list(formats.pieces(iter([frame, frame[:0]])))
+    assert pd.concat(cut).equals(frame) and max(map(len, cut)) <= formats.FILES
+    sizes = [sum(len(c) for c in f["content"] if c) for f in cut]
+    assert all(n <= formats.FILE_BYTES or len(f) == 1 for n, f in zip(sizes, cut))
