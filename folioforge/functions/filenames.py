@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -146,12 +147,12 @@ def weight(word: str) -> float:
 
 
 def category(low: Column, found: Column | None = None) -> Column:
-    """The category of the greatest weight, the first of equal ones; General if no word is there. found: the keywords() of the text, where they
-    are at hand, so that it is not searched once more."""
+    """The category of the greatest weight, the first of equal ones; General if no word is there. found: the keywords() of the text, for long
+    texts a column of its own, so that they are searched once for all words."""
     there = lambda w: F.contains(low, F.lit(w)) if found is None else F.array_contains(found, w)
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(1).alias("o"), F.lit("General").alias("name"))
     scored = [F.struct(sum((F.when(there(w), weight(w)).otherwise(0.0) for w in words(text)), F.lit(0.0)).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, text) in enumerate(CATEGORIES.items())]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["s"] > 0, best["name"]).otherwise("General")
+    return F.array_max(F.array(none, *scored))["name"]
 
 
 def subcategory(low: Column, main: Column) -> Column:
@@ -164,9 +165,21 @@ def subcategory(low: Column, main: Column) -> Column:
 TERMS = sorted({w for text in CATEGORIES.values() for w in words(text)} | set(words(MORE_TERMS)))
 
 
+def _tree(terms: list[str]) -> str:
+    """A regular expression of the longest of some terms that stands at a place: letters that terms have in common are looked at once."""
+    longer: dict[str, list[str]] = {}
+    for w in terms:
+        if w:
+            longer.setdefault(w[0], []).append(w[1:])
+    rest = "|".join(re.escape(c) + _tree(ends) for c, ends in longer.items())
+    return f"(?:{rest})" + ("?" if "" in terms else "") if rest else ""
+
+
 def keywords(low: Column) -> Column:
-    """The terms that stand in a text, sorted."""
-    return F.filter(F.array(*map(F.lit, TERMS)), lambda w: F.contains(low, w))
+    """The terms that stand in a text, sorted. One scan finds the longest term of each place; the others of that place are its beginnings."""
+    longest = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({_tree(TERMS)}))"), F.lit(1)))
+    terms = F.array(*map(F.lit, TERMS))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(longest, lambda m: F.filter(terms, lambda w: F.startswith(m, w))))))
 
 
 def language(low: Column) -> Column:

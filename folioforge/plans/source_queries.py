@@ -110,7 +110,7 @@ _SCORED = f"(SELECT doc_id, low, {_CATEGORY} AS category FROM (SELECT *, greates
 def t13_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The category of each whole text by the words of nine categories: the greatest weight, the first of equal ones."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    return D.read(spark, sf_dir, "documents").select("doc_id", low.alias("low")).select("doc_id", N.category(F.col("low")).alias("category"))
+    return D.read(spark, sf_dir, "documents").select("doc_id", low.alias("low")).withColumn("found", N.keywords(F.col("low"))).select("doc_id", N.category(F.col("low"), F.col("found")).alias("category"))
 
 
 @query(

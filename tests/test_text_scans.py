@@ -37,3 +37,12 @@ def test_categories_from_the_terms_that_were_found(spark):
     rows = rows.unionByName(spark.createDataFrame([(w + " " + x,) for w, x in zip(N.TERMS, N.TERMS[7:])] + [("",)], "low string"))
     both = rows.withColumn("found", N.keywords(F.col("low"))).select(N.category(F.col("low")).alias("a"), N.category(F.col("low"), F.col("found")).alias("b"))
     assert both.filter("not (a <=> b)").isEmpty() and both.select("a").distinct().count() > 3
+
+
+def test_one_scan_finds_the_terms_of_a_text(spark):
+    texts = [a + b for a in N.TERMS for b in ("", " ", "s", *N.TERMS[::23])] + ["javascripting", "xjavax", "machine\nlearning", "", "a😀ai", "...net core", "c++c#", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, low string").select("i", N.keywords(F.col("low")).alias("found"))
+    assert {r.i: r.found for r in df.collect()} == {i: None if s is None else [w for w in N.TERMS if w in s] for i, s in enumerate(texts)}
+    for name in ("t13_category", "t14_keywords"):
+        plan = plan_of(queries()[name](spark, SF))
+        assert plan.count("regexp_extract_all") == 1 and (name != "t13_category" or "Contains(" not in plan)
