@@ -82,32 +82,45 @@ def alerts(events: DataFrame, callback: Callable[[DataFrame, int], None], checkp
 
 class Breaker(StatefulProcessor):
     """The circuit breaker of one user: events wait in state until the watermark has passed them, then count in the order of their
-    times, whatever the order in which they came. State holds the number of failures and the events within the watermark's delay."""
+    times, whatever the order in which they came. State holds the number of failures and the events within the watermark's delay.
+
+    A call to the state costs more than an event, so a batch's events of a user are put there at once, with one timer for the earliest;
+    a timer takes out all that are due, and leaves one for the earliest of the others."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.failures = handle.getValueState("failures", "n long")
-        self.waiting = handle.getMapState("waiting", "at long, event_id long", "success boolean")
+        self.waiting = handle.getListState("waiting", "at long, event_id long, success boolean")
+
+    def wake(self, events) -> None:
+        self.handle.registerTimer(-(-min(at for at, _, _ in events) // 1000))
 
     def handleInputRows(self, key, rows, timerValues):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        for r in rows:
-            if r.at > passed:  # what comes later is dropped: its place in the order is gone
-                self.waiting.updateValue((r.at, r.event_id), (r.success,))
-                self.handle.registerTimer(-(-r.at // 1000))
+        came = [(r.at, r.event_id, r.success) for r in rows if r.at > passed]  # what comes later is dropped: its place in the order is gone
+        if came:
+            self.waiting.appendList(came)
+            self.wake(came)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        due = sorted(k for k in self.waiting.keys() if k[0] <= until)
-        n = self.failures.get()[0] if due and self.failures.exists() else 0
+        held = {(at, event_id): success for at, event_id, success in self.waiting.get()}  # of an event that came twice, the last
+        due = sorted(k for k in held if k[0] <= until)
+        if not due:
+            return
+        n = self.failures.get()[0] if self.failures.exists() else 0
         for k in due:
-            success = self.waiting.getValue(k)[0]
+            success = held.pop(k)
             n += not success
-            self.waiting.removeKey(k)
             yield Row(user_id=key[0], event_id=k[1], failures=n, cooldown=0.0 if success else float(min(600, 30 * 2 ** (min(6, n) - 1))))
-        if due:
-            self.failures.update((n,))
+        self.failures.update((n,))
+        left = [(*k, success) for k, success in held.items()]
+        if left:
+            self.waiting.put(left)
+            self.wake(left)
+        else:
+            self.waiting.clear()
 
     def close(self) -> None:
         pass

@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from folioforge.operators import metrics
@@ -101,3 +102,42 @@ def test_registered(name):
     from folioforge.plans import registry
 
     assert name in registry.oracle_sql()
+
+
+def test_breaker_calls_its_state_by_batches_of_a_user_not_by_events():
+    calls = []
+
+    class State:
+        held = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("appendList", "put", "update"):
+                    self.held = [*(self.held or []), *args[0]] if name == "appendList" else args[0]
+                return self.held if name == "get" else self.held is not None
+
+            return call
+
+    class Handle:
+        def registerTimer(self, at):
+            calls.append(at)
+
+        def getValueState(self, *_):
+            return State()
+
+        getListState = getMapState = getValueState
+
+    class Mark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    breaker = jobs.Breaker()
+    breaker.init(Handle())
+    rows = [Row(at=1000 * at, event_id=at, success=at % 3 == 0) for at in random.Random(1).sample(range(1, 1001), 1000)]
+    assert list(breaker.handleInputRows((7,), iter(rows), Mark(0))) == []
+    first = [r.event_id for r in breaker.handleExpiredTimer((7,), Mark(600), None)]
+    again = list(breaker.handleExpiredTimer((7,), Mark(600), None))
+    rest = [(r.event_id, r.failures) for r in breaker.handleExpiredTimer((7,), Mark(2000), None)]
+    assert first == list(range(1, 601)) and again == [] and [i for i, _ in rest] == list(range(601, 1001)) and rest[-1][1] == 667
+    assert [c for c in calls if isinstance(c, int)] == [1, 601] and len(calls) < 20
