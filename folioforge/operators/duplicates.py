@@ -85,6 +85,7 @@ def links(books: DataFrame) -> DataFrame:
 
 def classes(books: DataFrame) -> DataFrame:
     """id, class (the least id of its class) and size: every record of the catalogue."""
+    books = written(books.select("id", "isbn_13", "title", "authors"))  # read several times, and often dear to derive
     found = components(links(books))
     out = written(books.select("id").join(found, "id", "left").select("id", F.coalesce("class", "id").alias("class")))
     return out.join(out.groupBy("class").agg(F.count("*").alias("size")), "class").select("id", "class", "size")

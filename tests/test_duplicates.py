@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from folioforge.operators import duplicates as U
 
 
@@ -61,3 +63,16 @@ def test_classes_equal_the_closure(spark):
     assert U.classes(df.limit(0)).count() == 0
     # links stay few: no pairs of a group
     assert U.links(df).count() < 12 * len(rows)
+
+
+def test_classes_derive_the_books_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(title):
+        read.add(1)
+        return title
+
+    rows = [(i, f"978{i:010d}", f"red ring volume {i % 5}", ["Ana Silva"]) for i in range(40)]
+    books = spark.createDataFrame(rows, "id long, isbn_13 string, title string, authors array<string>")
+    books = books.withColumn("title", F.udf(seen, "string").asNondeterministic()("title"))
+    assert U.classes(books).count() == 40 and read.value == 40
