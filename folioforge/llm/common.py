@@ -64,6 +64,18 @@ def written(df: DataFrame, drop: Iterable[DataFrame] = (), by: Sequence[str] = (
     return out
 
 
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of each action go once it has ended, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once: within a lambda an expression would be computed for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

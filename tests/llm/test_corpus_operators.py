@@ -349,3 +349,18 @@ def test_pipeline_stages_against_brute_force(spark):
 def test_digest_of_dedup(spark):
     row = line_dedup.dedup_report(docs_of(spark, [(1, "x\ny"), (2, "x")])).filter("doc_id = 2").first()
     assert (row.n_lines, row.n_exact, row.n_near, row.n_kept, row.text_sha256) == (1, 1, 0, 0, hashlib.sha256(b"").hexdigest())
+
+
+def test_shuffle_files_of_the_suffix_tree_go_with_each_action(spark):
+    import glob
+
+    from folioforge.llm import common
+    from pyspark.sql import functions as F
+
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(name)
+    with common.shuffles_go(spark):
+        out = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not files() - before and out.count() == 7 and spark.conf.get(name) == was
