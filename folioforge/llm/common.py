@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get()
 
 
-def written(df: DataFrame, drop: Iterable[DataFrame] = (), by: Sequence[str] = ()) -> DataFrame:
+def written(df: DataFrame, drop: Iterable[DataFrame] = (), by: Sequence[str] = (), codec: str = "snappy") -> DataFrame:
     """df, written once as Parquet in the shared folder: cuts the lineage, and survives the loss of executors.
 
     drop: earlier results of written() that nothing reads from now on; their folders go once df is written. by: columns by whose
@@ -55,7 +55,7 @@ def written(df: DataFrame, drop: Iterable[DataFrame] = (), by: Sequence[str] = (
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.partitionBy(*by).parquet(path, compression=codec)
     for old in drop:
         folder = spark._jvm.org.apache.hadoop.fs.Path(old.__dict__[_WRITTEN])
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -108,7 +108,7 @@ def release() -> None:
 def slices(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
     """The frames, cut where their texts add up to more than `chars`."""
     for frame in frames:
-        sizes = frame[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
+        sizes = frame[column].map(lambda t: len(t) if isinstance(t, (str, bytes)) else 0).to_numpy()
         groups = np.cumsum(sizes) // chars
         for g in np.unique(groups):
             yield frame[groups == g]

@@ -266,6 +266,21 @@ def test_contexts_of_words_equal_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_filters_of_the_suffix_tree_only_save_work(spark, monkeypatch):
+    """With filters that pass everything the scores are the same: rare words are told apart by no context."""
+    rng = random.Random(6)
+    rows = [(i, f"{t} {rng.choice('xyz')}{i // 3}" if i % 2 else f"r{i // 5} {t}") for i, t in chains(200, 30, seed=5)]
+    want = {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(docs_of(spark, rows)).collect()}
+    made = suffix_tree_lm.Filter.__init__
+
+    def full(self, *args, **kwargs):
+        made(self, *args, **kwargs)
+        self.bits[:] = 255
+
+    monkeypatch.setattr(suffix_tree_lm.Filter, "__init__", full)
+    assert {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(docs_of(spark, rows)).collect()} == pytest.approx(want)
+
+
 def test_held_out_texts_score_above_base(spark):
     """Of prose that repeats nothing the contexts may tell little, but they do no harm."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
