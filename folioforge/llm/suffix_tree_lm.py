@@ -18,8 +18,9 @@ contexts are counted and looked up in these. Words seen less than LEAST_COUNT ti
 one number there.
 
 A token's score is a sum: its score without a context, a term for each retained context before it, and one for each that tells it
-apart. Terms of high counts, 2 * HOT at most, are broadcast; the others are joined. The same holds for the counts of words. Tokens
-and contexts are told apart by 64-bit hashes. All is counted in all training texts.
+apart. Terms of high counts, TERMS * HOT at most, are broadcast; the others are joined, for one of ROUNDS shares of the texts after
+another, so that the disk holds one share of the keys that are looked up. Counts of words are broadcast or joined likewise. Tokens and
+contexts are told apart by 64-bit hashes. All is counted in all training texts.
 
 Null and empty texts consist of the end alone. A very long text is held by one task as a list of its tokens' numbers, 8 bytes each. A null id counts as training, not held out. Repeated rows are counted and
 scored as often as they stand. With no training texts every count is 0. Other columns are left out.
@@ -42,16 +43,16 @@ from .common import doc_hash, lowered, shuffles_go, slices, utf8, written
 
 #: How often contexts, and tokens that they tell apart, were seen at least; nats that a context tells in all, and on average; how often a token followed a context that tells it apart.
 LEAST_COUNT, LEAST_GAIN, LEAST_MEAN, CUT = 8, 12.0, 0.3, 2
-HOT = 1 << 18
+HOT, TERMS, ROUNDS = 1 << 18, 8, 3
 #: Distinct words that a task gathers before it hands their counts on.
 GATHER = 200_000
 #: Tokens after contexts that a task gathers before it adds up their counts; of which so many, of all tasks, are merged at a time; characters of the texts, or bytes of their tokens, that are looked at at once.
-STEPS, MERGED, SCORE_CHARS = 2_000_000, 1 << 17, 3_000_000
+STEPS, MERGED, SCORE_CHARS = 1_000_000, 1 << 17, 3_000_000
 #: Bytes of a word whose count may be broadcast.
 HOT_BYTES = 64
 
 #: Bits of the filters that tell tasks which contexts to count and which terms to look for, as a power of two. They only save work: what passes wrongly is dropped later.
-BITS, PAIR_BITS = 24, 26
+BITS, PAIR_BITS = 24, 27
 
 #: Odd multipliers of the hashes of contexts.
 _CHAIN, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -102,15 +103,15 @@ def _unsigned(frame: pd.DataFrame, *columns: str) -> list[np.ndarray]:
 
 
 class Filter:
-    """Which codes a table has: a bit for each code's hash, of bounded size."""
+    """Which codes a table has: a Bloom filter of bounded size."""
 
-    def __init__(self, codes: DataFrame, column: str = "code", size: int = BITS):
-        self.size = size
+    def __init__(self, codes: DataFrame, column: str = "code", size: int = BITS, places: int = 1):
+        self.size, self.places = size, places
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pages: dict[int, np.ndarray] = {}
             for frame in frames:
-                place = np.unique(mixed(_unsigned(frame, column)[0]) >> np.uint64(64 - size)).astype(np.int64)
+                place = np.unique(np.concatenate([_place(_unsigned(frame, column)[0], size, k) for k in range(places)]))
                 at, first = np.unique(place >> 15, return_index=True)
                 for k, own in zip(at.tolist(), np.split(place, first[1:]), strict=True):
                     bits = np.zeros(1 << 15, bool)
@@ -124,8 +125,16 @@ class Filter:
             self.bits[r.at << 12 : (r.at + 1) << 12] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
 
     def has(self, code: np.ndarray) -> np.ndarray:
-        place = mixed(code) >> np.uint64(64 - self.size)
-        return (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+        found = np.ones(len(code), bool)
+        for k in range(self.places):
+            place = _place(code, self.size, k)
+            found &= (self.bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
+def _place(code: np.ndarray, size: int, k: int) -> np.ndarray:
+    """Where the k-th bit of each code stands, of 2^size."""
+    return (mixed(code) << np.uint64(k * size) >> np.uint64(64 - size)).astype(np.int64)
 
 
 def _either(part: pd.DataFrame) -> pd.DataFrame:
@@ -298,7 +307,7 @@ def context_terms(tokens: DataFrame, contexts: Contexts, roots: DataFrame, total
         terms = own if terms is None else terms.unionByName(own)
         due = written(longer(told, least), drop=[told])
     if terms is not None:
-        contexts.pairs = Filter(terms, "key", PAIR_BITS)
+        contexts.pairs = Filter(terms, "key", PAIR_BITS, 2)
     return terms
 
 
@@ -359,7 +368,7 @@ class Scorer:
         self.keys, self.terms, self.contexts = keys[order], terms[order], contexts
 
     def frame(self, frame: pd.DataFrame) -> pd.DataFrame:
-        """row, key, x: for each text the sum x of the hot terms of its contexts (key null), and the keys of those that are joined."""
+        """row, key, x: for each text the sum x of the hot terms of its contexts (with a key of its own), and the keys of those that are joined (x null)."""
         seq, size = self.contexts.hashed(frame)
         row, added = frame["row"].to_numpy(), np.zeros(len(size))
         rows, keys = [], []
@@ -372,10 +381,8 @@ class Scorer:
                 added += np.bincount(own[hit], weights=self.terms[place[hit]], minlength=len(size))
                 rows.append(row[own[~hit]])
                 keys.append(key[~hit])
-        cold = pd.DataFrame({"row": np.concatenate([row, *rows]), "key": np.concatenate([np.zeros(len(row), np.int64), *keys])})
-        cold["key"] = cold["key"].astype("Int64").mask(np.arange(len(cold)) < len(row))
-        cold["x"] = np.append(added, np.zeros(len(cold) - len(row)))
-        return cold
+        own = mixed(row.view(np.uint64)).view(np.int64)  # spread like other keys, so that none is met by many rows
+        return pd.DataFrame({"row": np.concatenate([row, *rows]), "key": np.concatenate([own, *keys]), "x": np.append(added, np.full(sum(map(len, keys)), np.nan))})
 
 
 def token_roots(vocabulary: DataFrame, ends: int) -> DataFrame:
@@ -428,22 +435,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         terms = context_terms(tokens, contexts, roots, total, types)
         if terms is None:
             terms = docs.sparkSession.createDataFrame([], "key bigint, n bigint, x double")
-        top = hot_words(terms, 2 * HOT).select("key", "x").toArrow()
+        top = hot_words(terms, TERMS * HOT).select("key", "x").toArrow()
         scorer = docs.sparkSession.sparkContext.broadcast(Scorer(contexts, top["key"].to_numpy(), top["x"].to_numpy()))
 
         def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in slices(frames, "ids", SCORE_CHARS):
                 yield scorer.value.frame(frame)
 
-        scored = written(tokens.select("row", "ids", "more").mapInPandas(score, "row bigint, key bigint, x double"), codec="zstd")
+        told = None
+        cold = terms.select("key", F.col("x").alias("term"))
+        for k in range(ROUNDS):
+            looked = tokens.filter(F.col("row") % ROUNDS == k).select("row", "ids", "more").mapInPandas(score, "row bigint, key bigint, x double")
+            x = F.when(F.col("x").isNull() | F.isnan("x"), F.coalesce("term", F.lit(0.0))).otherwise(F.col("x"))
+            share = written(looked.join(cold, "key", "left").groupBy("row").agg(F.sum(x).alias("told")))
+            told = share if told is None else told.unionByName(share)
         tail = tokens.select("row", F.explode("tail").alias("x")).select("row", "x.w", F.col("x.n").alias("k"))
-        c, none = F.coalesce(F.col("n"), F.lit(0)), F.lit(0.0)
-        rare = tail.join(vocabulary, "w", "left").select("row", F.when(c > 0, F.col("k")).otherwise(0).alias("known"), (F.col("k") * F.log10((c + 1) / F.lit(float(total + types + 1)))).alias("base"), none.alias("x"))
-        cold = scored.filter("key is not null").select("row", "key").join(terms, "key")
-        told = scored.filter("key is null").unionByName(cold.select("row", "key", "x")).select("row", F.lit(0).cast("long").alias("known"), none.alias("base"), "x")
-        added = written(rare.unionByName(told).groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("x").alias("told")), drop=[scored])
-    base = F.col("base_score") + F.col("more_base")
-    return tokens.drop("tail", "ids", "more").join(added, "row").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"),
+        c = F.coalesce(F.col("n"), F.lit(0))
+        rare = tail.join(vocabulary, "w", "left").groupBy("row")
+        rare = written(rare.agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10((c + 1) / F.lit(float(total + types + 1)))).alias("more_base")))
+    base = F.col("base_score") + F.coalesce("more_base", F.lit(0.0))
+    return tokens.drop("tail", "ids", "more").join(told, "row").join(rare, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("told")).alias("score"),
     )
