@@ -49,9 +49,19 @@ def test_scan_search_equals_brute_force(spark, monkeypatch, common, block, longe
     assert few.items() <= got.items() and best(few) == best(wanted)
 
 
-@pytest.mark.parametrize("name", ["q10_tfidf_search"])
+@pytest.mark.parametrize("name", ["q10_tfidf_search", "q11_semantic_score"])
 def test_no_pair_of_a_search_is_shuffled(spark, name):
     from folioforge.plans import registry
 
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_pairs_that_score_just_the_least_are_all_found(spark):
+    content = lambda i: [f"house{i * i % 17}", f"{1980 + i * i % 23 % 13}", f"ext{i % 7 % 4}"]
+    rows = [(i, content(i % 300)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "id long, words array<string>")
+    parts = {"title": (F.array().cast("array<string>"), 0.9), "content": (F.col("words"), 0.1)}
+    found = ranking.weighted_search(docs.filter("id < 300"), docs, parts, "id", "id").collect()
+    assert sorted((r.query, r.id) for r in found) == sorted((q, i) for q, x in rows[:300] for i, y in rows if x == y)
+    assert all(r.score == pytest.approx(0.1) for r in found)
